@@ -1 +1,173 @@
-"""."""
+"""Intraday freshness, incremental tables, ingestion and validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from visitloom.functions.dates import time_bucket
+from visitloom.operators import properties
+from visitloom.plans.registry import query
+from visitloom.plans.views import Views
+from visitloom.sources import files, tables
+from visitloom.sources.staging import new_path
+from visitloom.streaming import runs
+
+TODAY = "2024-01-30"
+
+
+@query(
+    "intraday_sessions",
+    """
+SELECT brand, replace(brand, 'B', 'property-') AS property_id, event_date, count(DISTINCT session_id) AS sessions,
+       count(*) AS events FROM p_events
+WHERE event_date IN (DATE '2024-01-29', DATE '2024-01-30') GROUP BY 1, 2, 3""",
+)
+def intraday_sessions(v: Views) -> DataFrame:
+    events = v.events().withColumn("visit_id", F.dayofmonth("event_date"))
+    brands = {b: events.where(F.col("brand") == b) for b in ("B0", "B1", "B2")}
+    recent = properties.intraday_events(
+        brands,
+        TODAY,
+        ["event_date", "user_pseudo_id", "visit_id"],
+        {b: b.replace("B", "property-") for b in brands},
+    )
+    return recent.groupBy("brand", "property_id", "event_date").agg(
+        F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("events")
+    )
+
+
+@query(
+    "fresh_sessions",
+    """
+SELECT brand, session_id, session_date, session_duration_s, 'final' AS origin FROM p_sessions
+WHERE session_date < DATE '2024-01-29' OR (session_date = DATE '2024-01-29' AND brand <> 'B2')
+UNION ALL
+SELECT brand, session_id, session_date, session_duration_s, 'intraday' FROM p_sessions
+WHERE session_date = DATE '2024-01-30' OR (session_date = DATE '2024-01-29' AND brand = 'B2')""",
+)
+def fresh_sessions(v: Views) -> DataFrame:
+    """Yesterday's export has landed for two of three brands, today's for none."""
+    columns = ["brand", "session_id", "session_date", "session_duration_s"]
+    sessions = v.sessions().select(*columns)
+    landed = "session_date < date'2024-01-29' or (session_date = date'2024-01-29' and brand <> 'B2')"
+    final = sessions.where(landed).withColumn("origin", F.lit("final"))
+    intraday = sessions.withColumn("origin", F.lit("intraday"))
+    return properties.prefer_final(
+        final, intraday, ["brand", "session_id", "session_date"], TODAY, "session_date"
+    )
+
+
+@query(
+    "fresh_transactions",
+    """
+SELECT brand, transaction_id, transaction_date, revenue FROM p_transactions""",
+)
+def fresh_transactions(v: Views) -> DataFrame:
+    sales = v.transactions().select("brand", "transaction_id", "transaction_date", "revenue")
+    final = sales.where("transaction_date < date'2024-01-30'")
+    return properties.prefer_final(
+        final, sales, ["brand", "transaction_id", "transaction_date"], TODAY, "transaction_date"
+    )
+
+
+@query(
+    "session_start_buckets",
+    """
+SELECT brand, date_trunc('hour', session_start_timestamp_utc) AS hour_utc,
+       time_bucket(INTERVAL 30 MINUTE, timezone('America/New_York',
+         timezone('UTC', session_start_timestamp_utc))) AS half_hour_local, count(*) AS sessions
+FROM p_sessions GROUP BY 1, 2, 3""",
+)
+def session_start_buckets(v: Views) -> DataFrame:
+    start = F.col("session_start_timestamp_utc")
+    bucketed = v.sessions().withColumn("hour_utc", time_bucket(start, "1 hour")).withColumn(
+        "half_hour_local", time_bucket(start, "30 minutes", "America/New_York")
+    )
+    return bucketed.groupBy("brand", "hour_utc", "half_hour_local").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@query(
+    "streamed_bucket_totals",
+    """
+SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS bucket_start, event_type, count(*) AS events, round(sum(value), 2) AS value
+FROM events GROUP BY 1, 2""",
+)
+def streamed_bucket_totals(v: Views) -> DataFrame:
+    """The events as a stream of files, run to the end."""
+    schema = v.table("events").schema
+    stream = (
+        v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
+    )
+    totals = runs.bucket_totals(stream, ["event_type"], ts="ts")
+    out = new_path(v.spark, "totals")
+    result = runs.write_totals(totals, out, new_path(v.spark, "totals-log"))
+    return result.withColumn("value", F.round("value", 2))
+
+
+@query(
+    "ingested_events",
+    "SELECT event_type, count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1",
+)
+def ingested_events(v: Views) -> DataFrame:
+    """Two runs over the same folder: the second one adds nothing."""
+    schema = v.table("events").schema
+    target, log = new_path(v.spark, "ingest"), new_path(v.spark, "ingest-log")
+    for _ in range(2):
+        rows = runs.ingest_new_files(
+            v.spark, v.sf_dir, schema, target, log, file_format="parquet", glob="events.parquet"
+        )
+    return rows.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
+    )
+
+
+@query(
+    "backfilled_files",
+    """
+SELECT 'orders.parquet' AS file_name, true AS is_stamped, count(*) AS row_count, min(o_orderkey) AS first_key FROM orders""",
+)
+def backfilled_files(v: Views) -> DataFrame:
+    rows = files.backfill_all(v.spark, v.sf_dir, "parquet", v.table("orders").schema, glob="orders.parquet")
+    return rows.groupBy("file_name").agg(
+        F.min(F.col("stamped_name").rlike(r"^orders__\d{8}_\d{6}\.parquet$")).alias("is_stamped"),
+        F.count(F.lit(1)).alias("row_count"),
+        F.min("o_orderkey").alias("first_key"),
+    )
+
+
+@query(
+    "refreshed_sessions",
+    """
+SELECT session_id, session_duration_s, session_date, session_date <= DATE '2024-01-28' AS is_final,
+       CASE WHEN session_date <= DATE '2024-01-20' THEN 1 ELSE 2 END AS run FROM p_sessions""",
+)
+def refreshed_sessions(v: Views) -> DataFrame:
+    """A first build up to the 22nd (final to the 20th), then a refresh."""
+    path = new_path(v.spark, "refresh")
+    table = "refresh_" + path.rsplit("-", 1)[1]
+    sessions = v.sessions().select("session_id", "session_duration_s", "session_date")
+
+    def run(number: int, last: str, final: str) -> DataFrame:
+        rows = sessions.where(F.col("session_date") <= F.lit(last).cast("date")).withColumns(
+            {"is_final": F.col("session_date") <= F.lit(final).cast("date"), "run": F.lit(number)}
+        )
+        return tables.incremental_refresh(rows, table, date_col="session_date", start="2024-01-01", path=path)
+
+    run(1, "2024-01-22", "2024-01-20")
+    return run(2, TODAY, "2024-01-28")
+
+
+@query(
+    "brand_validation",
+    """
+WITH a AS (SELECT brand, count(DISTINCT session_id) AS sessions,
+             count(*) FILTER (fiscal_year IS NULL) AS rows_without_fiscal_date FROM p_report GROUP BY 1),
+e AS (SELECT 'B' || (user_id % 3) AS brand, count(DISTINCT user_id * 100 + day(ts)) AS expected_sessions
+      FROM events GROUP BY 1)
+SELECT brand, sessions, expected_sessions, sessions - expected_sessions AS difference, rows_without_fiscal_date
+FROM a FULL JOIN e USING (brand)""",
+)
+def brand_validation(v: Views) -> DataFrame:
+    expected = v.events().groupBy("brand").agg(F.count_distinct("session_id").alias("expected_sessions"))
+    return properties.validate_brand(v.report(), expected, v.fiscal)

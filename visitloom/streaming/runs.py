@@ -53,15 +53,16 @@ def bucket_totals(
 ) -> DataFrame:
     """Events and value per tumbling bucket; batch and streaming alike.
 
-    On a stream the watermark lets closed buckets leave the state.
+    On a stream the watermark lets closed buckets leave the state; it needs an
+    instant, so the zone-less clock is read in the session's zone and back.
     """
-    timed = events.withColumn("_t", local_time(F.col(ts), zone))
+    timed = events.withColumn("_t", local_time(F.col(ts), zone).cast("timestamp"))
     if events.isStreaming:
         timed = timed.withWatermark("_t", late)
     return (
         timed.groupBy(F.window("_t", width).alias("_w"), *keys)
         .agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("value"))
-        .select(F.col("_w.start").alias("bucket_start"), *keys, "events", "value")
+        .select(F.col("_w.start").cast("timestamp_ntz").alias("bucket_start"), *keys, "events", "value")
     )
 
 
@@ -90,7 +91,9 @@ def write_totals(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
 def first_pageviews(events: DataFrame, page_load: str, ts: str, late: str = "1 hour") -> DataFrame:
     """Streaming form of the once-per-page-load page view: the first one to
     arrive passes, later ones within the watermark are dropped."""
-    flat = pageviews_with_user(events).select(page_load, ts, *pageview_fields())
+    flat = pageviews_with_user(events).select(
+        page_load, F.col(ts).cast("timestamp").alias(ts), *pageview_fields()
+    )
     return flat.withWatermark(ts, late).dropDuplicatesWithinWatermark([page_load])
 
 
