@@ -52,17 +52,19 @@ def source_medium(source: Column, medium: Column, fill: str | None = None) -> Co
 
 
 def name_in(name: Column, patterns: Sequence[str] | None) -> Column:
-    """Case-insensitive match on a list of names, ``prefix*`` or ``*``."""
-    lowered = F.lower(name)
-    tests = []
-    for pattern in (p.lower() for p in patterns or () if p):
+    """Case-insensitive match on a list of names, ``prefix*`` or ``*``.
+
+    One regular expression, so the name, which may be parsed out of JSON, is
+    evaluated once.
+    """
+    accepted = []
+    for pattern in (p for p in patterns or () if p):
         if pattern == "*":
-            tests.append(name.isNotNull())
+            accepted.append(".*")
         elif "*" not in pattern:
-            tests.append(lowered == pattern)
+            accepted.append(re.escape(pattern))
         elif not pattern.startswith("*"):
-            tests.append(lowered.startswith(pattern.split("*", 1)[0]))
-    result = F.lit(False)
-    for test in tests:
-        result = result | test
-    return result
+            accepted.append(re.escape(pattern.split("*", 1)[0]) + ".*")
+    if not accepted:
+        return F.lit(False)
+    return name.rlike("(?isu)^(?:" + "|".join(accepted) + r")\z")

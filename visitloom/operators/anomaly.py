@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions import rules
 from visitloom.functions.numbers import z_score
-from visitloom.operators.kpi import with_share
+from visitloom.operators.kpi import with_shares
 from visitloom.sources.staging import stage
 
 
@@ -38,43 +38,59 @@ def with_z_scores(
 
 
 def count_z_scores(
-    features: DataFrame, counted: str, name: str, per: Sequence[str], baseline_by: Sequence[str]
+    counts: DataFrame, name: str, per: Sequence[str], baseline_by: Sequence[str], *, closed_keys: bool = False
 ) -> DataFrame:
-    """Distinct ``counted`` per group, scored against the groups that share the
-    baseline keys. Groups without rows are absent, not zero."""
-    counts = features.groupBy(*per).agg(F.count_distinct(counted).alias("_count"))
-    return with_z_scores(counts, {"_count": name}, baseline_by).select(*per, name)
+    """Score of each group's ``n`` against the groups that share its baseline
+    keys. Groups without rows are absent, not zero."""
+    own = counts.select(*per, "n")
+    return with_z_scores(own, {"n": name}, baseline_by, closed_keys=closed_keys).select(*per, name)
 
 
 def score_sessions(features: DataFrame) -> DataFrame:
     """Session features with their own z-scores and those of their day, system,
     device, place and user.
 
-    The features feed seven aggregates, so they are written once to the staging
-    folder. The day-level contexts are staged too: the planner then knows their
-    true size and broadcasts them only when they are below its threshold.
+    The features feed several aggregates, so they are written once to the
+    staging folder. The sessions per day, system, device and place come from
+    one pass with grouping sets and are staged as well: the planner then knows
+    their true size, and broadcasts the contexts only below its threshold.
+    Traffic types and brands are closed lists, given by rules and properties.
     """
     features = stage(features)
     day = ["session_date", "traffic_type"]
+    extra = ["operating_system", "device_category", "city"]
+    sets = [day, *[[*day, c] for c in extra]]
+    counts = stage(
+        features.groupingSets(sets, *day, *extra).agg(
+            F.grouping_id().alias("level"), F.count_distinct("session_key").alias("n")
+        )
+    )
     scored = with_z_scores(
         features,
         {"engagement_seconds": "z_eng", "event_count": "z_evt", "pageviews": "z_pv"},
         ["traffic_type"],
         closed_keys=True,
     )
-    contexts = [
-        ("daily_z_sessions", day, ["traffic_type"]),
-        ("os_z_sessions", [*day, "operating_system"], ["traffic_type", "operating_system"]),
-        ("device_z_sessions", [*day, "device_category"], ["traffic_type", "device_category"]),
-        ("geo_z_sessions", [*day, "city"], ["traffic_type", "city"]),
-        ("user_z_sessions", [*day, "brand", "user_pseudo_id"], ["traffic_type", "brand"]),
-    ]
-    for name, per, baseline_by in contexts:
-        context = count_z_scores(features, "session_key", name, per, baseline_by)
-        if "user_pseudo_id" not in per:
-            context = stage(context)
-        scored = scored.join(context, per, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
-    return scored
+    # grouping_id sets one bit per column that is *not* in the set.
+    for name, column, level in (
+        ("daily_z_sessions", None, 0b111),
+        ("os_z_sessions", "operating_system", 0b011),
+        ("device_z_sessions", "device_category", 0b101),
+        ("geo_z_sessions", "city", 0b110),
+    ):
+        keys = [column] if column else []
+        context = count_z_scores(
+            counts.where(F.col("level") == level), name, [*day, *keys], ["traffic_type", *keys]
+        )
+        scored = _with_context(scored, context, [*day, *keys], name)
+    user_day = [*day, "brand", "user_pseudo_id"]
+    visits = features.groupBy(*user_day).agg(F.count_distinct("session_key").alias("n"))
+    context = count_z_scores(visits, "user_z_sessions", user_day, ["traffic_type", "brand"], closed_keys=True)
+    return _with_context(scored, context, user_day, "user_z_sessions")
+
+
+def _with_context(scored: DataFrame, context: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    return scored.join(context, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
 def classify_sessions(scored: DataFrame, spike_traffic: str) -> DataFrame:
@@ -89,5 +105,6 @@ def class_summary(classified: DataFrame) -> DataFrame:
         F.count_distinct("user_pseudo_id").alias("users"),
         F.count_if(F.col("has_conversion") == 1).alias("purchases"),
     )
-    shared = with_share(summary, "sessions", within, "pct_sessions_within_day")
-    return with_share(shared, "users", within, "pct_users_within_day")
+    return with_shares(
+        summary, {"sessions": "pct_sessions_within_day", "users": "pct_users_within_day"}, within
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.dates import Day, in_days
+from visitloom.sources.staging import stage
 
 
 def first_by(
@@ -70,6 +71,24 @@ def exclude_ambiguous(df: DataFrame, key: str, source: DataFrame) -> DataFrame:
     return df.join(repeated, key, "left_anti")
 
 
+def only_single(df: DataFrame, key: str) -> DataFrame:
+    """The rows that are the only ones of their key.
+
+    What ``exclude_ambiguous(df, key, df)`` gives for known keys, in one pass:
+    a group of one row is its own aggregate, and larger groups shrink to a
+    count on the map side.
+    """
+    counted = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(*[c for c in df.columns if c != key])).alias("_row")
+    )
+    return counted.where("_n = 1").select(key, "_row.*").select(*df.columns)
+
+
+def of_users(df: DataFrame, users: DataFrame, user: str) -> DataFrame:
+    """Rows of the users that occur in ``users``."""
+    return df.join(users.select(user).distinct(), user, "left_semi")
+
+
 def purchase_rows(orders: DataFrame, report: DataFrame, order_id: str = "order_id") -> DataFrame:
     """Report rows whose transaction is one of the orders."""
     ids = orders.select(F.col(order_id).alias("transaction_id"))
@@ -148,7 +167,7 @@ def sessions_until(
     """Sessions of the user started at or before each purchase, the purchase
     session included; purchases without any are left out."""
     starts = (
-        sessions.where(F.col(start).isNotNull())
+        of_users(sessions.where(F.col(start).isNotNull()), snapshot, user)
         .groupBy(user, session)
         .agg(F.min(start).alias("purchase_ts"))
         .where(F.col(session).isNotNull())
@@ -164,8 +183,15 @@ def sessions_until(
 
 def first_touch_purchases(orders: DataFrame, report: DataFrame) -> DataFrame:
     """Purchases of users with exactly one new order, with the touchpoint of
-    their lowest-numbered session (unnumbered sessions are not considered)."""
-    numbered = report.where(F.col("ga_session_number").isNotNull())
+    their lowest-numbered session (unnumbered sessions are not considered).
+
+    Writes the purchases to the staging folder: their users then narrow the
+    report before it is aggregated.
+    """
+    kept = only_single(purchase_rows(orders, report), "user_pseudo_id")
+    attributes = ["ga_session_number", "lnd_source_medium"]
+    snapshot = stage(purchase_snapshot(kept, attributes).drop("purchase_ts"))
+    numbered = of_users(report.where(F.col("ga_session_number").isNotNull()), snapshot, "user_pseudo_id")
     first = first_by(
         numbered,
         ["user_pseudo_id"],
@@ -174,24 +200,24 @@ def first_touch_purchases(orders: DataFrame, report: DataFrame) -> DataFrame:
     ).withColumnsRenamed(
         {"date": "first_session_date", "lnd_source_medium": "first_session_lnd_source_medium"}
     )
-    purchases = purchase_rows(orders, report)
-    kept = exclude_ambiguous(purchases, "user_pseudo_id", purchases)
-    snapshot = purchase_snapshot(kept, ["ga_session_number", "lnd_source_medium"]).drop("purchase_ts")
     return snapshot.join(first, "user_pseudo_id")
 
 
 def days_to_purchase(orders: DataFrame, report: DataFrame) -> DataFrame:
     """First touch, purchase, days between them and sessions up to the purchase,
-    for users with exactly one new order."""
+    for users with exactly one new order.
+
+    Users with several are dropped before anything is counted for them, and the
+    remaining purchases are staged, as for ``first_touch_purchases``.
+    """
     touch_columns = ["date", "lnd_source_medium", "marketing_category", "channel_category"]
-    touch = first_touch(report, touch_columns)
-    purchases = purchase_rows(orders, report)
-    # An ambiguous user is dropped before the snapshot: nothing is counted for
-    # rows that would be thrown away.
-    kept = exclude_ambiguous(purchases, "user_pseudo_id", purchases)
-    snapshot = purchase_snapshot(
-        kept, ["ga_session_number", "lnd_source_medium", "marketing_category", "channel_category"]
+    kept = only_single(purchase_rows(orders, report), "user_pseudo_id")
+    snapshot = stage(
+        purchase_snapshot(
+            kept, ["ga_session_number", "lnd_source_medium", "marketing_category", "channel_category"]
+        )
     )
+    touch = first_touch(of_users(report, snapshot, "user_pseudo_id"), touch_columns)
     counts = sessions_until(snapshot, report)
     return (
         snapshot.join(touch, "user_pseudo_id")

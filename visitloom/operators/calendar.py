@@ -32,27 +32,24 @@ def weeks_445(spark: SparkSession, first_day: dt.date, years: int, label_year: i
 
     ``label_year`` is the calendar year in which the first fiscal year starts.
     """
-    number = F.col("id").cast("int")
-    week = F.pmod(number, F.lit(52)) + 1
-    year = F.lit(label_year) + F.floor(number / 52).cast("int")
-    in_quarter = F.pmod(week - 1, F.lit(13))
-    month = (
-        F.floor((week - 1) / 13) * 3
-        + F.when(in_quarter < 4, 1).when(in_quarter < 8, 2).otherwise(3)
-    ).cast("int")
-    two_digits = lambda y: F.lpad(F.pmod(y, F.lit(100)).cast("string"), 2, "0")
-    start = F.date_add(F.lit(first_day), number * 7)
-    return spark.range(52 * years).select(
-        start.alias("week_start"),
-        F.date_add(start, 6).alias("week_end"),
-        week.alias("week"),
-        F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month).alias("month"),
-        F.concat(two_digits(year), F.lit("-"), two_digits(year + 1)).alias("fiscal_year"),
+    names = ", ".join(f"'{m}'" for m in MONTHS)
+    return (
+        spark.range(52 * years)
+        .selectExpr("cast(id as int) as n", f"{label_year} + cast(id div 52 as int) as y")
+        .selectExpr("*", "n % 52 + 1 as week", "n % 13 as q")
+        .selectExpr(
+            f"date_add(date'{first_day.isoformat()}', n * 7) as week_start",
+            f"date_add(date'{first_day.isoformat()}', n * 7 + 6) as week_end",
+            "week",
+            f"""element_at(array({names}),
+                cast((week - 1) div 13 * 3 + case when q < 4 then 1 when q < 8 then 2 else 3 end as int)) as month""",
+            "concat(lpad(y % 100, 2, '0'), '-', lpad((y + 1) % 100, 2, '0')) as fiscal_year",
+        )
     )
 
 
 def _month_number(month: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month).cast("int")
+    return F.array_position(F.split(F.lit(",".join(MONTHS)), ","), month).cast("int")
 
 
 def expand_weeks(weeks: DataFrame) -> DataFrame:

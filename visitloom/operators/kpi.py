@@ -151,15 +151,20 @@ def year_over_year(
     return table.withColumns(changes)
 
 
-def with_share(df: DataFrame, metric: str, within: Sequence[str], name: str, digits: int = 2) -> DataFrame:
-    """Percentage of the metric within its partition; meant for aggregated rows.
+def with_shares(
+    df: DataFrame, shares: Mapping[str, str], within: Sequence[str], digits: int = 2
+) -> DataFrame:
+    """Adds ``shares`` (metric to share name): percentage of the metric within
+    its partition; meant for aggregated rows.
 
     The totals are a second, partial aggregate joined back, so no partition is
     gathered in one task.
     """
-    totals = df.groupBy(*within).agg(F.sum(metric).alias("_all"))
+    totals = df.groupBy(*within).agg(*[F.sum(m).alias(f"_all_{m}") for m in shares])
     joined = null_safe_join(df, totals, within)
-    return joined.withColumn(name, F.round(F.col(metric) / F.col("_all") * 100, digits)).drop("_all")
+    return joined.withColumns(
+        {name: F.round(F.col(m) / F.col(f"_all_{m}") * 100, digits) for m, name in shares.items()}
+    ).drop(*[f"_all_{m}" for m in shares])
 
 
 def daily_signals(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -50,9 +50,9 @@ def forward_events(
     The block list wins, no allow list means all, unnamed events are dropped.
     """
     name = F.col("event")
-    keep = ~text.is_blank(name) & ~text.name_in(name, block)
-    if allow:
-        keep = keep & text.name_in(name, allow)
+    keep = text.name_in(name, allow or ["*"]) & (name != "")
+    if block:
+        keep = keep & ~text.name_in(name, block)
     return events.where(keep).select(
         F.concat(F.lit(prefix), name).alias("event"),
         name.alias("acdl_event_name"),

@@ -10,7 +10,7 @@ from visitloom.operators import properties
 from visitloom.plans.registry import query
 from visitloom.plans.views import Views
 from visitloom.sources import files, tables
-from visitloom.sources.staging import new_path
+from visitloom.sources.staging import new_path, stage
 from visitloom.streaming import runs
 
 TODAY = "2024-01-30"
@@ -49,7 +49,7 @@ WHERE session_date = DATE '2024-01-30' OR (session_date = DATE '2024-01-29' AND
 def fresh_sessions(v: Views) -> DataFrame:
     """Yesterday's export has landed for two of three brands, today's for none."""
     columns = ["brand", "session_id", "session_date", "session_duration_s"]
-    sessions = v.sessions().select(*columns)
+    sessions = stage(v.sessions().select(*columns))
     landed = "session_date < date'2024-01-29' or (session_date = date'2024-01-29' and brand <> 'B2')"
     final = sessions.where(landed).withColumn("origin", F.lit("final"))
     intraday = sessions.withColumn("origin", F.lit("intraday"))
@@ -146,7 +146,7 @@ def refreshed_sessions(v: Views) -> DataFrame:
     """A first build up to the 22nd (final to the 20th), then a refresh."""
     path = new_path(v.spark, "refresh")
     table = "refresh_" + path.rsplit("-", 1)[1]
-    sessions = v.sessions().select("session_id", "session_duration_s", "session_date")
+    sessions = stage(v.sessions().select("session_id", "session_duration_s", "session_date"))
 
     def run(number: int, last: str, final: str) -> DataFrame:
         rows = sessions.where(F.col("session_date") <= F.lit(last).cast("date")).withColumns(

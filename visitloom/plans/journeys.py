@@ -43,7 +43,7 @@ WHERE user_pseudo_id NOT IN ({AMBIGUOUS_SQL})
 GROUP BY 1, 2, 3""",
 )
 def first_touch_purchases(v: Views) -> DataFrame:
-    return _shown(attribution.first_touch_purchases(v.new_orders(), v.report()))
+    return _shown(attribution.first_touch_purchases(v.new_orders(), v.stored_report()))
 
 
 @query(
@@ -67,7 +67,7 @@ FROM p JOIN ft USING (user_pseudo_id) LEFT JOIN n USING (user_pseudo_id, transac
 WHERE user_pseudo_id NOT IN ({AMBIGUOUS_SQL})""",
 )
 def days_to_purchase(v: Views) -> DataFrame:
-    return _shown(attribution.days_to_purchase(v.new_orders(), v.report()))
+    return _shown(attribution.days_to_purchase(v.new_orders(), v.stored_report()))
 
 
 @query(
@@ -134,9 +134,9 @@ GROUP BY 1, 2""",
 )
 def sessions_until_purchase(v: Views) -> DataFrame:
     """All purchases, whatever their order says."""
-    report = v.report()
+    report = v.stored_report()
     snapshot = attribution.purchase_snapshot(report.where("transaction_id is not null"), [])
-    return attribution.sessions_until(snapshot, v.sessions())
+    return attribution.sessions_until(snapshot, report)
 
 
 @query(

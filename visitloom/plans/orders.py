@@ -456,4 +456,4 @@ FROM p_orders GROUP BY 1, 2""",
 )
 def brand_order_share(v: Views) -> DataFrame:
     counted = v.orders().groupBy("order_brand", "order_type").agg(F.count(F.lit(1)).alias("orders"))
-    return kpi.with_share(counted, "orders", ["order_brand"], "pct_orders")
+    return kpi.with_shares(counted, {"orders": "pct_orders"}, ["order_brand"])

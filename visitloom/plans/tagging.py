@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from visitloom.functions import rules
 from visitloom.operators import tagging
 from visitloom.plans.registry import query
-from visitloom.plans.views import Views, pick
+from visitloom.plans.views import Views, choose
 from visitloom.sources.staging import new_path
 from visitloom.streaming import runs
 
 NAMES = ("homeHero", "mainNavClick", "pageView", "HOMEbanner", "mainNavClickX", "", None, "homeDebug")
 LOGIN = ("Soft Logged-In", "", None)
+CLICKS = ("nav", "nav:top", "nav:top:wine", "nav:top:wine:red", None)
 NAMES_SQL = "(['homeHero','mainNavClick','pageView','HOMEbanner','mainNavClickX','',NULL,'homeDebug'])[k % 8 + 1]"
 
 
@@ -22,34 +23,19 @@ def browser_events(events: DataFrame) -> DataFrame:
 
     A page load is a user's day, so it usually has several page views.
     """
-    k = F.col("k")
-    user = F.when(
-        k % 3 != 0,
-        F.struct(
-            pick(LOGIN, k).alias("loginType"),
-            F.col("user_pseudo_id").cast("string").alias("customerId"),
-            F.when(k % 2 == 0, "ACTIVE").alias("state"),
-        ),
-    )
-    page = F.when(
-        k % 4 != 0, F.struct(F.col("promo_code").alias("pageName"), F.col("event_class").alias("pageType"))
-    )
-    clicked = pick(("nav", "nav:top", "nav:top:wine", "nav:top:wine:red", None), k)
-    url = pick(("https://c.example/a", "", None), k)
-    click = F.struct(clicked.alias("clickDescription"), url.alias("clickUrl"))
-    payload = F.to_json(
-        F.struct(
-            pick(NAMES, k).alias("event"),
-            F.struct(user.alias("user"), page.alias("page"), click.alias("click")).alias("eventData"),
-        )
-    )
-    return events.select(
+    user = f"""if(k % 3 <> 0, struct({choose(LOGIN, "k")} as loginType,
+        cast(user_pseudo_id as string) as customerId, if(k % 2 = 0, 'ACTIVE', null) as state), null)"""
+    page = "if(k % 4 <> 0, struct(promo_code as pageName, event_class as pageType), null)"
+    click = f"""struct({choose(CLICKS, "k")} as clickDescription,
+        {choose(("https://c.example/a", "", None), "k")} as clickUrl)"""
+    return events.selectExpr(
         "event_id",
-        F.col("session_id").alias("page_load_id"),
+        "session_id as page_load_id",
         "event_timestamp_utc",
-        F.col("event_label").alias("link_text"),
-        F.concat(F.lit("https://p.example/"), F.col("promo_code")).alias("page_url"),
-        payload.alias("payload"),
+        "event_label as link_text",
+        "concat('https://p.example/', promo_code) as page_url",
+        f"""to_json(struct({choose(NAMES, "k")} as event,
+            struct({user} as user, {page} as page, {click} as click) as eventData)) as payload""",
     )
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.functions import text
 from visitloom.operators.calendar import expand_weeks, weeks_445, with_fiscal
+from visitloom.sources.staging import stage
 
 URL_TAILS = (
     "",
@@ -45,56 +45,50 @@ FISCAL = ("fiscal_year", "fiscal_quarter_number", "fiscal_month_number", "fiscal
           "fiscal_week_number", "fiscal_week_start_date", "fiscal_week_end_date")
 
 
-def pick(values: tuple, number: Column) -> Column:
-    """Element ``number % len(values)`` of a fixed list."""
-    listed = F.array(*[F.lit(v).cast("string") for v in values])
-    return F.get(listed, F.pmod(number, F.lit(len(values))).cast("int"))
+def choose(values: tuple, number: str) -> str:
+    """SQL for element ``number % len(values)`` of a fixed list."""
+    listed = ", ".join("cast(null as string)" if v is None else f"'{v}'" for v in values)
+    return f"get(array({listed}), cast(pmod({number}, {len(values)}) as int))"
 
 
 class Views:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     def events(self, *, pages: bool = False, geo: bool = False) -> DataFrame:
-        c = F.col
-        raw = self.table("events").withColumn(
-            "k", F.get_json_object("props", "$.k").cast("int")
-        )
-        k, user, day = c("k"), c("user_id"), F.dayofmonth("ts")
-        df = raw.select(
+        raw = self.table("events").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
+        df = raw.selectExpr(
             "event_id",
-            user.alias("user_pseudo_id"),
-            (user * 100 + day).alias("session_id"),
-            c("ts").cast("date").alias("event_date"),
-            c("ts").alias("event_timestamp_utc"),
-            F.when(c("event_type") == "view", "page_view")
-            .when(c("event_type") == "signup", "sign_up")
-            .when(c("event_type") == "error", "user_engagement")
-            .otherwise(c("event_type"))
-            .alias("event_name"),
+            "user_id as user_pseudo_id",
+            "user_id * 100 + dayofmonth(ts) as session_id",
+            "cast(ts as date) as event_date",
+            "ts as event_timestamp_utc",
+            """case event_type when 'view' then 'page_view' when 'signup' then 'sign_up'
+               when 'error' then 'user_engagement' else event_type end as event_name""",
             "k",
             "value",
-            F.concat(F.lit("B"), user % 3).alias("brand"),
-            F.concat(F.lit("www.b"), user % 3, F.lit(".example")).alias("host"),
-            pick(("iOS", "Android", "Macintosh", "Windows"), k).alias("device_operating_system"),
-            pick(("desktop", "Mobile", "tablet"), k).alias("device_category"),
-            pick(("Soft Logged-In", "Hard Logged-In", "Unidentified", None, None), k).alias("login_status"),
-            pick(SOURCES, k).alias("source"),
-            pick(MEDIUMS, k).alias("medium"),
-            F.when(k % 6 == 0, 0).otherwise(F.floor(c("value") * 1000)).cast("bigint").alias(
-                "engagement_time_msec"
-            ),
-            F.concat(F.lit("P"), k % 10).alias("promo_code"),
-            pick(("CONFIRM CANCELLATION", "SUBMIT FEEDBACK", "OTHER"), k).alias("event_category"),
-            F.when(k % 4 < 2, F.concat(F.lit("Free Shipping "), k % 5)).otherwise("Gift").alias("event_class"),
-            F.concat(F.lit("reason "), k % 7).alias("event_label"),
-            F.concat(F.lit("club "), user % 4).alias("event_order"),
-            F.concat(F.lit("/x/"), user, F.lit("/"), day).alias("page_fragment"),
-            (k % 2 + 1).alias("page_number"),
-            F.when(c("event_type") == "purchase", c("event_id")).alias("transaction_id"),
+            "concat('B', user_id % 3) as brand",
+            "concat('www.b', user_id % 3, '.example') as host",
+            f"{choose(('iOS', 'Android', 'Macintosh', 'Windows'), 'k')} as device_operating_system",
+            f"{choose(('desktop', 'Mobile', 'tablet'), 'k')} as device_category",
+            f"{choose(('Soft Logged-In', 'Hard Logged-In', 'Unidentified', None, None), 'k')} as login_status",
+            f"{choose(SOURCES, 'k')} as source",
+            f"{choose(MEDIUMS, 'k')} as medium",
+            "case when k % 6 = 0 then 0L else floor(value * 1000) end as engagement_time_msec",
+            "concat('P', k % 10) as promo_code",
+            f"{choose(('CONFIRM CANCELLATION', 'SUBMIT FEEDBACK', 'OTHER'), 'k')} as event_category",
+            "if(k % 4 < 2, concat('Free Shipping ', k % 5), 'Gift') as event_class",
+            "concat('reason ', k % 7) as event_label",
+            "concat('club ', user_id % 4) as event_order",
+            "concat('/x/', user_id, '/', dayofmonth(ts)) as page_fragment",
+            "k % 2 + 1 as page_number",
+            "if(event_type = 'purchase', event_id, null) as transaction_id",
         )
         if pages:
             df = self._with_pages(df)
@@ -108,134 +102,125 @@ class Views:
         pages = self.table("pages").select("page_id", "url")
         count = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
         keyed = df.withColumn("page_id", F.col("event_id") % count)
-        url = F.concat("url", pick(URL_TAILS, F.col("k")))
-        path = F.regexp_replace("page_location", r"^https?://[^/]+", "")
-        return (
-            keyed.join(pages, "page_id")
-            .withColumn("page_location", url)
-            .withColumn("page_path", F.coalesce(pick(("/", "/jsp/homepage.jsp", None, None), F.col("k")), path))
-            .drop("page_id", "url")
+        located = keyed.join(pages, "page_id").selectExpr(
+            *df.columns, f"concat(url, {choose(URL_TAILS, 'k')}) as page_location"
+        )
+        return located.selectExpr(
+            "*",
+            r"""case k % 4 when 0 then '/' when 1 then '/jsp/homepage.jsp'
+                else regexp_replace(page_location, '^https?://[^/]+', '') end as page_path""",
         )
 
     def _with_geo(self, df: DataFrame) -> DataFrame:
         # One small look-up after the other, each joined by its own file size;
         # joined to each other first they would be estimated as a product.
-        home = self.table("customer").select(F.col("c_custkey").alias("user_pseudo_id"), "c_nationkey")
-        nation = self.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
-        area = self.table("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-        k = F.col("k")
-        known = k % 17 != 0
+        home = self.table("customer").selectExpr("c_custkey as user_pseudo_id", "c_nationkey")
+        nation = self.table("nation").selectExpr("n_nationkey as c_nationkey", "n_name", "n_regionkey")
+        area = self.table("region").selectExpr("r_regionkey as n_regionkey", "r_name")
         return (
             df.join(home, "user_pseudo_id", "left")
             .join(nation, "c_nationkey", "left")
             .join(area, "n_regionkey", "left")
-            .withColumn("country", F.when(known, F.col("r_name")))
-            .withColumn("region", F.when(known, F.col("n_name")))
-            .withColumn("city", F.when(k % 11 == 1, "").when(k % 11 != 0, F.col("n_name")))
-            .drop("r_name", "n_name", "c_nationkey", "n_regionkey")
+            .selectExpr(
+                *df.columns,
+                "if(k % 17 <> 0, r_name, null) as country",
+                "if(k % 17 <> 0, n_name, null) as region",
+                "case when k % 11 = 1 then '' when k % 11 <> 0 then n_name end as city",
+            )
         )
 
     def transactions(self) -> DataFrame:
-        return self.events().where("event_name = 'purchase'").select(
-            "brand",
-            "user_pseudo_id",
-            "session_id",
-            "transaction_id",
-            F.col("event_date").alias("transaction_date"),
-            "event_timestamp_utc",
-            F.col("value").alias("revenue"),
+        return (
+            self.events()
+            .where("event_name = 'purchase'")
+            .selectExpr(
+                "brand",
+                "user_pseudo_id",
+                "session_id",
+                "transaction_id",
+                "event_date as transaction_date",
+                "event_timestamp_utc",
+                "value as revenue",
+            )
         )
 
     def sessions(self) -> DataFrame:
-        c = F.col
-        events = self.events(pages=True, geo=True)
-        order = ["event_timestamp_utc", "event_id"]
-        first = ["page_location", "country", "region", "city", "device_operating_system"]
+        """One row per session. Page and place are looked up for the first event
+        only, after the events have shrunk to sessions."""
         keys = ["brand", "user_pseudo_id", "session_id"]
-        ts = c("event_timestamp_utc")
-        base = (
-            events.groupBy(*keys)
-            .agg(
-                F.min("event_date").alias("session_date"),
-                F.min(ts).alias("session_start_timestamp_utc"),
-                F.timestamp_diff("SECOND", F.min(ts), F.max(ts)).alias("session_duration_s"),
-                F.sum("engagement_time_msec").alias("engagement_time_msec"),
-                F.min_by(F.struct(*first), F.struct(*order)).alias("f"),
-                *[
-                    F.min_by(v, F.when(c(v).isNotNull(), F.struct(*order))).alias(v)
-                    for v in ("source", "medium")
-                ],
-            )
-            .select("*", "f.*")
-            .drop("f")
-            .withColumnRenamed("page_location", "landing_page_location")
-        )
-        sid, day = c("session_id"), F.dayofmonth("session_date")
-        source, medium = F.coalesce("source", F.lit("none")), F.coalesce("medium", F.lit("none"))
-        return base.withColumns(
-            {
-                "host": F.concat(F.lit("www.b"), c("user_pseudo_id") % 3, F.lit(".example")),
-                "lnd_source": source,
-                "lnd_medium": medium,
-                "lnd_source_medium": text.source_medium(source, medium),
-                "lnd_campaign": pick(CAMPAIGNS, sid),
-                "lnd_content": F.concat(F.lit("content "), sid % 3),
-                "ads_campaign_name": pick(ADS_CAMPAIGNS, c("user_pseudo_id")),
-                "landing_page_referrer": pick((None, "", "https://ref.example/"), sid),
-                "landing_page_type": pick(PAGE_TYPES, sid),
-                "url_gclid": text.url_param(c("landing_page_location"), "gclid"),
-                "url_wbraid": text.url_param(c("landing_page_location"), "wbraid"),
-                "url_fbclid": text.url_param(c("landing_page_location"), "fbclid"),
-                "url_campaign_id": F.when(sid % 4 == 0, "c1"),
-                "order_type": pick(("Club", "Non-Club"), sid),
-                "ga_session_number": F.when(
-                    sid % 13 != 0, F.when(c("user_pseudo_id") % 7 == 0, 32 - day).otherwise(day)
-                ),
-                "channel_category": F.when(medium == "cpc", "Paid Search")
-                .when(medium == "paidsocial", "Paid Social")
-                .when(medium == "none", "Direct")
-                .otherwise("Other"),
-                "marketing_category": F.when(medium.isin("cpc", "paidsocial"), "Paid").otherwise("Owned"),
-            }
-        )
+        order = "struct(event_timestamp_utc, event_id)"
+        measures = {
+            "session_date": "min(event_date)",
+            "session_start_timestamp_utc": "min(event_timestamp_utc)",
+            "session_duration_s": "timestampdiff(SECOND, min(event_timestamp_utc), max(event_timestamp_utc))",
+            "engagement_time_msec": "sum(engagement_time_msec)",
+            "f": f"min_by(struct(event_id, k, device_operating_system), {order})",
+            "source": f"min_by(source, {order}) filter (where source is not null)",
+            "medium": f"min_by(medium, {order}) filter (where medium is not null)",
+        }
+        visits = self.events().groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in measures.items()])
+        looked_up = self._with_geo(
+            self._with_pages(visits.selectExpr(*keys, *[m for m in measures if m != "f"], "f.*"))
+        ).withColumnRenamed("page_location", "landing_page_location")
+        derived = {
+            "host": "concat('www.b', user_pseudo_id % 3, '.example')",
+            "lnd_source": "coalesce(source, 'none')",
+            "lnd_medium": "coalesce(medium, 'none')",
+            "lnd_source_medium": "concat(coalesce(source, 'none'), ' / ', coalesce(medium, 'none'))",
+            "lnd_campaign": choose(CAMPAIGNS, "session_id"),
+            "lnd_content": "concat('content ', session_id % 3)",
+            "ads_campaign_name": choose(ADS_CAMPAIGNS, "user_pseudo_id"),
+            "landing_page_referrer": choose((None, "", "https://ref.example/"), "session_id"),
+            "landing_page_type": choose(PAGE_TYPES, "session_id"),
+            "url_gclid": "nullif(regexp_extract(landing_page_location, 'gclid=([^&]+)', 1), '')",
+            "url_wbraid": "nullif(regexp_extract(landing_page_location, 'wbraid=([^&]+)', 1), '')",
+            "url_fbclid": "nullif(regexp_extract(landing_page_location, 'fbclid=([^&]+)', 1), '')",
+            "url_campaign_id": "if(session_id % 4 = 0, 'c1', null)",
+            "order_type": choose(("Club", "Non-Club"), "session_id"),
+            "ga_session_number": """case when session_id % 13 = 0 then null
+                when user_pseudo_id % 7 = 0 then 32 - dayofmonth(session_date) else dayofmonth(session_date) end""",
+            "channel_category": """case coalesce(medium, 'none') when 'cpc' then 'Paid Search'
+                when 'paidsocial' then 'Paid Social' when 'none' then 'Direct' else 'Other' end""",
+            "marketing_category": "if(coalesce(medium in ('cpc', 'paidsocial'), false), 'Paid', 'Owned')",
+        }
+        kept = [c for c in looked_up.columns if c not in ("event_id", "k", "page_path")]
+        return looked_up.selectExpr(*kept, *[f"{e} as {n}" for n, e in derived.items()])
 
     def report(self) -> DataFrame:
         """Session x transaction, as reporting tables hold it."""
-        sales = self.transactions().select(
-            "session_id", "transaction_id", F.col("revenue").alias("purchase_revenue")
-        )
+        sales = self.transactions().selectExpr("session_id", "transaction_id", "revenue as purchase_revenue")
         rows = self.sessions().withColumnRenamed("session_date", "date").join(sales, "session_id", "left")
         return with_fiscal(rows, "date", self.fiscal, list(FISCAL))
 
+    def stored_report(self) -> DataFrame:
+        """The report as the stored table it stands for, for plans that read it
+        more than once."""
+        return stage(self.report())
+
     def orders(self) -> DataFrame:
-        c = F.col
-        return self.table("orders").select(
-            (c("o_orderkey") * 2).alias("order_id"),
-            c("o_orderdate").cast("date").alias("order_date"),
-            F.when(c("o_orderstatus") == "F", "New Recruit")
-            .when(c("o_orderstatus") == "O", "Existing Customer")
-            .when(c("o_orderstatus") == "P", "Re-Recruit")
-            .alias("customer_status"),
-            F.when(c("o_orderpriority") == "5-LOW", "Canceled").otherwise("Invoiced").alias("sales_status"),
-            F.when(c("o_custkey") % 2 == 0, "Wine Club").otherwise("Non-Wine Club").alias("order_type"),
-            F.concat(F.lit("B"), c("o_custkey") % 3).alias("order_brand"),
-            F.concat(F.lit("R"), c("o_custkey") % 10).alias("response_code"),
-            F.concat(F.lit("C"), c("o_orderkey") % 5).alias("coupon_code"),
-            F.concat(F.lit("AX"), c("o_orderkey")).alias("ax_order_number"),
-            c("o_orderpriority").alias("media"),
-            c("o_orderstatus").alias("sales_activity"),
-            c("o_custkey").alias("customer_id"),
-            c("o_totalprice").alias("order_revenue"),
+        return self.table("orders").selectExpr(
+            "o_orderkey * 2 as order_id",
+            "cast(o_orderdate as date) as order_date",
+            """case o_orderstatus when 'F' then 'New Recruit' when 'O' then 'Existing Customer'
+               when 'P' then 'Re-Recruit' end as customer_status""",
+            "if(o_orderpriority = '5-LOW', 'Canceled', 'Invoiced') as sales_status",
+            "if(o_custkey % 2 = 0, 'Wine Club', 'Non-Wine Club') as order_type",
+            "concat('B', o_custkey % 3) as order_brand",
+            "concat('R', o_custkey % 10) as response_code",
+            "concat('C', o_orderkey % 5) as coupon_code",
+            "concat('AX', o_orderkey) as ax_order_number",
+            "o_orderpriority as media",
+            "o_orderstatus as sales_activity",
+            "o_custkey as customer_id",
+            "o_totalprice as order_revenue",
         )
 
     def new_orders(self) -> DataFrame:
         return self.orders().where("customer_status = 'New Recruit' and sales_status = 'Invoiced'")
 
     def items(self) -> DataFrame:
-        lines = self.table("lineitem").select(
-            (F.col("l_orderkey") * 2).alias("transaction_id"), F.col("l_partkey").alias("item_id")
-        )
-        parts = self.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"))
+        lines = self.table("lineitem").selectExpr("l_orderkey * 2 as transaction_id", "l_partkey as item_id")
+        parts = self.table("part").selectExpr("p_partkey as item_id", "p_name as item_name")
         return lines.join(parts, "item_id")
 
     @cached_property
