@@ -51,12 +51,7 @@ def source_medium(source: Column, medium: Column, fill: str | None = None) -> Co
     return F.concat(source, F.lit(" / "), medium)
 
 
-def name_in(name: Column, patterns: Sequence[str] | None) -> Column:
-    """Case-insensitive match on a list of names, ``prefix*`` or ``*``.
-
-    One regular expression, so the name, which may be parsed out of JSON, is
-    evaluated once.
-    """
+def _alternatives(patterns: Sequence[str] | None) -> str:
     accepted = []
     for pattern in (p for p in patterns or () if p):
         if pattern == "*":
@@ -65,6 +60,19 @@ def name_in(name: Column, patterns: Sequence[str] | None) -> Column:
             accepted.append(re.escape(pattern))
         elif not pattern.startswith("*"):
             accepted.append(re.escape(pattern.split("*", 1)[0]) + ".*")
-    if not accepted:
+    return "|".join(accepted)
+
+
+def name_passes(name: Column, allow: Sequence[str] | None, block: Sequence[str] | None = None) -> Column:
+    """Case-insensitive test against lists of names, ``prefix*`` or ``*``: the
+    block list wins, no allow list means all, an empty name never passes.
+
+    One regular expression, because a filter repeats its column as often as it
+    is named, and the name may have to be parsed out of JSON each time.
+    """
+    wanted = _alternatives(allow) if allow else ".*"
+    if not wanted:
         return F.lit(False)
-    return name.rlike("(?isu)^(?:" + "|".join(accepted) + r")\z")
+    unwanted = _alternatives(block)
+    refuse = rf"(?!(?:{unwanted})\z)" if unwanted else ""
+    return name.rlike(rf"(?isu)\A(?!\z){refuse}(?:{wanted})\z")

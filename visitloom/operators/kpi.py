@@ -28,7 +28,11 @@ def _figures(revenue: str, digits: int | None) -> list[Column]:
 
 
 def session_sales(
-    sessions: DataFrame, transactions: DataFrame, join_keys: Sequence[str], keys: Sequence[str]
+    sessions: DataFrame,
+    transactions: DataFrame,
+    join_keys: Sequence[str],
+    keys: Sequence[str],
+    copies: str | None = None,
 ) -> DataFrame:
     """Rows whose distinct counts and sum equal those of sessions LEFT JOIN
     transactions.
@@ -37,7 +41,14 @@ def session_sales(
     from the inner join, where revenue repeats once per matching session row,
     exactly as in the left join. The point of the split: AQE can divide a hot
     key on either side of an inner join, but only on the left of a left one.
+
+    The join is null-safe against transactions without NULL keys. A plain one
+    would push "key is not NULL" below the aggregation that made the sessions;
+    the two uses would then differ, and their common shuffle would run twice.
     """
+    amount = F.col("revenue").cast("double")
+    if copies:
+        amount = amount * F.col(copies)
     visits = sessions.select(
         *keys,
         "user_pseudo_id",
@@ -45,12 +56,13 @@ def session_sales(
         F.lit(None).cast(transactions.schema["transaction_id"].dataType).alias("transaction_id"),
         F.lit(None).cast("double").alias("revenue"),
     )
-    sales = sessions.join(transactions, list(join_keys)).select(
+    keyed = transactions.dropna(subset=list(join_keys))
+    sales = null_safe_join(sessions, keyed, join_keys).select(
         *keys,
         F.lit(None).cast(sessions.schema["user_pseudo_id"].dataType).alias("user_pseudo_id"),
         F.lit(None).cast(sessions.schema["session_id"].dataType).alias("session_id"),
         "transaction_id",
-        F.col("revenue").cast("double").alias("revenue"),
+        amount.alias("revenue"),
     )
     return visits.unionByName(sales)
 
@@ -61,16 +73,18 @@ def session_kpi(
     keys: Sequence[str],
     *,
     join_keys: Sequence[str] = ("brand", "session_id"),
+    copies: str | None = None,
     revenue: str = "sum",
     digits: int | None = 2,
 ) -> DataFrame:
     """Users, sessions, transactions and revenue per key.
 
     ``sessions`` may hold one session several times (one row per date, say);
-    its revenue then counts once per row. ``revenue`` is 'sum' (NULL without a
-    sale) or 'zero'. No keys gives one row.
+    its revenue then counts once per row. Rows that were counted together name
+    the column with their number in ``copies``. ``revenue`` is 'sum' (NULL
+    without a sale) or 'zero'. No keys gives one row.
     """
-    rows = session_sales(sessions, transactions, join_keys, keys)
+    rows = session_sales(sessions, transactions, join_keys, keys, copies)
     return rows.groupBy(*keys).agg(*_figures(revenue, digits))
 
 
@@ -98,6 +112,12 @@ def session_kpi_with_total(
     return grouped.withColumn(group, label).drop("_total")
 
 
+def collapse(events: DataFrame, keys: Sequence[str], copies: str = "copies") -> DataFrame:
+    """Equal event rows as one session row with their number, so that a KPI over
+    event rows moves sessions and not events."""
+    return events.groupBy(*keys, "user_pseudo_id", "session_id").agg(F.count(F.lit(1)).alias(copies))
+
+
 def wide_kpi(
     report: DataFrame, keys: Sequence[str], *, revenue_col: str = "purchase_revenue", digits: int | None = 2
 ) -> DataFrame:

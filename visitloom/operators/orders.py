@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions import text
-from visitloom.operators.joins import null_safe_join
+from visitloom.operators.joins import null_safe_join, split_left_join
 
 
 def flag_group_has(df: DataFrame, key: str, condition: Column, row_flag: str, group_flag: str) -> DataFrame:
@@ -58,24 +58,17 @@ def reconcile(
     """Full outer join of web transactions with back-office orders.
 
     A web row that fails ``web_condition`` stays, unmatched. Written as matched
-    rows plus the two unmatched sides, because AQE can split a hot id in an
-    inner and in an anti join but not in a full one, and because rows with a
-    NULL id are then never shuffled to one task to find no partner.
+    rows plus the two unmatched sides, because AQE can split a hot id, NULL
+    included, in an inner and in an anti join but not in a full one. The sides
+    are read three times each: pass stored tables.
     """
-    can_match = F.col(web_id).isNotNull()
-    if web_condition is not None:
-        can_match = can_match & F.coalesce(web_condition, F.lit(False))
-    eligible = web.where(can_match)
-    web_ids = eligible.select(F.col(web_id).alias(office_id)).distinct()
-    office_ids = back_office.where(F.col(office_id).isNotNull()).select(
-        F.col(office_id).alias(web_id)
-    ).distinct()
-    matched = eligible.join(back_office, eligible[web_id] == back_office[office_id])
-    web_only = eligible.join(office_ids, web_id, "left_anti").unionByName(web.where(~can_match))
-    named = back_office.where(F.col(office_id).isNotNull())
-    office_only = named.join(web_ids, office_id, "left_anti").unionByName(
-        back_office.where(F.col(office_id).isNull())
-    )
+    matches = F.lit(True) if web_condition is None else web_condition
+    eligible = web.where(matches)
+    web_ids = eligible.select(F.col(web_id).alias("_id")).distinct()
+    office_ids = back_office.select(F.col(office_id).alias("_id")).distinct()
+    matched = eligible.join(back_office, F.col(web_id) == F.col(office_id))
+    web_only = web.join(office_ids, (F.col(web_id) == F.col("_id")) & matches, "left_anti")
+    office_only = back_office.join(web_ids, F.col(office_id) == F.col("_id"), "left_anti")
     return matched.unionByName(web_only, allowMissingColumns=True).unionByName(
         office_only, allowMissingColumns=True
     )
@@ -120,7 +113,7 @@ def cancel_reasons(events: DataFrame, confirm: str, feedback: str, no_reason: st
     confirmed = events.where(F.col("event_category") == confirm).select(
         "brand", "event_date", "page_fragment", "event_order"
     )
-    return confirmed.join(reasons, ["brand", "page_fragment"], "left").select(
+    return split_left_join(confirmed, reasons, ["brand", "page_fragment"]).select(
         "brand",
         F.col("event_order").alias("club"),
         F.col("event_date").alias("date"),
@@ -130,5 +123,6 @@ def cancel_reasons(events: DataFrame, confirm: str, feedback: str, no_reason: st
 
 
 def order_lines(report: DataFrame, items: DataFrame, details: DataFrame) -> DataFrame:
-    """Report rows with their item lines and back-office attributes, where any."""
-    return report.join(items, "transaction_id", "left").join(details, "transaction_id", "left")
+    """Report rows with their item lines and back-office attributes, where any.
+    Lines repeat per transaction, the details are one row per order."""
+    return split_left_join(report, items, ["transaction_id"]).join(details, "transaction_id", "left")

@@ -50,10 +50,7 @@ def forward_events(
     The block list wins, no allow list means all, unnamed events are dropped.
     """
     name = F.col("event")
-    keep = text.name_in(name, allow or ["*"]) & (name != "")
-    if block:
-        keep = keep & ~text.name_in(name, block)
-    return events.where(keep).select(
+    return events.where(text.name_passes(name, allow, block)).select(
         F.concat(F.lit(prefix), name).alias("event"),
         name.alias("acdl_event_name"),
         *[c for c in events.columns if c != "event"],

@@ -18,7 +18,7 @@ from visitloom.plans.traffic import (
 )
 from visitloom.plans.views import FISCAL, Views
 from visitloom.sources import reports, tables
-from visitloom.sources.staging import new_path
+from visitloom.sources.staging import new_path, stage
 from visitloom.sources.lookups import channel_map
 
 EVENT_PAGES_SQL = r"regexp_matches(page_location, '/newlandingpage/|/offer_temp5\.jsp') AND page_location LIKE '%N003%'"
@@ -224,7 +224,7 @@ WHERE o.response_code IN ('R1', 'R7') OR (lnd_source_medium = 'cm_dm / postcard'
 )
 def order_reconciliation(v: Views) -> DataFrame:
     both = orders.reconcile(
-        v.transactions().select("transaction_id", "transaction_date", "session_id"),
+        stage(v.transactions().select("transaction_id", "transaction_date", "session_id")),
         v.orders().select("order_id", "order_date", "response_code"),
         "transaction_id",
         "order_id",
@@ -258,7 +258,12 @@ SELECT CASE WHEN order_id IS NULL THEN 'web only' WHEN transaction_id IS NULL TH
 FROM p_transactions FULL JOIN p_orders ON order_id = transaction_id GROUP BY 1""",
 )
 def order_match_outcomes(v: Views) -> DataFrame:
-    both = orders.reconcile(v.transactions(), v.orders(), "transaction_id", "order_id")
+    both = orders.reconcile(
+        stage(v.transactions().select("transaction_id", "revenue")),
+        v.orders().select("order_id", "order_revenue"),
+        "transaction_id",
+        "order_id",
+    )
     outcome = (
         F.when(F.col("order_id").isNull(), "web only")
         .when(F.col("transaction_id").isNull(), "office only")
@@ -441,7 +446,6 @@ def order_history_copy(v: Views) -> DataFrame:
         add_nulls={"source_system": "string", "delivery_date": "date"},
         partition_by="order_year",
         cluster_by=["order_brand", "order_type", "customer_status"],
-        spread_by=["order_id"],
         path=path,
         description="Order details before the cut-off, by year",
     )

@@ -418,8 +418,8 @@ def cart_segment_kpi(v: Views) -> DataFrame:
     ).withColumns({"year": F.trunc("event_date", "YEAR"), "month": F.trunc("event_date", "MM")})
     sales = v.transactions().select("session_id", "transaction_id", "revenue")
     keys = ["segment", "brand", "year", "month"]
-    visits = segments.select(*keys, "user_pseudo_id", "session_id")
-    return kpi.session_kpi(visits, sales, keys, join_keys=["session_id"])
+    visits = kpi.collapse(segments, keys)
+    return kpi.session_kpi(visits, sales, keys, join_keys=["session_id"], copies="copies")
 
 
 @query(

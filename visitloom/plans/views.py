@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitloom.operators.calendar import expand_weeks, weeks_445, with_fiscal
+from visitloom.operators.joins import null_safe_join
 from visitloom.sources.staging import stage
 
 URL_TAILS = (
@@ -154,6 +155,7 @@ class Views:
             "session_start_timestamp_utc": "min(event_timestamp_utc)",
             "session_duration_s": "timestampdiff(SECOND, min(event_timestamp_utc), max(event_timestamp_utc))",
             "engagement_time_msec": "sum(engagement_time_msec)",
+            "purchases": "count_if(event_name = 'purchase')",
             "f": f"min_by(struct(event_id, k, device_operating_system), {order})",
             "source": f"min_by(source, {order}) filter (where source is not null)",
             "medium": f"min_by(medium, {order}) filter (where medium is not null)",
@@ -187,9 +189,18 @@ class Views:
         return looked_up.selectExpr(*kept, *[f"{e} as {n}" for n, e in derived.items()])
 
     def report(self) -> DataFrame:
-        """Session x transaction, as reporting tables hold it."""
+        """Session x transaction, as reporting tables hold it.
+
+        Written as sessions with a purchase, joined to their transactions, plus
+        the other sessions; a hot session is then divided by AQE, which a left
+        join would not allow. The join is null-safe so that both uses of the
+        sessions share one shuffle (see ``split_left_join``).
+        """
         sales = self.transactions().selectExpr("session_id", "transaction_id", "revenue as purchase_revenue")
-        rows = self.sessions().withColumnRenamed("session_date", "date").join(sales, "session_id", "left")
+        sessions = self.sessions().withColumnRenamed("session_date", "date")
+        sold = null_safe_join(sessions.where("purchases > 0"), sales, ["session_id"])
+        unsold = sessions.where("purchases = 0")
+        rows = sold.unionByName(unsold, allowMissingColumns=True).drop("purchases")
         return with_fiscal(rows, "date", self.fiscal, list(FISCAL))
 
     def stored_report(self) -> DataFrame:

@@ -12,15 +12,14 @@ from pyspark.sql import types as T
 from visitloom.functions.dates import Day, day
 
 
-def clustered(df: DataFrame, partition_by: str, cluster_by: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Rows ordered by partition, then cluster columns, then ``spread_by``.
+def clustered(df: DataFrame, partition_by: str, cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Rows brought together by partition and sorted by the cluster columns.
 
-    Range partitioning cuts where the rows are, so one busy day is written by
-    several tasks; ``spread_by`` (an id) lets it cut inside one cluster value.
-    Sorted files give Parquet the narrow min/max ranges that skip row groups.
+    A rebalance, not a repartition: AQE joins small days into one task and cuts
+    a busy day into several, so no day is written by a single task. Sorted files
+    have the narrow min/max ranges by which Parquet row groups are skipped.
     """
-    order = [partition_by, *cluster_by, *spread_by]
-    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return df.hint("rebalance", partition_by).sortWithinPartitions(partition_by, *cluster_by)
 
 
 def create_table(
@@ -54,7 +53,6 @@ def copy_table(
     add_nulls: Mapping[str, str] | None = None,
     partition_by: str,
     cluster_by: Sequence[str] = (),
-    spread_by: Sequence[str] = (),
     path: str | None = None,
     description: str = "",
 ) -> DataFrame:
@@ -65,7 +63,7 @@ def copy_table(
     for name, type_ in (add_nulls or {}).items():
         rows = rows.withColumn(name, F.lit(None).cast(type_))
     spark.sql(f"DROP TABLE IF EXISTS {table}")
-    writer = clustered(rows, partition_by, cluster_by, spread_by).write.partitionBy(partition_by)
+    writer = clustered(rows, partition_by, cluster_by).write.partitionBy(partition_by)
     if path:
         writer = writer.option("path", path)
     writer.mode("overwrite").format("parquet").saveAsTable(table)
@@ -99,35 +97,28 @@ def incremental_refresh(
 ) -> DataFrame:
     """Rebuilds all days from the checkpoint on and leaves earlier ones alone.
 
-    ``checkpoint`` overrides the computed day (to backfill late inputs). Days
-    the source no longer has are dropped, as a delete-then-insert would do. A
-    rerun writes the same days again, so a failed run is simply repeated.
+    ``checkpoint`` overrides the computed day (to backfill late inputs). Old
+    partitions from the checkpoint on are dropped first, so that days the source
+    no longer has disappear too. A failed run is simply repeated: what is left
+    of the table gives the same or an earlier checkpoint, and a day that was
+    written is overwritten, never appended to.
     """
     spark = source.sparkSession
     exists = spark.catalog.tableExists(table)
     if checkpoint is None:
         checkpoint = refresh_checkpoint(spark.table(table) if exists else None, date_col, final_col, start)
-    rows = source.where(F.col(date_col) >= F.lit(day(checkpoint)))
-    if not exists:
-        schema = T.StructType(
-            [f for f in source.schema.fields if f.name != date_col] + [source.schema[date_col]]
-        )
+    first = day(checkpoint)
+    if exists:
+        # Partition names only, one per day.
+        days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+        for old in (d for d in days if d >= first.isoformat()):
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date_col} = DATE '{old}')")
+    else:
+        fields = [f for f in source.schema.fields if f.name != date_col]
+        schema = T.StructType([*fields, source.schema[date_col]])
         create_table(spark, table, schema, partition_by=date_col, path=path)
-    columns = spark.table(table).columns
-    days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    stale = {d for d in days if d >= day(checkpoint).isoformat()}
-    if stale:
-        # One row per day at most; only needed when there is something to replace.
-        present = {r[0].isoformat() for r in rows.select(date_col).distinct().collect() if r[0]}
-        for gone in sorted(stale - present):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date_col} = DATE '{gone}')")
-    order = [date_col, *[c for c in columns if c != date_col][:1]]
-    (
-        rows.select(*columns)
-        .repartitionByRange(*order)
-        .write.option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .insertInto(table)
-    )
+    rows = source.where(F.col(date_col) >= F.lit(first)).select(*spark.table(table).columns)
+    writer = clustered(rows, date_col).write.option("partitionOverwriteMode", "dynamic")
+    writer.mode("overwrite").insertInto(table)
     spark.catalog.refreshTable(table)
     return spark.table(table)
