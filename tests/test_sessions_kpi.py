@@ -189,6 +189,8 @@ def test_prefer_final_is_whole_and_repeatable(make):
     assert rows(got, "brand", "session_id", "origin") == [
         ("A", 2, "i"), ("B", 1, "f"), ("B", 2, "f"), ("B", 2, "f2"), ("B", 3, "i"), ("B", 4, "i"),
     ]
+    by_day = properties.prefer_final(final, intraday, keys, "2024-01-10", "d", whole_days=True)
+    assert rows(by_day, "session_id", "origin") == [(1, "f"), (2, "f"), (2, "f2"), (4, "i")]
     again = properties.prefer_final(got, intraday, keys, "2024-01-10", "d")
     assert rows(again) == rows(got)
 

@@ -110,6 +110,15 @@ def _named(attributes: Sequence[str]) -> list[tuple[str, str]]:
     return [(a, "session_number" if a == "ga_session_number" else a) for a in attributes]
 
 
+def _seconds(df: DataFrame, ts: str) -> Column:
+    """Seconds since 1970. A zone-less clock is read as it stands: in a session
+    zone with daylight saving, a cast would let some times trade places."""
+    t = F.col(ts)
+    if df.schema[ts].dataType.typeName() != "timestamp_ntz":
+        return F.unix_seconds(t.cast("timestamp"))
+    return F.unix_date(t.cast("date")) * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t))
+
+
 def count_until(
     points: DataFrame,
     anchors: DataFrame,
@@ -133,8 +142,8 @@ def count_until(
         .where(F.col(ts).isNotNull() & F.col(key).isNotNull())
         .groupBy(key, ts)
         .agg(F.sum("_n").alias("_n"), F.max("_anchor").alias("_anchor"))
-        .withColumn("_bucket", F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds))
     )
+    ticks = ticks.withColumn("_bucket", F.floor(_seconds(ticks, ts) / bucket_seconds))
     so_far = "rows between unbounded preceding and current row"
     before = "rows between unbounded preceding and 1 preceding"
     totals = ticks.groupBy(key, "_bucket").agg(

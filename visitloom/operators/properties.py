@@ -65,13 +65,20 @@ def prefer_final(
     as_of: Day,
     date_col: str,
     days: int = 2,
+    *,
+    whole_days: bool = False,
 ) -> DataFrame:
     """All final rows, plus the intraday rows of the last days not yet final.
 
     Decided per key and not per day, so a partly landed day is neither lost
     nor counted twice. The keys of the final side are made distinct first: the
     anti join then meets each key once, however often a key repeats.
+
+    ``whole_days`` decides by day instead: a day with any final row takes none
+    from intraday. It needs no keys, but the final load must land in one piece.
     """
+    if whole_days:
+        keys = [date_col]
     landed = final
     if date_col in keys:
         landed = final.where(last_n_days(F.col(date_col), as_of, days))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 from visitloom.functions.dates import Day, day
 
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
 
 def clustered(df: DataFrame, partition_by: str, cluster_by: Sequence[str] = ()) -> DataFrame:
     """Rows brought together by partition and sorted by the cluster columns.
@@ -85,6 +88,18 @@ def refresh_checkpoint(
     return day(start) if last is None else last + dt.timedelta(days=1)
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
+    """Overwrites touch only the partitions they write. ``insertInto`` heeds the
+    session setting and not the writer's option; the default empties the table."""
+    before = spark.conf.get(OVERWRITE_MODE)
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
+
+
 def incremental_refresh(
     source: DataFrame,
     table: str,
@@ -118,7 +133,7 @@ def incremental_refresh(
         schema = T.StructType([*fields, source.schema[date_col]])
         create_table(spark, table, schema, partition_by=date_col, path=path)
     rows = source.where(F.col(date_col) >= F.lit(first)).select(*spark.table(table).columns)
-    writer = clustered(rows, date_col).write.option("partitionOverwriteMode", "dynamic")
-    writer.mode("overwrite").insertInto(table)
+    with _dynamic_overwrite(spark):
+        clustered(rows, date_col).write.mode("overwrite").insertInto(table)
     spark.catalog.refreshTable(table)
     return spark.table(table)
