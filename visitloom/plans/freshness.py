@@ -95,11 +95,7 @@ FROM events GROUP BY 1, 2""",
 )
 def streamed_bucket_totals(v: Views) -> DataFrame:
     """The events as a stream of files, run to the end."""
-    schema = v.table("events").schema
-    stream = (
-        v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-    )
-    totals = runs.bucket_totals(stream, ["event_type"], ts="ts")
+    totals = runs.bucket_totals(v.stream("events"), ["event_type"], ts="ts")
     out = new_path(v.spark, "totals")
     result = runs.write_totals(totals, out, new_path(v.spark, "totals-log"))
     return result.withColumn("value", F.round("value", 2))
@@ -110,12 +106,12 @@ def streamed_bucket_totals(v: Views) -> DataFrame:
     "SELECT event_type, count(*) AS events, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY 1",
 )
 def ingested_events(v: Views) -> DataFrame:
-    """Two runs over the same folder: the second one adds nothing."""
+    """Two runs over the same files: the second one adds nothing."""
     schema = v.table("events").schema
     target, log = new_path(v.spark, "ingest"), new_path(v.spark, "ingest-log")
     for _ in range(2):
         rows = runs.ingest_new_files(
-            v.spark, v.sf_dir, schema, target, log, file_format="parquet", glob="events.parquet"
+            v.spark, v.files("events"), schema, target, log, file_format="parquet"
         )
     return rows.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id")
@@ -128,7 +124,7 @@ def ingested_events(v: Views) -> DataFrame:
 SELECT 'orders.parquet' AS file_name, true AS is_stamped, count(*) AS row_count, min(o_orderkey) AS first_key FROM orders""",
 )
 def backfilled_files(v: Views) -> DataFrame:
-    rows = files.backfill_all(v.spark, v.sf_dir, "parquet", v.table("orders").schema, glob="orders.parquet")
+    rows = files.backfill_all(v.spark, v.path("orders"), "parquet", v.table("orders").schema)
     return rows.groupBy("file_name").agg(
         F.min(F.col("stamped_name").rlike(r"^orders__\d{8}_\d{6}\.parquet$")).alias("is_stamped"),
         F.count(F.lit(1)).alias("row_count"),

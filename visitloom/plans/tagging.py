@@ -86,9 +86,7 @@ SELECT page_load_id, count(DISTINCT user_id) AS users FROM x GROUP BY 1""",
 def streamed_pageview_loads(v: Views) -> DataFrame:
     """The once-per-page-load rule on a stream. Which page view arrives first is
     up to the source, so only the loads themselves are compared."""
-    raw = v.table("events")
-    stream = v.spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-    streamed = StreamedViews(v, stream)
+    streamed = StreamedViews(v, v.stream("events"))
     parsed = tagging.parse_events(browser_events(streamed.events()))
     once = runs.first_pageviews(parsed, "page_load_id", "event_timestamp_utc", late="2 days")
     out = runs.append_stream(once, new_path(v.spark, "loads"), new_path(v.spark, "loads-log"))

@@ -59,9 +59,20 @@ class Views:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._read[name] = self.spark.read.parquet(self.path(name))
         return self._read[name]
 
+    def path(self, name: str) -> str:
+        """One file here, a folder of part files on a cluster."""
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def files(self, name: str) -> str:
+        """The path as a pattern: a stream takes a plain path for a folder."""
+        return f"{self.sf_dir}/{name}.parque[t]"
+
+    def stream(self, name: str) -> DataFrame:
+        return self.spark.readStream.schema(self.table(name).schema).parquet(self.files(name))
+
     def events(self, *, pages: bool = False, geo: bool = False) -> DataFrame:
         raw = self.table("events").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
         df = raw.selectExpr(
