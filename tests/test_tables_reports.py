@@ -130,7 +130,8 @@ class FakeSession:
 def test_staging_needs_a_shared_folder_only_on_a_cluster(spark, make):
     df = make("a int", (1,), (2,))
     assert rows(staging.stage(df)) == [(1,), (2,)]
-    assert staging.new_path(FakeSession("hdfs://shared/"), "x").startswith("hdfs://shared/x-")
+    assert staging.shared_folder(FakeSession("hdfs://shared/")) == "hdfs://shared"
+    assert staging.new_path(spark, "x").startswith(staging.shared_folder(spark) + "/visitloom-")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_folder(FakeSession())
 

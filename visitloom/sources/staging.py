@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,8 +26,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def app_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder, removed when its driver ends."""
+    folder = f"{shared_folder(spark)}/visitloom-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(folder)
+    return folder
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{app_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
