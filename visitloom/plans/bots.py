@@ -38,7 +38,7 @@ def _rate_sql(conditions: dict[str, str]) -> str:
 def _cohort_sessions(v: Views) -> DataFrame:
     c = F.col
     named = (c("lnd_source") == "facebook") & (c("lnd_medium") == "paidsocial")
-    landed = v.sessions().select(
+    landed = v.sessions(pages=False).select(
         "session_date",
         "session_id",
         F.when(named, "named source").otherwise("other sources").alias("cohort"),
@@ -184,7 +184,7 @@ FROM p_sessions JOIN o USING (session_id)""",
 )
 def zero_duration_share(v: Views) -> DataFrame:
     single = sessions.single_page_sessions(v.events())
-    landed = v.sessions().join(single, "session_id", "left_semi")
+    landed = v.sessions(pages=False, geo=False).join(single, "session_id", "left_semi")
     share = share_of_rows(F.col("session_duration_s") == 0)
     return landed.agg(F.round(share, 6).alias("zero_duration_session_percentage"))
 
@@ -197,7 +197,7 @@ SELECT round(avg(session_duration_s), 4) AS avg_session_duration FROM p_sessions
 )
 def single_page_duration(v: Views) -> DataFrame:
     single = sessions.single_page_sessions(v.events())
-    landed = v.sessions().join(single, "session_id", "left_semi")
+    landed = v.sessions(pages=False, geo=False).join(single, "session_id", "left_semi")
     return landed.agg(F.round(F.avg("session_duration_s"), 4).alias("avg_session_duration"))
 
 

@@ -49,7 +49,7 @@ WHERE session_date = DATE '2024-01-30' OR (session_date = DATE '2024-01-29' AND
 def fresh_sessions(v: Views) -> DataFrame:
     """Yesterday's export has landed for two of three brands, today's for none."""
     columns = ["brand", "session_id", "session_date", "session_duration_s"]
-    sessions = stage(v.sessions().select(*columns))
+    sessions = stage(v.sessions(pages=False, geo=False).select(*columns))
     landed = "session_date < date'2024-01-29' or (session_date = date'2024-01-29' and brand <> 'B2')"
     final = sessions.where(landed).withColumn("origin", F.lit("final"))
     intraday = sessions.withColumn("origin", F.lit("intraday"))
@@ -81,7 +81,7 @@ FROM p_sessions GROUP BY 1, 2, 3""",
 )
 def session_start_buckets(v: Views) -> DataFrame:
     start = F.col("session_start_timestamp_utc")
-    bucketed = v.sessions().withColumn("hour_utc", time_bucket(start, "1 hour")).withColumn(
+    bucketed = v.sessions(pages=False, geo=False).withColumn("hour_utc", time_bucket(start, "1 hour")).withColumn(
         "half_hour_local", time_bucket(start, "30 minutes", "America/New_York")
     )
     return bucketed.groupBy("brand", "hour_utc", "half_hour_local").agg(F.count(F.lit(1)).alias("sessions"))
@@ -142,7 +142,7 @@ def refreshed_sessions(v: Views) -> DataFrame:
     """A first build up to the 22nd (final to the 20th), then a refresh."""
     path = new_path(v.spark, "refresh")
     table = "refresh_" + path.rsplit("-", 1)[1]
-    sessions = stage(v.sessions().select("session_id", "session_duration_s", "session_date"))
+    sessions = stage(v.sessions(pages=False, geo=False).select("session_id", "session_duration_s", "session_date"))
 
     def run(number: int, last: str, final: str) -> DataFrame:
         rows = sessions.where(F.col("session_date") <= F.lit(last).cast("date")).withColumns(
@@ -166,4 +166,4 @@ FROM a FULL JOIN e USING (brand)""",
 )
 def brand_validation(v: Views) -> DataFrame:
     expected = v.events().groupBy("brand").agg(F.count_distinct("session_id").alias("expected_sessions"))
-    return properties.validate_brand(v.report(), expected, v.fiscal)
+    return properties.validate_brand(v.report(pages=False, geo=False, fiscal=False), expected, v.fiscal)

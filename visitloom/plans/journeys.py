@@ -78,7 +78,7 @@ SELECT user_pseudo_id, ft.session_id AS session_id, ft.date AS date, ft.lnd_sour
        ft.channel_category AS channel_category, NOT same AS first_touch_disagrees FROM ft""",
 )
 def user_first_touch(v: Views) -> DataFrame:
-    touch = attribution.first_touch(v.report(), ["date", "lnd_source_medium", "channel_category"])
+    touch = attribution.first_touch(v.report(pages=False, geo=False, fiscal=False), ["date", "lnd_source_medium", "channel_category"])
     return touch.select("user_pseudo_id", "ft.*", "first_touch_disagrees")
 
 
@@ -89,7 +89,7 @@ SELECT user_pseudo_id, session_id, lnd_source_medium FROM p_sessions WHERE ga_se
 QUALIFY row_number() OVER (PARTITION BY user_pseudo_id ORDER BY ga_session_number, session_date, session_id) = 1""",
 )
 def numbered_first_session(v: Views) -> DataFrame:
-    numbered = v.sessions().where("ga_session_number is not null")
+    numbered = v.sessions(pages=False, geo=False).where("ga_session_number is not null")
     return attribution.first_by(
         numbered,
         ["user_pseudo_id"],
@@ -105,7 +105,7 @@ SELECT user_pseudo_id, transaction_id FROM new_orders JOIN p_report ON transacti
 WHERE user_pseudo_id NOT IN ({AMBIGUOUS_SQL})""",
 )
 def single_order_users(v: Views) -> DataFrame:
-    purchases = attribution.purchase_rows(v.new_orders(), v.report()).select("user_pseudo_id", "transaction_id")
+    purchases = attribution.purchase_rows(v.new_orders(), v.report(pages=False, geo=False, fiscal=False)).select("user_pseudo_id", "transaction_id")
     return attribution.exclude_ambiguous(purchases, "user_pseudo_id", purchases)
 
 
@@ -118,7 +118,7 @@ SELECT brand, user_pseudo_id, transaction_id, min(date) AS purchase_date,
 FROM p_report JOIN new_orders ON order_id = transaction_id GROUP BY 1, 2, 3""",
 )
 def purchase_snapshots(v: Views) -> DataFrame:
-    purchases = attribution.purchase_rows(v.new_orders(), v.report())
+    purchases = attribution.purchase_rows(v.new_orders(), v.report(pages=False, geo=False, fiscal=False))
     snapshot = attribution.purchase_snapshot(purchases, ["channel_category"])
     return snapshot.withColumn("revenue", F.round("revenue", 2))
 
@@ -194,7 +194,7 @@ def partner_click_orders(v: Views) -> DataFrame:
     clicked = orders.first_url_with(
         v.events(pages=True), ["irpid", "clickid"], ["event_timestamp_utc", "event_id"]
     )
-    joined = v.report().select("session_id", "brand", "transaction_id", "date", "purchase_revenue").join(
+    joined = v.report(pages=False, geo=False, fiscal=False).select("session_id", "brand", "transaction_id", "date", "purchase_revenue").join(
         clicked, "session_id"
     )
     return orders.url_params(joined, "first_url", ["irpid", "clickid", "afsrc"]).drop("session_id")

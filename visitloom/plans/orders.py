@@ -139,7 +139,7 @@ def flagged_order_items(v: Views) -> DataFrame:
     visited = sessions.sessions_any(v.events(pages=True), F.col("page_location").like("%sale%")).withColumn(
         "_visited", F.lit(True)
     )
-    landed = v.sessions().select("session_id", "session_date", "landing_page_location", "lnd_source_medium")
+    landed = v.sessions(geo=False).select("session_id", "session_date", "landing_page_location", "lnd_source_medium")
     yes = lambda cond: F.when(cond, "Yes").otherwise("No")
     return (
         flagged.join(landed, "session_id")
@@ -192,7 +192,7 @@ WHERE (landing_page_location LIKE '%N003%' OR landing_page_location LIKE '%fbcli
 )
 def social_order_items(v: Views) -> DataFrame:
     url = F.col("landing_page_location")
-    coded = v.report().where((url.like("%N003%") | url.like("%fbclid%")) & F.col("transaction_id").isNotNull())
+    coded = v.report(geo=False, fiscal=False).where((url.like("%N003%") | url.like("%fbclid%")) & F.col("transaction_id").isNotNull())
     details = _order_details(v, "sales_activity", "media", "response_code")
     return orders.order_lines(coded, v.items(), details).select(
         "date",
@@ -230,7 +230,7 @@ def order_reconciliation(v: Views) -> DataFrame:
         "order_id",
         F.col("transaction_date") > F.lit("2024-01-05").cast("date"),
     )
-    landed = v.sessions().where("brand = 'B1'").select(
+    landed = v.sessions(pages=False, geo=False).where("brand = 'B1'").select(
         "session_id", "lnd_source_medium", "lnd_campaign", "lnd_content"
     )
     mailed = (F.col("lnd_source_medium") == "cm_dm / postcard") & (F.col("lnd_campaign") == "club_join")
@@ -372,7 +372,7 @@ def enriched_sessions(v: Views) -> DataFrame:
             "url_campaign_id",
         )
     ]
-    staged = v.sessions().drop("channel_category", "marketing_category")
+    staged = v.sessions(geo=False).drop("channel_category", "marketing_category")
     channelled = staged.withColumns(
         {
             "channel_category": rules.channel_by_click_id(*inputs, words=True),

@@ -166,7 +166,7 @@ def landing_channel_revenue(v: Views) -> DataFrame:
         landing_sessions(v, not_country="ASIA"), "event_date", v.fiscal, MONTH_COLUMNS, "inner"
     )
     source, medium = F.col("source"), F.col("medium")
-    channels = v.sessions().select(
+    channels = v.sessions(pages=False, geo=False).select(
         "brand",
         "session_id",
         rules.channel_by_source(source, medium).alias("channel"),
@@ -273,7 +273,7 @@ FROM p_report WHERE brand IN ('B0', 'B1') AND date BETWEEN DATE '2024-01-01' AND
 GROUP BY 1, 2, 3""",
 )
 def brand_month_traffic(v: Views) -> DataFrame:
-    report = v.report().where(
+    report = v.report(pages=False, geo=False, fiscal=False).where(
         "brand in ('B0', 'B1') and date between date'2024-01-01' and date'2024-04-21'"
     )
     dated = report.withColumns({"month": F.month("date"), "year": F.year("date")})
@@ -288,7 +288,7 @@ SELECT brand, fiscal_year, fiscal_month_name, fiscal_month_number, 'Total Websit
 FROM p_report GROUP BY ALL""",
 )
 def brand_fiscal_traffic(v: Views) -> DataFrame:
-    report = v.report().withColumn("segment", F.lit("Total Website Traffic"))
+    report = v.report(pages=False, geo=False).withColumn("segment", F.lit("Total Website Traffic"))
     return kpi.wide_kpi(
         report, ["brand", "fiscal_year", "fiscal_month_name", "fiscal_month_number", "segment"]
     )
@@ -301,7 +301,7 @@ SELECT brand, order_type, count(DISTINCT transaction_id) AS orders, round(sum(pu
 FROM p_report GROUP BY 1, 2""",
 )
 def club_order_revenue(v: Views) -> DataFrame:
-    table = kpi.wide_kpi(v.report(), ["brand", "order_type"])
+    table = kpi.wide_kpi(v.report(pages=False, geo=False, fiscal=False), ["brand", "order_type"])
     return table.select("brand", "order_type", F.col("transactions").alias("orders"), "revenue")
 
 
@@ -316,7 +316,7 @@ FROM s JOIN p_report USING (session_id) GROUP BY 1, 2""",
 def checkout_session_revenue(v: Views) -> DataFrame:
     views = v.events(pages=True).where("event_name = 'page_view'")
     checked_out = sessions.sessions_any(views, F.col("page_location").rlike(rules.CLOSED_CHECKOUT))
-    report = v.report().join(checked_out, "session_id", "left_semi")
+    report = v.report(pages=False, geo=False, fiscal=False).join(checked_out, "session_id", "left_semi")
     table = kpi.wide_kpi(report, ["brand", "order_type"])
     return table.select("brand", "order_type", F.col("transactions").alias("orders"), "revenue")
 
@@ -353,7 +353,7 @@ WHERE landing_page_type IN ('advent', 'blog', 'gifts', 'wine club', 'product det
 GROUP BY 1""",
 )
 def organic_landing_revenue(v: Views) -> DataFrame:
-    return kpi.organic_revenue(v.report(), rules.ORGANIC_PAGE_TYPES, mode="any")
+    return kpi.organic_revenue(v.report(geo=False, fiscal=False), rules.ORGANIC_PAGE_TYPES, mode="any")
 
 
 @query(
@@ -366,7 +366,7 @@ WHERE landing_page_type IN ('advent', 'blog', 'gifts', 'wine club', 'product det
 GROUP BY 1""",
 )
 def organic_landing_revenue_strict(v: Views) -> DataFrame:
-    return kpi.organic_revenue(v.report(), rules.ORGANIC_PAGE_TYPES)
+    return kpi.organic_revenue(v.report(geo=False, fiscal=False), rules.ORGANIC_PAGE_TYPES)
 
 
 @query(
@@ -463,7 +463,7 @@ FROM p_sessions s LEFT JOIN p_transactions t ON t.session_id = s.session_id GROU
 )
 def source_medium_kpi(v: Views) -> DataFrame:
     pair = text.source_medium(F.col("source"), F.col("medium"), "(not set)")
-    visits = v.sessions().withColumn("source_medium", pair)
+    visits = v.sessions(pages=False, geo=False).withColumn("source_medium", pair)
     sales = v.transactions().select("session_id", "transaction_id", "revenue")
     return kpi.session_kpi(visits, sales, ["source_medium"], join_keys=["session_id"], revenue="zero")
 
@@ -573,7 +573,7 @@ WITH x AS (SELECT CAST(month(session_date) AS INTEGER) AS month, {NATION_GROUP_S
 {YOY_SQL.format(keys="month, state_group")}""",
 )
 def state_performance_yoy(v: Views) -> DataFrame:
-    visits = v.sessions().where("country is not null").withColumns(
+    visits = v.sessions(pages=False).where("country is not null").withColumns(
         {
             "month": F.month("session_date"),
             "state_group": nation_group("region"),

@@ -156,9 +156,10 @@ class Views:
             )
         )
 
-    def sessions(self) -> DataFrame:
+    def sessions(self, *, pages: bool = True, geo: bool = True) -> DataFrame:
         """One row per session. Page and place are looked up for the first event
-        only, after the events have shrunk to sessions."""
+        only, after the events have shrunk to sessions; plans that need neither
+        say so, because Catalyst cannot drop a join whose side may repeat a key."""
         keys = ["brand", "user_pseudo_id", "session_id"]
         order = "struct(event_timestamp_utc, event_id)"
         measures = {
@@ -172,9 +173,11 @@ class Views:
             "medium": f"min_by(medium, {order}) filter (where medium is not null)",
         }
         visits = self.events().groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in measures.items()])
-        looked_up = self._with_geo(
-            self._with_pages(visits.selectExpr(*keys, *[m for m in measures if m != "f"], "f.*"))
-        ).withColumnRenamed("page_location", "landing_page_location")
+        looked_up = visits.selectExpr(*keys, *[m for m in measures if m != "f"], "f.*")
+        if pages:
+            looked_up = self._with_pages(looked_up).withColumnRenamed("page_location", "landing_page_location")
+        if geo:
+            looked_up = self._with_geo(looked_up)
         derived = {
             "host": "concat('www.b', user_pseudo_id % 3, '.example')",
             "lnd_source": "coalesce(source, 'none')",
@@ -185,9 +188,6 @@ class Views:
             "ads_campaign_name": choose(ADS_CAMPAIGNS, "user_pseudo_id"),
             "landing_page_referrer": choose((None, "", "https://ref.example/"), "session_id"),
             "landing_page_type": choose(PAGE_TYPES, "session_id"),
-            "url_gclid": "nullif(regexp_extract(landing_page_location, 'gclid=([^&]+)', 1), '')",
-            "url_wbraid": "nullif(regexp_extract(landing_page_location, 'wbraid=([^&]+)', 1), '')",
-            "url_fbclid": "nullif(regexp_extract(landing_page_location, 'fbclid=([^&]+)', 1), '')",
             "url_campaign_id": "if(session_id % 4 = 0, 'c1', null)",
             "order_type": choose(("Club", "Non-Club"), "session_id"),
             "ga_session_number": """case when session_id % 13 = 0 then null
@@ -196,10 +196,14 @@ class Views:
                 when 'paidsocial' then 'Paid Social' when 'none' then 'Direct' else 'Other' end""",
             "marketing_category": "if(coalesce(medium in ('cpc', 'paidsocial'), false), 'Paid', 'Owned')",
         }
+        if pages:
+            for name in ("gclid", "wbraid", "fbclid"):
+                found = f"regexp_extract(landing_page_location, '{name}=([^&]+)', 1)"
+                derived[f"url_{name}"] = f"nullif({found}, '')"
         kept = [c for c in looked_up.columns if c not in ("event_id", "k", "page_path")]
         return looked_up.selectExpr(*kept, *[f"{e} as {n}" for n, e in derived.items()])
 
-    def report(self) -> DataFrame:
+    def report(self, *, pages: bool = True, geo: bool = True, fiscal: bool = True) -> DataFrame:
         """Session x transaction, as reporting tables hold it.
 
         Written as sessions with a purchase, joined to their transactions, plus
@@ -208,16 +212,21 @@ class Views:
         sessions share one shuffle (see ``split_left_join``).
         """
         sales = self.transactions().selectExpr("session_id", "transaction_id", "revenue as purchase_revenue")
-        sessions = self.sessions().withColumnRenamed("session_date", "date")
+        sessions = self.sessions(pages=pages, geo=geo).withColumnRenamed("session_date", "date")
         sold = null_safe_join(sessions.where("purchases > 0"), sales, ["session_id"])
         unsold = sessions.where("purchases = 0")
         rows = sold.unionByName(unsold, allowMissingColumns=True).drop("purchases")
-        return with_fiscal(rows, "date", self.fiscal, list(FISCAL))
+        return with_fiscal(rows, "date", self.fiscal, list(FISCAL)) if fiscal else rows
 
     def stored_report(self) -> DataFrame:
         """The report as the stored table it stands for, for plans that read it
-        more than once."""
-        return stage(self.report())
+        more than once; only what journeys need of it."""
+        columns = [
+            "brand", "user_pseudo_id", "session_id", "transaction_id", "date",
+            "session_start_timestamp_utc", "purchase_revenue", "ga_session_number",
+            "lnd_source_medium", "marketing_category", "channel_category",
+        ]
+        return stage(self.report(pages=False, geo=False, fiscal=False).select(*columns))
 
     def orders(self) -> DataFrame:
         return self.table("orders").selectExpr(
