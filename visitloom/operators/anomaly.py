@@ -98,7 +98,11 @@ def classify_sessions(scored: DataFrame, spike_traffic: str) -> DataFrame:
 
 
 def class_summary(classified: DataFrame) -> DataFrame:
-    """Sessions, users and purchases per class and day, with their shares."""
+    """Sessions, users and purchases per class and day, with their shares.
+
+    The summary is staged, as its totals are computed from it: a handful of rows
+    is read back, and the scoring before it runs once.
+    """
     within = ["session_date", "brand", "traffic_type"]
     summary = classified.groupBy(*within, "session_class").agg(
         F.count_distinct("session_key").alias("sessions"),
@@ -106,5 +110,5 @@ def class_summary(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("has_conversion") == 1).alias("purchases"),
     )
     return with_shares(
-        summary, {"sessions": "pct_sessions_within_day", "users": "pct_users_within_day"}, within
+        stage(summary), {"sessions": "pct_sessions_within_day", "users": "pct_users_within_day"}, within
     )

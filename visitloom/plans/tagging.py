@@ -9,7 +9,7 @@ from visitloom.functions import rules
 from visitloom.operators import tagging
 from visitloom.plans.registry import query
 from visitloom.plans.views import Views, choose
-from visitloom.sources.staging import new_path
+from visitloom.sources.staging import new_path, stage
 from visitloom.streaming import runs
 
 NAMES = ("homeHero", "mainNavClick", "pageView", "HOMEbanner", "mainNavClickX", "", None, "homeDebug")
@@ -21,7 +21,9 @@ NAMES_SQL = "(['homeHero','mainNavClick','pageView','HOMEbanner','mainNavClickX'
 def browser_events(events: DataFrame) -> DataFrame:
     """The given events as the page would push them: one JSON object each.
 
-    A page load is a user's day, so it usually has several page views.
+    A page load is a user's day, so it usually has several page views. Plans
+    stage the result, as the stored JSON it stands for: a payload still to be
+    made would be made again for each filter and projection that reads it.
     """
     user = f"""if(k % 3 <> 0, struct({choose(LOGIN, "k")} as loginType,
         cast(user_pseudo_id as string) as customerId, if(k % 2 = 0, 'ACTIVE', null) as state), null)"""
@@ -49,7 +51,7 @@ SELECT event_id, 'acdl.' || name AS event, name AS acdl_event_name,
 FROM n WHERE (lower(name) LIKE 'home%' OR lower(name) = 'mainnavclick') AND lower(name) <> 'homedebug'""",
 )
 def forwarded_events(v: Views) -> DataFrame:
-    parsed = tagging.parse_events(browser_events(v.events()))
+    parsed = tagging.parse_events(stage(browser_events(v.events())))
     forwarded = tagging.forward_events(parsed, block=["homeDebug"])
     return forwarded.select(
         "event_id", "event", "acdl_event_name", rules.mapped_event_name(F.col("event")).alias("mapped_name")
@@ -73,7 +75,7 @@ SELECT * EXCLUDE (event_id, event_timestamp_utc) FROM x
 QUALIFY row_number() OVER (PARTITION BY page_load_id ORDER BY event_timestamp_utc, event_id) = 1""",
 )
 def first_pageviews(v: Views) -> DataFrame:
-    parsed = tagging.parse_events(browser_events(v.events()))
+    parsed = tagging.parse_events(stage(browser_events(v.events())))
     return tagging.first_pageview(parsed, order=["event_timestamp_utc", "event_id"])
 
 
@@ -113,6 +115,6 @@ SELECT event_id, CASE k % 5 WHEN 4 THEN NULL ELSE 'nav' END AS click_category,
 FROM ev0""",
 )
 def click_details(v: Views) -> DataFrame:
-    parsed = tagging.parse_events(browser_events(v.events()))
+    parsed = tagging.parse_events(stage(browser_events(v.events())))
     parts = tagging.click_parts(parsed, "page_url", "link_text")
     return parts.select("event_id", "click_category", "click_subcategory", "click_text", "click_url")
