@@ -28,12 +28,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
 
 
 def add_columns(
-    df: DataFrame, column: str, types: dict[str, str], make: Callable[[list], list[list]]
+    df: DataFrame, column: str, types: dict[str, str], make: Callable[[pa.Array], list[list]]
 ) -> DataFrame:
     """``df`` with columns that ``make`` derives from the values of one column.
 
-    ``make`` gets the values of some rows (text as Python strings, None stays)
-    and returns one list per new column. Rows pass through in Arrow batches, a
+    ``make`` gets the values of some rows and returns one list per new column. Rows pass through in Arrow batches, a
     block of bounded text size at a time, so one task holds one batch. A new
     column replaces one of the same name; all others stay as they are.
     """
@@ -52,7 +51,7 @@ def add_columns(
         for batch in batches:
             values = batch.column(batch.num_columns - 1)
             for start, stop in blocks(values):
-                made = make(values.slice(start, stop - start).to_pylist())
+                made = make(values.slice(start, stop - start))
                 arrays = [batch.column(i).slice(start, stop - start) for i in range(len(old))]
                 arrays += [pa.array(v, type=out.field(len(old) + i).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(
@@ -77,6 +76,16 @@ def blocks(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
         start = stop
 
 
+def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of a slice of texts, one after the other, and where each begins; null is empty."""
+    if values.null_count:
+        values = values.fill_null("")
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return data[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (``a``, ``b``): columns ``node``, ``root``.
 

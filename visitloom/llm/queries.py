@@ -2,14 +2,57 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import simhash
+from visitloom.llm import bpe, secrets, simhash
 from visitloom.llm.common import table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def span_text(spans: Column) -> Column:
+    """``kind:start:end`` of each span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def of_kind(spans: Column, kinds: list[str]) -> Column:
+    return F.filter(spans, lambda s: s["kind"].isin(kinds))
+
+
+def counts(spans: Column, kinds: list[str]) -> list[Column]:
+    return [F.size(of_kind(spans, [k])).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def digest(encoder: bpe.Encoder, ids: list[int], decoded: bytes) -> tuple:
+        listed = ",".join(map(encoder.names.__getitem__, ids)).encode()
+        return len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()
+
+    types = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), types, digest).select("doc_id", *types)
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE_RULES]
+    spans = F.col("spans")
+    return docs.select(
+        "doc_id",
+        *counts(spans, base),
+        sha256(span_text(of_kind(spans, base))).alias("base_sha256"),
+        span_text(spans).alias("spans"),
+    )
+
 
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.duplicate_groups(table(spark, sf_dir, "documents"))
@@ -19,6 +62,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_byte_bpe": byte_bpe,
+    "op4_secret_scan": secret_scan,
     "op8_simhash_near_dedup": near_duplicates,
 }
 

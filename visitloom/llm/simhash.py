@@ -40,7 +40,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def add_fingerprint(docs: DataFrame, text: str = "text", width: int = 4, name: str = "fingerprint") -> DataFrame:
     """``docs`` with the SimHash of a text column. Null and wordless texts get 0."""
-    return add_columns(docs, text, {name: "bigint"}, lambda texts: [[fingerprint(t, width) for t in texts]])
+    return add_columns(docs, text, {name: "bigint"}, lambda texts: [[fingerprint(t, width) for t in texts.to_pylist()]])
 
 
 def near_links(prints: DataFrame, distance: int = 4, blocks: int = 6, most: int = 2048) -> DataFrame:
