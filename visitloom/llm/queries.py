@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, secrets, simhash
+from visitloom.llm import bpe, decontaminate, secrets, simhash
 from visitloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,18 @@ def counts(spans: Column, kinds: list[str]) -> list[Column]:
     return [F.size(of_kind(spans, [k])).cast("long").alias(f"n_{k}") for k in kinds]
 
 
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return marked.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        sha256(F.concat_ws(",", "items")).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(encoder: bpe.Encoder, ids: list[int], decoded: bytes) -> tuple:
         listed = ",".join(map(encoder.names.__getitem__, ids)).encode()
@@ -62,6 +74,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": benchmark_overlap,
     "op3_byte_bpe": byte_bpe,
     "op4_secret_scan": secret_scan,
     "op8_simhash_near_dedup": near_duplicates,
