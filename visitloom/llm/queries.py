@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, decontaminate, secrets, simhash
+from visitloom.llm import bpe, decontaminate, secrets, sharding, simhash, url_rules
 from visitloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,44 @@ def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _url_filter_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fits = {r.name: f"regexp_matches(host || path, '{r.pattern}')" for r in url_rules.SITE_RULES}
+    ordered = sorted(url_rules.SITE_RULES, key=lambda r: (-len(r.name), r.name))
+    rule = " ".join(f"WHEN {fits[r.name]} THEN '{r.name}'" for r in ordered)
+    verdict = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in ordered)
+    other = " OR ".join(f"regexp_matches(whole, '{r.pattern}')" for r in url_rules.PART_RULES)
+    return f"""
+        WITH cut AS (
+            SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host,
+                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
+                translate(coalesce(url, ''), '{upper}', '{lower}') AS whole
+            FROM cut
+        ), ruled AS (SELECT *, CASE {rule} END AS rule FROM parts)
+        SELECT page_id, host, path, rule, CASE {verdict} WHEN {other} THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+    """
+
+
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    shuffled = sharding.external_shuffle(docs, shards=8, bytes_of=F.col("size"))
+    return shuffled.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(encoder: bpe.Encoder, ids: list[int], decoded: bytes) -> tuple:
         listed = ",".join(map(encoder.names.__getitem__, ids)).encode()
@@ -75,12 +113,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": benchmark_overlap,
+    "op2_url_filter": url_filter,
     "op3_byte_bpe": byte_bpe,
     "op4_secret_scan": secret_scan,
+    "op5_external_shuffle": shards,
     "op8_simhash_near_dedup": near_duplicates,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_url_filter": _url_filter_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
