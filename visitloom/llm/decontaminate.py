@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import add_columns, free_name, text_bytes
+from visitloom.llm.common import add_columns, free_name
+from visitloom.llm.words import STEP, Words, alphanumeric, mixed, powers
 from visitloom.sources.staging import stage
 
 #: Words of a window, and of the n-grams that are hashed in it.
@@ -18,58 +19,11 @@ WINDOW, GRAM = 13, 9
 FILTER_BITS = 1 << 23
 PRINT = "array<struct<length:int,hash:bigint,at:int,lead:int,words:string>>"
 
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE, _STEP = 0x100000001B3, 0x9E3779B97F4A7C15
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _M1
-    h = (h ^ (h >> np.uint64(27))) * _M2
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    steps = np.full(n, base, dtype=np.uint64)
-    steps[:1] = 1
-    return np.multiply.accumulate(steps)
-
-
-def _folded() -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: whether it belongs to a word (digits, letters, all beyond ASCII), and it in lower case."""
-    member = np.zeros(256, dtype=bool)
-    for a, b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-        member[a:b] = True
-    lower = np.arange(256, dtype=np.uint8)
-    lower[65:91] += 32
-    return member, lower
-
-
-class Words:
-    """Words of a block of texts: byte ranges, hashes, and the first word of each text."""
+class Grams(Words):
+    """Words of documents and benchmark items, with their n-grams."""
 
     def __init__(self, values: pa.Array):
-        member, lower = _folded()
-        data, begins = text_bytes(values)
-        self.bytes = lower[data]
-        inside = member[data]
-        edge = np.zeros(len(data) + 1, dtype=bool)
-        edge[begins] = True
-        first = inside & np.concatenate(([True], ~inside[:-1])) if len(data) else inside
-        first |= inside & edge[:-1]
-        last = inside & np.concatenate((~inside[1:], [True])) if len(data) else inside
-        last |= inside & edge[1:]
-        self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.first = np.searchsorted(self.start, begins)
-        if len(self.start):
-            place = np.arange(len(data)) - np.repeat(
-                np.concatenate(([0], self.start)), np.diff(np.concatenate(([0], self.start, [len(data)])))
-            )
-            longest = int((self.stop - self.start).max())
-            power = _powers(_BASE, longest + 1)
-            mixed = np.where(inside, (self.bytes.astype(np.uint64) + np.uint64(1)) * power[np.minimum(place, longest)], 0)
-            self.hash = _mixed(np.add.reduceat(mixed, self.start))
-        else:
-            self.hash = np.zeros(0, dtype=np.uint64)
+        super().__init__(values, alphanumeric())
 
     def fingerprints(self, length: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winnowed n-grams for windows of ``length`` words, in the texts marked: word positions and hashes.
@@ -86,11 +40,11 @@ class Words:
         begins = np.flatnonzero(np.cumsum(fits[:-1]) > 0)
         if not len(begins):
             return begins, np.zeros(0, dtype=np.uint64)
-        power = _powers(_STEP, size)
+        power = powers(STEP, size)
         gram = np.zeros(n - size + 1, dtype=np.uint64)
         for j in range(size):
             gram += self.hash[j : n - size + 1 + j] * power[j]
-        gram = _mixed(gram)
+        gram = mixed(gram)
         best, at = gram[begins], begins.copy()
         for j in range(1, length - size + 1):
             here = gram[begins + j]
@@ -138,7 +92,7 @@ def _prints(df: DataFrame, text: str, names: tuple[str, str], lengths: list[int]
     """``df`` with the number of words and the fingerprints; without ``lengths`` each text has windows of its own kind."""
 
     def make(values: pa.Array) -> list[list]:
-        words = Words(values)
+        words = Grams(values)
         counts = np.diff(words.first)
         found: list[list[dict]] = [[] for _ in range(len(values))]
         own = np.minimum(counts, WINDOW)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, decontaminate, secrets, sharding, simhash, url_rules
+from visitloom.llm import bpe, decontaminate, secrets, sentences, sharding, simhash, url_rules
 from visitloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -104,6 +104,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentences.remove_repeats(docs).select("doc_id", "text", "n_removed", "removed", "copies_of")
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": byte_bpe,
     "op4_secret_scan": secret_scan,
     "op5_external_shuffle": shards,
+    "op6_sentence_spans": repeated_sentences,
     "op8_simhash_near_dedup": near_duplicates,
 }
 
