@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, decontaminate, secrets, sentences, sharding, simhash, url_rules
+from visitloom.llm import bpe, decontaminate, quality, secrets, sentences, sharding, simhash, url_rules
 from visitloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -116,6 +116,12 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
+    return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": benchmark_overlap,
     "op2_url_filter": url_filter,
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_external_shuffle": shards,
     "op6_sentence_spans": repeated_sentences,
     "op8_simhash_near_dedup": near_duplicates,
+    "op9_rule_ensemble": text_quality,
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": _url_filter_sql()}

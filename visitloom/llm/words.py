@@ -50,7 +50,7 @@ class Words:
 
     def __init__(self, values: pa.Array, member: np.ndarray):
         data, begins = text_bytes(values)
-        self.data, self.bytes = data, lower_table()[data]
+        self.data, self.bytes, self.begins = data, lower_table()[data], begins
         inside = member[data]
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[begins] = True
