@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, decontaminate, quality, secrets, sentences, sharding, simhash, url_rules
+from visitloom.llm import bpe, decontaminate, hnsw, quality, secrets, sentences, sharding, simhash, url_rules
 from visitloom.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -122,6 +122,11 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = hnsw.near_groups(table(spark, sf_dir, "embeddings"))
+    return groups.select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": benchmark_overlap,
     "op2_url_filter": url_filter,
@@ -131,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sentence_spans": repeated_sentences,
     "op8_simhash_near_dedup": near_duplicates,
     "op9_rule_ensemble": text_quality,
+    "op10_hnsw_near_dedup": near_vectors,
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": _url_filter_sql()}
