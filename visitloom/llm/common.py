@@ -86,6 +86,16 @@ def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
 
 
+def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """The text with ``mark`` for each span, for spans that overlap or touch once; spans by start."""
+    parts, at = [], 0
+    for start, end in spans:
+        if not parts or start > at:
+            parts += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (``a``, ``b``): columns ``node``, ``root``.
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitloom.llm import trees
 from visitloom.llm.common import add_columns, free_name
 from visitloom.llm.words import Words, visible
 from visitloom.sources.staging import stage
@@ -121,24 +121,9 @@ def holds(bounds: tuple[tuple[str, bool, float], ...], names: dict[str, str]) ->
 
 
 def tree_rules(described: str) -> list[tuple[tuple[str, bool, float], ...]]:
-    """Paths to all nodes below the roots of the trees in a model's description, each once, as their tightest bounds."""
-    found: dict[tuple, None] = {}
-    path: list[tuple[str, bool, float]] = []
-    base = None
-    for line in described.splitlines():
-        m = re.match(r"( +)(?:If|Else) \(feature (\d+) (<=|>) ([-+.\dEe]+)\)", line)
-        if re.match(r"\s+Tree \d+", line):
-            path, base = [], None
-        elif m:
-            base = len(m[1]) if base is None else base
-            del path[len(m[1]) - base :]
-            path.append((STATISTICS[int(m[2])], m[3] == ">", float(m[4])))
-            tight: dict[tuple[str, bool], float] = {}
-            for name, above, bound in path:
-                old = tight.get((name, above), bound)
-                tight[name, above] = max(old, bound) if above else min(old, bound)
-            found.setdefault(tuple(sorted((name, above, bound) for (name, above), bound in tight.items())))
-    return list(found)
+    """Paths to all nodes of the trees in a model's description, each once."""
+    found = dict.fromkeys(bounds for bounds, leaf in trees.paths(described) if leaf is None)
+    return [tuple((STATISTICS[f], above, bound) for f, above, bound in bounds) for bounds in found]
 
 
 def fit(
@@ -165,11 +150,11 @@ def fit(
         rate = (counts.get(1.0, 0) + 1) / (n + 2)
         return Ensemble(math.log(rate / (1 - rate)), ())
     vectors = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(rows).select("y", "x", *STATISTICS)
-    trees = GBTClassifier(
+    boosted = GBTClassifier(
         featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.7, maxBins=64,
         minInstancesPerNode=max(1, min(10, n // 50)),
     ).fit(vectors)
-    rules = tree_rules(trees.toDebugString)
+    rules = tree_rules(boosted.toDebugString)
     if not rules:
         rate = (counts[1.0] + 1) / (n + 2)
         return Ensemble(math.log(rate / (1 - rate)), ())

@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import bpe, decontaminate, hnsw, quality, secrets, sentences, sharding, simhash, url_rules
+import corpus_pipeline
+from visitloom.llm import bpe, decontaminate, hnsw, pii, quality, secrets, sentences, sharding, simhash, url_rules
 from visitloom.llm.common import table
 
-VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+VOCABULARY = corpus_pipeline.VOCABULARY
 
 
 def span_text(spans: Column) -> Column:
@@ -109,6 +110,16 @@ def repeated_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.remove_repeats(docs).select("doc_id", "text", "n_removed", "removed", "copies_of")
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return docs.select(
+        "doc_id",
+        *counts(F.col("base"), list(pii.BASE_KINDS)),
+        sha256(span_text(F.col("base"))).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+    )
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.duplicate_groups(table(spark, sf_dir, "documents"))
     return groups.select(
@@ -134,9 +145,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": secret_scan,
     "op5_external_shuffle": shards,
     "op6_sentence_spans": repeated_sentences,
+    "op7_boosted_pii": personal_data,
     "op8_simhash_near_dedup": near_duplicates,
     "op9_rule_ensemble": text_quality,
     "op10_hnsw_near_dedup": near_vectors,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {"op2_url_filter": _url_filter_sql()}

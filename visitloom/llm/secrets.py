@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import add_columns, free_name, text_bytes
+from visitloom.llm.common import add_columns, cut_out, free_name, text_bytes
 
 #: Stands in a redacted text for each secret.
 MARK = "<SECRET>"
@@ -241,18 +241,11 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     spans_of, columns = block_scanner(rules), [F.col(f"`{c}`") for c in docs.columns]
     changed = free_name(docs, "changed")
 
-    def cut(old: str, spans: list[tuple[int, int, int]]) -> str:
-        parts, at = [], 0
-        for start, _, end in spans:
-            if not parts or start > at:
-                parts += [old[at:start], MARK]
-            at = max(at, end)
-        return "".join([*parts, old[at:]])
-
     def make(values: pa.Array) -> list[list]:
         texts = values.to_pylist()
         found = spans_of(values, texts)
-        return [[cut(t, s) if s else t for t, s in zip(texts, found)], [bool(s) for s in found]]
+        cuts = [[(start, end) for start, _, end in own] for own in found]
+        return [[cut_out(t, c, MARK) if c else t for t, c in zip(texts, cuts)], [bool(c) for c in cuts]]
 
     out = add_columns(docs, text, {text: "string", changed: "boolean"}, make)
     if "n_chars" in docs.columns:
