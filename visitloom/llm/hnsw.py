@@ -366,8 +366,9 @@ def near_groups(
 def _summary(found, nodes, weights, others, other_weights, own, recall) -> pa.RecordBatch:
     """Per vector of either shard: rows linked, and one node of its component here."""
     if own:
-        np.fill_diagonal(found, False)
+        np.fill_diagonal(found, True)  # joins the row and the column of a vector
         root = _roots(found)[: len(nodes)]
+        np.fill_diagonal(found, False)
         links, ids, roots = found @ other_weights, nodes, nodes[root]
     else:
         root = _roots(found)
