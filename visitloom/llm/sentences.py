@@ -70,14 +70,14 @@ def _runs(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
     """Every run of sentences; ``again`` where the same text has it before."""
     carried = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     schema = carried.select("row", "key").schema
-    for name, kind in (("h1", "long"), ("h2", "integer"), ("first", "integer"), ("stop", "integer"), ("again", "boolean")):
+    for name, kind in (("h1", "long"), ("h2", "integer"), ("first", "integer"), ("again", "boolean")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in blocks(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                owner, first, last, h1, h2 = Sentences(part.column(2)).runs()
+                owner, first, _, h1, h2 = Sentences(part.column(2)).runs()
                 order = np.lexsort((first, h2, h1, owner))
                 again = np.zeros(len(owner), dtype=bool)
                 same = np.ones(max(len(owner) - 1, 0), dtype=bool)
@@ -86,20 +86,22 @@ def _runs(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
                 again[order[1:]] = same
                 arrays = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))]
                 arrays += [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                arrays += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "h1", "h2", "first", "stop", "again"])
+                arrays += [pa.array(first.astype(np.int32)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "h1", "h2", "first", "again"])
 
     return carried.mapInArrow(run, schema)
 
 
-def cut(text: str, spans: list[dict]) -> tuple[str, int, list[dict]]:
-    """The text without the sentences in the spans, how many those are, and where they stood in the old text."""
+def cut(text: str, firsts: list[int]) -> tuple[str, int, list[dict]]:
+    """The text without the runs that begin at the given sentences, how many sentences those are, and
+    where they stood in the old text."""
     data = text.encode()
     units = Sentences(pa.array([text]))
     count = len(units.sentence) - 1
     gone = np.zeros(count + 1, dtype=bool)
-    for span in spans:
-        gone[span["first"] : span["stop"]] = True
+    _, begin, end, *_ = units.runs()
+    for i in np.searchsorted(begin, firsts).tolist():
+        gone[begin[i] : end[i]] = True
     starts = np.append(units.start[units.sentence[:-1]], len(data))
     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
     kept, removed, at = [], [], 0
@@ -143,11 +145,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .where(F.col("n") > 1)
         .select("h1", "h2", "keeper", "keeper_key")
     )
-    others = once.select("row", "h1", "h2", "first", "stop").join(repeated, ["h1", "h2"])
-    others = others.where(F.col("row") != F.col("keeper")).select("row", "first", "stop", "keeper_key")
-    own = runs.where("again").select("row", "first", "stop", F.col("key").alias("keeper_key"))
+    others = once.select("row", "h1", "h2", "first").join(repeated, ["h1", "h2"])
+    others = others.where(F.col("row") != F.col("keeper")).select("row", "first", "keeper_key")
+    own = runs.where("again").select("row", "first", F.col("key").alias("keeper_key"))
     covered = others.unionByName(own).groupBy(F.col("row").alias(row)).agg(
-        F.collect_set(F.struct("first", "stop")).alias(spans),
+        F.collect_set("first").alias(spans),
         F.array_sort(F.collect_set("keeper_key")).alias("copies_of"),
     )
     joined = numbered.join(covered, row, "left")
