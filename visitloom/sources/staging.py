@@ -50,5 +50,5 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, "stage")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
