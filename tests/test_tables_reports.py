@@ -62,6 +62,9 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     write(folder / "b.csv", "week_start,week", "2024-07-13,3")
     write(folder / "c.csv", "week_start,week")
     assert len(run()) == 3 and len(run()) == 3
+    write(folder / "old.csv", "week_start,week", "2023-07-01,1")
+    os.utime(folder / "old.csv", (1700000000, 1700000000))  # far older than the newest file read
+    assert len(run()) == 4
     assert (folder / "a.csv").exists()
 
 

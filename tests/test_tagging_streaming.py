@@ -39,15 +39,26 @@ def test_first_pageview_per_load(make):
     ]
 
 
-def test_stream_keeps_one_pageview_per_load(spark, tmp_path):
-    ordered = sorted(PAGEVIEWS, key=lambda r: r[1])
-    lines = [json.dumps({"page_load_id": p, "t": t, "payload": e}) for p, t, e in ordered]
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text("\n".join(lines))
-    stream = spark.readStream.schema("page_load_id int, t timestamp, payload string").json(str(tmp_path / "in"))
-    once = runs.first_pageviews(tagging.parse_events(stream), "page_load_id", "t")
-    got = runs.append_stream(once, str(tmp_path / "out"), str(tmp_path / "log"))
+def test_stream_keeps_one_pageview_per_load_however_late(spark, tmp_path):
+    folder, args = tmp_path / "in", ("page_load_id", "t", str(tmp_path / "out"), str(tmp_path / "log"))
+    folder.mkdir()
+    land = lambda name, *rows_: (folder / name).write_text(
+        "\n".join(json.dumps({"page_load_id": p, "t": t, "payload": e}) for p, t, e in rows_)
+    )
+    stream = lambda: tagging.parse_events(
+        spark.readStream.schema("page_load_id int, t timestamp, payload string").option("maxFileAge", runs.EVERY_AGE).json(str(folder))
+    )
+    land("a.json", *PAGEVIEWS)
+    got = runs.write_first_pageviews(stream(), *args)
     assert rows(got, "page_load_id", "active_state") == [(1, "A"), (3, "unknown")]
+    user = event("pageView", user={"state": "late"})
+    land("b.json", (1, "2024-01-01T00:00:00", user), (4, "2023-12-25T00:00:00", user), (4, "2023-12-25T00:00:00", user))
+    got = runs.write_first_pageviews(stream(), *args)
+    assert rows(got, "page_load_id", "active_state") == [(1, "A"), (3, "unknown"), (4, "late")]
+    land("c.json", (9, "2024-01-02T00:00:00", event("click")))
+    assert runs.write_first_pageviews(stream(), *args).count() == 3
+    batch = tagging.parse_events(spark.read.schema("page_load_id int, t timestamp, payload string").json(str(folder)))
+    assert rows(tagging.first_pageview(batch, order=["t"]), "page_load_id") == [(1,), (3,), (4,)]
 
 
 def test_click_parts_by_number_of_colons(make):
@@ -68,8 +79,14 @@ def test_bucket_totals_batch_equals_stream(spark, make, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     zone = "America/New_York"
-    got = runs.write_totals(
-        runs.bucket_totals(stream, ["brand"], zone=zone), str(tmp_path / "out"), str(tmp_path / "log")
-    )
+    got = runs.write_totals(stream, ["brand"], str(tmp_path / "out"), str(tmp_path / "log"), zone=zone)
     want = runs.bucket_totals(batch, ["brand"], zone=zone)
     assert rows(got) == rows(want) and want.count() == 20
+    # an event that lands weeks late in a later run counts too
+    make("event_timestamp_utc timestamp_ntz, brand string, value double", (ts("2023-12-01T00:00:00"), "a", 5.0),
+         (data[0][0], "a", 1.0)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    got = runs.write_totals(stream, ["brand"], str(tmp_path / "out"), str(tmp_path / "log"), zone=zone)
+    spark.catalog.refreshByPath(str(tmp_path / "in"))
+    assert rows(got) == rows(runs.bucket_totals(spark.read.parquet(str(tmp_path / "in")), ["brand"], zone=zone))
+    assert got.count() == 21

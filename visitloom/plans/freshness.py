@@ -95,9 +95,8 @@ FROM events GROUP BY 1, 2""",
 )
 def streamed_bucket_totals(v: Views) -> DataFrame:
     """The events as a stream of files, run to the end."""
-    totals = runs.bucket_totals(v.stream("events"), ["event_type"], ts="ts")
-    out = new_path(v.spark, "totals")
-    result = runs.write_totals(totals, out, new_path(v.spark, "totals-log"))
+    out, log = new_path(v.spark, "totals"), new_path(v.spark, "totals-log")
+    result = runs.write_totals(v.stream("events"), ["event_type"], out, log, ts="ts")
     return result.withColumn("value", F.round("value", 2))
 
 

@@ -90,8 +90,9 @@ def streamed_pageview_loads(v: Views) -> DataFrame:
     up to the source, so only the loads themselves are compared."""
     streamed = StreamedViews(v, v.stream("events"))
     parsed = tagging.parse_events(browser_events(streamed.events()))
-    once = runs.first_pageviews(parsed, "page_load_id", "event_timestamp_utc", late="2 days")
-    out = runs.append_stream(once, new_path(v.spark, "loads"), new_path(v.spark, "loads-log"))
+    out = runs.write_first_pageviews(
+        parsed, "page_load_id", "event_timestamp_utc", new_path(v.spark, "loads"), new_path(v.spark, "loads-log")
+    )
     return out.groupBy("page_load_id").agg(F.count(F.lit(1)).alias("users"))
 
 

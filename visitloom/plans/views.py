@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from visitloom.operators.calendar import expand_weeks, weeks_445, with_fiscal
 from visitloom.operators.joins import null_safe_join
 from visitloom.sources.staging import stage
+from visitloom.streaming.runs import EVERY_AGE
 
 URL_TAILS = (
     "",
@@ -71,7 +72,8 @@ class Views:
         return f"{self.sf_dir}/{name}.parque[t]"
 
     def stream(self, name: str) -> DataFrame:
-        return self.spark.readStream.schema(self.table(name).schema).parquet(self.files(name))
+        reader = self.spark.readStream.schema(self.table(name).schema).option("maxFileAge", EVERY_AGE)
+        return reader.parquet(self.files(name))
 
     def events(self, *, pages: bool = False, geo: bool = False) -> DataFrame:
         raw = self.table("events").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import DataStreamWriter
 
 from visitloom.operators.tagging import pageview_fields, pageviews_with_user
 from visitloom.functions.dates import local_time
 
 
+#: The file source forgets files this much older than the newest one; by default after a week.
+EVERY_AGE = "36500d"
+
+
 def ingest_new_files(
     spark: SparkSession,
     folder: str,
@@ -20,25 +27,17 @@ def ingest_new_files(
     file_format: str = "csv",
     glob: str | None = None,
 ) -> DataFrame:
-    """Appends the files that no earlier run has seen; sources are kept.
+    """Appends the files that no earlier run has seen, however old; sources are kept.
 
     The checkpoint lists what was read, and the sink commits each batch once,
     so a run that dies half-way is repeated without duplicates.
     """
-    reader = spark.readStream.format(file_format).schema(schema)
+    reader = spark.readStream.format(file_format).schema(schema).option("maxFileAge", EVERY_AGE)
     if file_format == "csv":
         reader = reader.option("header", True).option("encoding", "UTF-8")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    query = (
-        reader.load(folder)
-        .writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _drain(reader.load(folder).writeStream.format("parquet").option("path", target), checkpoint)
     return spark.read.schema(schema).parquet(target)
 
 
@@ -66,45 +65,76 @@ def bucket_totals(
     )
 
 
-def write_totals(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """Runs an aggregated stream to the end of its input and keeps all groups.
+def write_totals(
+    events: DataFrame,
+    keys: list[str],
+    target: str,
+    checkpoint: str,
+    *,
+    ts: str = "event_timestamp_utc",
+    width: str = "30 minutes",
+    zone: str | None = None,
+) -> DataFrame:
+    """Runs a stream of events to the end of its input and gives its bucket totals.
 
-    Append mode would hold back the buckets that the watermark has not closed,
-    so each batch replaces the result by the complete one.
+    Each batch writes its own totals, to a folder named by its number, and the
+    result adds them up. No state is kept, events of any lateness count, a
+    repeated batch replaces its own folder, and no file that a reader may have
+    open is rewritten.
     """
-    spark = stream.sparkSession
+    spark = events.sparkSession
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        part = bucket_totals(batch, keys, ts=ts, width=width, zone=zone)
+        part.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode("complete")
-        .foreachBatch(replace)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    _drain(events.writeStream.foreachBatch(write), checkpoint)
+    empty = spark.createDataFrame([], events.schema)
+    schema = bucket_totals(empty, keys, ts=ts, width=width, zone=zone).schema
+    parts = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
+    return parts.groupBy("bucket_start", *keys).agg(F.sum("events").alias("events"), F.sum("value").alias("value"))
 
 
-def first_pageviews(events: DataFrame, page_load: str, ts: str, late: str = "1 hour") -> DataFrame:
-    """Streaming form of the once-per-page-load page view: the first one to
-    arrive passes, later ones within the watermark are dropped."""
-    flat = pageviews_with_user(events).select(
-        page_load, F.col(ts).cast("timestamp").alias(ts), *pageview_fields()
-    )
-    return flat.withWatermark(ts, late).dropDuplicatesWithinWatermark([page_load])
+def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def append_stream(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    spark = stream.sparkSession
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+def write_first_pageviews(
+    events: DataFrame, page_load: str, ts: str, target: str, checkpoint: str, *, span_days: int = 1
+) -> DataFrame:
+    """Streaming form of the once-per-page-load page view: the first one to
+    arrive is kept, the earliest where several arrive together.
+
+    No watermark, so a load counts however late it lands. Repeats are found
+    among the stored loads of the batch's own days and ``span_days`` around
+    them, the longest that one load can last; files are sorted by day, so other
+    days are skipped by their statistics. A batch
+    writes to a folder named by its number and ignores that folder when it is
+    repeated.
+    """
+    spark = events.sparkSession
+    flat = pageviews_with_user(events).select(page_load, F.col(ts).cast("timestamp").alias(ts), *pageview_fields())
+    schema = T.StructType([*flat.schema, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).option("basePath", target).parquet(target)
+
+    def write(batch: DataFrame, number: int) -> None:
+        fields = [c for c in batch.columns if c != page_load]
+        first = batch.groupBy(page_load).agg(F.min_by(F.struct(*fields), F.struct(ts, *fields)).alias("_first"))
+        first = first.select(page_load, "_first.*").withColumn("day", F.to_date(ts))
+        days = first.agg(F.min("day"), F.max("day")).first()
+        if days[0] is None:
+            return
+        if number:
+            around = F.col("day").between(
+                days[0] - dt.timedelta(days=span_days), days[1] + dt.timedelta(days=span_days)
+            )
+            known = stored().where((F.col("batch") < number) & around)
+            first = first.join(known.select(page_load), page_load, "left_anti")
+        first.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    # The first folder exists before any batch, so that a stream without rows can be read.
+    spark.createDataFrame([], T.StructType(schema.fields[:-1])).write.mode("overwrite").parquet(f"{target}/batch=-1")
+    _drain(flat.writeStream.foreachBatch(write), checkpoint)
+    return stored().drop("day", "batch")
