@@ -87,6 +87,7 @@ def _event_before(make, anchors, events):
         F.col("url").rlike("(?i)promo"),
         "2024-01-01",
         "2024-01-31",
+        per=["user_pseudo_id", "order_id"],
     ).select("order_id", "flag", "page_visited_date")
 
 
@@ -109,10 +110,17 @@ def test_event_strictly_before(make):
     ]
 
 
+def test_an_order_of_several_rows_has_one_result(make):
+    early, late = ts("2024-01-05T00:00:00"), ts("2024-01-09T00:00:00")
+    got = _event_before(make, [(1, 1, early), (1, 1, late), (2, 2, early), (2, 2, early)],
+                        [(1, ts("2024-01-04T00:00:00"), D[3], "/x"), (1, ts("2024-01-07T00:00:00"), D[6], "/promo")])
+    assert rows(got) == [(1, True, D[6]), (2, None, None)]
+
+
 def test_event_before_equals_the_join(make):
     rng = random.Random(3)
     at = lambda: ts("2024-01-01T00:00:00").replace(day=rng.randrange(1, 9), hour=rng.randrange(24))
-    anchors = [(rng.randrange(6), i, at()) for i in range(40)]
+    anchors = [(i % 6, i % 30, at()) for i in range(60)]
     events = []
     for _ in range(150):
         t = at()

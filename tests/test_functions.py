@@ -77,8 +77,12 @@ def test_year_before_leap_day():
 
 def test_period_and_last_days(make):
     days = [day("2024-01-01"), day("2024-01-02"), day("2024-01-03"), None]
-    got = column(make, lambda c: dates.period(c, "2024-01-02", "2024-01-03"), days, "date")
-    assert got == ["Previous Year", "Current Year", "Current Year", "Previous Year"]
+    got = column(make, lambda c: dates.period(c, ("2024-01-02", "2024-01-03")), days, "date")
+    assert got == [None, "Current Year", "Current Year", None]
+    earlier = [day("2023-01-01"), day("2023-01-02"), day("2022-01-02")]
+    assert column(make, lambda c: dates.period(c, ("2024-01-02", "2024-01-03")), earlier, "date") == [None, "Previous Year", None]
+    own = lambda c: dates.period(c, ("2024-01-02", "2024-01-03"), ("2022-01-01", "2022-12-31"))
+    assert column(make, own, earlier, "date") == [None, None, "Previous Year"]
     recent = column(make, lambda c: dates.last_n_days(c, "2024-01-03"), days, "date")
     assert recent == [False, True, True, None]
 

@@ -22,7 +22,7 @@ def test_order_report_end_to_end(spark, tmp_path):
     write(
         landed,
         "ATG Order,OrderDate,Bottle Quantity,Note",
-        'a,2024-01-31,2.7,"x, y"', "b,31/12/2024,-2.7,NA", "c,2024-13-01,x,", "d,,, n ", "e,NA,1e2,null", "f,2024-02-29, 12 ,ok",
+        'a,2024-01-31,2.7,"x, y"', "b,12.31.2024,-2.7,NA", "c,2024-13-01,x,", "d,,, n ", "e,NA,1e2,null", "f,2024-02-29, 12 ,ok",
     )
     got = reports.run_report(spark, str(tmp_path / "in"), str(tmp_path / "out"), day("2024-05-01"))
     assert rows(got) == [
@@ -30,17 +30,36 @@ def test_order_report_end_to_end(spark, tmp_path):
         ("d", None, 0, " n "), ("e", None, 100, None), ("f", "2024-02-29", 12, "ok"),
     ]
     assert got.columns == ["ATG_Order", "OrderDate", "Bottle_Quantity", "Note"]
-    raw = spark.read.text(str(tmp_path / "out/REC008/raw/REC008_2024-05-01.csv"))
-    assert raw.count() == 7
+    raw = reports.read_csv(spark, str(tmp_path / "out/REC008/raw/REC008_2024-05-01.csv"))
+    assert raw.count() == 6 and ("12.31.2024",) in rows(raw, "OrderDate") and ("NA",) in rows(raw, "Note")
     clean = reports.read_text_csv(spark, str(tmp_path / "out/REC008/clean/REC008_2024-05-01.csv"))
     assert clean.count() == 6 and clean.columns == got.columns
 
 
+def test_cells_with_line_breaks_and_dates_in_several_forms(spark, tmp_path):
+    landed = tmp_path / "in" / "REC008 Website Order Type And Customer Type Report-2024-05-01.csv"
+    write(landed, "Order,OrderDate,Note", 'a,06/01/2024,"two', 'lines, ""quoted"""', "b,2024-06-02 10:11:12,x", 'c,"Jun 3, 2024",', "d,13/13/2024,y")
+    for _ in range(2):  # a rerun replaces
+        got = reports.run_report(spark, str(tmp_path / "in"), str(tmp_path / "out"), day("2024-05-01"))
+    note = 'two\nlines, "quoted"'
+    assert rows(got) == [("a", "2024-06-01", note), ("b", "2024-06-02", "x"), ("c", "2024-06-03", None), ("d", None, "y")]
+    raw = reports.read_csv(spark, str(tmp_path / "out/REC008/raw/REC008_2024-05-01.csv"))
+    assert rows(raw)[0] == ("a", "06/01/2024", note) and raw.count() == 4
+    own = {"REC008": lambda df: reports.clean_orders(df, ["dd.MM.yyyy"])}
+    assert rows(reports.clean_report("REC008", raw, own), "OrderDate") == [(None,)] * 4
+
+
+def test_a_raw_copy_in_many_parts_reads_back_complete(spark, tmp_path):
+    many = spark.range(300).selectExpr("cast(id as string) as `a b`", "concat('x', id) as c").repartition(7)
+    reports.write_csv(many, str(tmp_path / "raw"))
+    assert rows(reports.read_csv(spark, str(tmp_path / "raw"))) == rows(many)
+
+
 def test_other_reports(spark, make, tmp_path):
     df = reports.clean_report("REC013", make("`a b` string, OrderDate string", ("x", "bad")))
     assert df.columns == ["a_b", "OrderDate"] and rows(df) == [("x", "bad")]
     assert reports.clean_report("REC008", make("`a b` string", ("x",))).columns == ["a_b"]
-    with pytest.raises(ValueError, match="report_id=REC999"):
+    with pytest.raises(ValueError, match="REC999"):
         reports.clean_report("REC999", df)
     assert reports.report_paths("REC013", dt.date(2024, 5, 1))[0] == "REC013-Campaign IDs Report-2024-05-01.csv"
     assert reports.report_paths("X", dt.date(2024, 5, 1)) == (

@@ -55,8 +55,13 @@ def year_before(value: Day) -> dt.date:
         return d.replace(year=d.year - 1, day=28)
 
 
-def period(column: Column, first: Day, last: Day) -> Column:
-    return F.when(in_days(column, first, last), "Current Year").otherwise("Previous Year")
+def period(
+    column: Column, current: tuple[Day, Day], previous: tuple[Day, Day] | None = None
+) -> Column:
+    """'Current Year' or 'Previous Year' for days in one of two ranges, NULL for
+    all others. The previous range is the current one a year earlier, unless given."""
+    previous = previous or (year_before(current[0]), year_before(current[1]))
+    return F.when(in_days(column, *current), "Current Year").when(in_days(column, *previous), "Previous Year")
 
 
 def local_time(utc: Column, zone: str | None) -> Column:

@@ -249,21 +249,24 @@ def event_before(
     first_day: Day,
     last_day: Day,
     *,
+    per: Sequence[str],
     user: str = "user_pseudo_id",
     ts: str = "event_timestamp_utc",
     date_col: str = "event_date",
 ) -> DataFrame:
-    """Per anchor: did a matching event happen strictly before it, and on which
-    earliest date.
-
-    The flag is NULL where the user has no event before the anchor, or none on
-    which the condition can be decided. Events shrink to one row per user and
-    day (first time, first matching time), then to one short list per user:
-    never longer than the day range, which is why the range is required. An
-    anchor then reads its user's list; no anchor-event pair is built.
+    """Per order: did a matching event happen strictly before one of its rows,
+    and on which earliest date.
+
+    An order is what ``per`` tells apart; its rows in ``anchors`` may repeat, as
+    each has its own time. The flag is NULL where the user has no event before
+    any of them, or none on which the condition can be decided. Only events of
+    the anchors' users are looked at. They shrink to one row per user and day
+    (first time, first matching time), then to one short list per user: never
+    longer than the day range, which is why the range is required. An anchor
+    then reads its user's list; no anchor-event pair is built.
     """
     daily = (
-        events.where(in_days(F.col(date_col), first_day, last_day))
+        of_users(events.where(in_days(F.col(date_col), first_day, last_day)), anchors, user)
         .groupBy(user, date_col)
         .agg(
             F.min(F.when(condition.isNotNull(), F.col(ts))).alias("seen"),
@@ -280,4 +283,7 @@ def event_before(
     hits = F.filter(F.col("_hits"), lambda h: h["hit"] < F.col(ts))
     first_date = F.array_min(F.transform(hits, lambda h: h["day"]))
     flag = F.when(first_date.isNotNull(), True).when(F.col("_seen") < F.col(ts), False)
-    return joined.withColumns({"flag": flag, "page_visited_date": first_date}).drop("_seen", "_hits")
+    flagged = joined.select(*per, flag.alias("flag"), first_date.alias("page_visited_date"))
+    return flagged.groupBy(*per).agg(
+        F.bool_or("flag").alias("flag"), F.min("page_visited_date").alias("page_visited_date")
+    )

@@ -21,12 +21,7 @@ FROM (SELECT user_pseudo_id,
 
 
 def _shown(table: DataFrame) -> DataFrame:
-    return table.withColumns(
-        {
-            "revenue": F.round("revenue", 2),
-            "purchase_session_number": F.col("purchase_session_number").cast("double"),
-        }
-    )
+    return table.withColumn("revenue", F.round("revenue", 2))
 
 
 @query(
@@ -35,7 +30,7 @@ def _shown(table: DataFrame) -> DataFrame:
 WITH ft AS (SELECT user_pseudo_id, first(p ORDER BY ga_session_number, date, session_id) AS f
             FROM p_report p WHERE ga_session_number IS NOT NULL GROUP BY 1)
 SELECT brand, user_pseudo_id, transaction_id, min(date) AS purchase_date,
-       round(sum(purchase_revenue), 2) AS revenue, CAST(min(ga_session_number) AS DOUBLE) AS purchase_session_number,
+       round(sum(purchase_revenue), 2) AS revenue, min(ga_session_number) AS purchase_session_number,
        min(lnd_source_medium) AS purchase_lnd_source_medium, any_value(f.date) AS first_session_date,
        any_value(f.lnd_source_medium) AS first_session_lnd_source_medium
 FROM p_report JOIN new_orders ON order_id = transaction_id JOIN ft USING (user_pseudo_id)
@@ -52,7 +47,7 @@ def first_touch_purchases(v: Views) -> DataFrame:
 WITH ft AS ({TOUCH_SQL}),
 p AS (SELECT brand, user_pseudo_id, transaction_id, min(date) AS purchase_date,
         min(session_start_timestamp_utc) AS ts, round(sum(purchase_revenue), 2) AS revenue,
-        CAST(min(ga_session_number) AS DOUBLE) AS purchase_session_number, min(lnd_source_medium) AS purchase_lnd_source_medium,
+        min(ga_session_number) AS purchase_session_number, min(lnd_source_medium) AS purchase_lnd_source_medium,
         min(marketing_category) AS purchase_marketing_category, min(channel_category) AS purchase_channel_category
       FROM p_report JOIN new_orders ON order_id = transaction_id GROUP BY 1, 2, 3),
 n AS (SELECT p.user_pseudo_id, p.transaction_id, count(DISTINCT r.session_id) AS sessions_until_purchase
@@ -142,10 +137,11 @@ def sessions_until_purchase(v: Views) -> DataFrame:
 @query(
     "campaign_page_before_order",
     """
-WITH u AS (SELECT user_pseudo_id, transaction_id, transaction_date, event_timestamp_utc AS ts FROM p_transactions
-           JOIN (SELECT DISTINCT order_id FROM p_orders WHERE media IN ('1-URGENT', '2-HIGH')) ON order_id = transaction_id)
+WITH o AS (SELECT user_pseudo_id, transaction_id, transaction_date, event_timestamp_utc AS ts FROM p_transactions
+           JOIN (SELECT DISTINCT order_id FROM p_orders WHERE media IN ('1-URGENT', '2-HIGH')) ON order_id = transaction_id),
+u AS (SELECT * FROM o UNION ALL SELECT * REPLACE (ts + INTERVAL 5 DAY AS ts) FROM o WHERE transaction_id % 4 <> 0)
 SELECT u.user_pseudo_id, u.transaction_id, u.transaction_date,
-       CAST(bool_or(regexp_matches(e.page_location, 'SALE', 'i')) AS VARCHAR) AS flag,
+       bool_or(regexp_matches(e.page_location, 'SALE', 'i')) AS flag,
        min(e.event_date) FILTER (regexp_matches(e.page_location, 'SALE', 'i')) AS page_visited_date
 FROM u LEFT JOIN p_events e ON e.user_pseudo_id = u.user_pseudo_id AND e.event_timestamp_utc < u.ts
   AND e.event_name = 'page_view' AND e.event_date BETWEEN DATE '2024-01-01' AND DATE '2024-12-31'
@@ -157,11 +153,19 @@ def campaign_page_before_order(v: Views) -> DataFrame:
     sales = orders.match_ids(v.transactions(), "transaction_id", promoted).select(
         "user_pseudo_id", "transaction_id", "transaction_date", "event_timestamp_utc"
     )
+    # Most orders are logged again when they ship, five days later.
+    shipped = sales.where("transaction_id % 4 <> 0").withColumn(
+        "event_timestamp_utc", F.expr("event_timestamp_utc + interval 5 days")
+    )
     views = v.events(pages=True).where("event_name = 'page_view'")
-    flagged = attribution.event_before(
-        sales, views, F.col("page_location").rlike("(?i)SALE"), "2024-01-01", "2024-12-31"
+    return attribution.event_before(
+        sales.unionByName(shipped),
+        views,
+        F.col("page_location").rlike("(?i)SALE"),
+        "2024-01-01",
+        "2024-12-31",
+        per=["user_pseudo_id", "transaction_id", "transaction_date"],
     )
-    return flagged.drop("event_timestamp_utc").withColumn("flag", F.col("flag").cast("string"))
 
 
 @query(

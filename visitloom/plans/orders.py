@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from visitloom.plans.traffic import (
     CONTROL_NATIONS,
     CURRENT,
     NATION_GROUP_SQL,
+    PERIOD_SQL,
     TEST_NATIONS,
 )
 from visitloom.plans.views import FISCAL, Views
@@ -38,8 +41,7 @@ SELECT CAST(month(session_date) AS INTEGER) AS month,
        CAST((quarter(session_date) + 1) % 4 + 1 AS INTEGER) AS quarter,
        CAST(date_trunc('month', session_date) AS DATE) AS year_month,
        {NATION_GROUP_SQL.format(c="region")} AS state_group, region AS state,
-       CASE WHEN session_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' THEN 'Current Year'
-            ELSE 'Previous Year' END AS period,
+       {PERIOD_SQL.format(c="session_date")} AS period,
        user_pseudo_id, session_id, source, medium, lnd_campaign, landing_page_location, landing_page_referrer,
        tid AS transaction_id, revenue,
        CASE WHEN source IS NULL AND medium IS NULL
@@ -72,7 +74,7 @@ def session_order_channels(v: Views) -> DataFrame:
         F.trunc("session_date", "MM").alias("year_month"),
         rules.state_group(c("region"), TEST_NATIONS, CONTROL_NATIONS).alias("state_group"),
         c("region").alias("state"),
-        period(c("session_date"), *CURRENT).alias("period"),
+        period(c("session_date"), CURRENT).alias("period"),
         "user_pseudo_id",
         "session_id",
         "source",
@@ -399,7 +401,8 @@ def enriched_sessions(v: Views) -> DataFrame:
     "cleaned_order_report",
     """
 SELECT CAST(o_orderkey AS VARCHAR) AS ATG_Sales_Order_Number,
-       CASE WHEN o_custkey % 7 IN (0, 1, 2) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS OrderDate,
+       CASE WHEN o_custkey % 7 = 0 AND day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%Y-%d-%m')
+            WHEN o_custkey % 7 IN (0, 1, 2) THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS OrderDate,
        CAST(CASE o_custkey % 5 WHEN 0 THEN trunc(o_totalprice / 1000) WHEN 1 THEN 100 WHEN 2 THEN 12 ELSE 0 END AS BIGINT)
          AS Bottle_Quantity,
        CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS Customer_Status
@@ -427,6 +430,66 @@ def cleaned_order_report(v: Views) -> DataFrame:
     return reports.clean_report("REC008", reports.blank_missing(landed))
 
 
+REPORT_DAY = dt.date(2024, 5, 1)
+REPORT_NOTE_SQL = "'said \"' || o_orderstatus || '\",' || chr(10) || 'line two'"
+
+
+@query(
+    "order_report_files",
+    f"""
+SELECT 'raw' AS copy, CAST(o_orderkey AS VARCHAR) AS order_number,
+       CASE o_custkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%-m/%-d/%Y')
+            WHEN 2 THEN strftime(o_orderdate, '%-d-%b-%Y') WHEN 3 THEN 'NA' ELSE '1996-13-01' END AS order_date,
+       CASE o_custkey % 3 WHEN 0 THEN '1e2' WHEN 1 THEN ' 12 ' ELSE 'x' END AS quantity, {REPORT_NOTE_SQL} AS note FROM orders
+UNION ALL
+SELECT 'clean', CAST(o_orderkey AS VARCHAR), CASE WHEN o_custkey % 5 < 3 THEN strftime(o_orderdate, '%Y-%m-%d') END,
+       CASE o_custkey % 3 WHEN 0 THEN '100' WHEN 1 THEN '12' ELSE '0' END, {REPORT_NOTE_SQL} FROM orders""",
+)
+def order_report_files(v: Views) -> DataFrame:
+    """The orders as a landed CSV report, ingested, and both copies read back."""
+    cust, day = F.col("o_custkey"), F.col("o_orderdate")
+    landed = v.table("orders").select(
+        F.col("o_orderkey").cast("string").alias("Order Number"),
+        F.when(cust % 5 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(cust % 5 == 1, F.date_format(day, "M/d/yyyy"))
+        .when(cust % 5 == 2, F.date_format(day, "d-MMM-yyyy"))
+        .when(cust % 5 == 3, "NA")
+        .otherwise("1996-13-01")
+        .alias("OrderDate"),
+        F.when(cust % 3 == 0, "1e2").when(cust % 3 == 1, " 12 ").otherwise("x").alias("Bottle Quantity"),
+        F.concat(F.lit('said "'), "o_orderstatus", F.lit('",\nline two')).alias("Note"),
+    )
+    landing, out = new_path(v.spark, "landing"), new_path(v.spark, "reports")
+    names = reports.report_paths("REC008", REPORT_DAY)
+    reports.write_csv(landed, f"{landing}/{names[0]}")
+    reports.run_report(v.spark, landing, out, REPORT_DAY)
+    copies = []
+    for copy, name in zip(("raw", "clean"), names[1:]):
+        back = reports.read_csv(v.spark, f"{out}/{name}").toDF("order_number", "order_date", "quantity", "note")
+        copies.append(back.withColumn("copy", F.lit(copy)))
+    return copies[0].unionByName(copies[1])
+
+
+@query(
+    "campaign_report_files",
+    """
+SELECT CAST(p_partkey AS VARCHAR) AS Campaign_ID, p_name AS Campaign_Name,
+       CASE WHEN p_partkey % 4 <> 0 THEN p_brand END AS Sub_Brand FROM part""",
+)
+def campaign_report_files(v: Views) -> DataFrame:
+    """The other report: only its header is cleaned; missing marks become NULL."""
+    landed = v.table("part").select(
+        F.col("p_partkey").cast("string").alias("Campaign ID"),
+        F.col("p_name").alias("Campaign Name"),
+        F.when(F.col("p_partkey") % 4 == 0, "n/a").otherwise(F.col("p_brand")).alias("Sub Brand"),
+    )
+    landing, out = new_path(v.spark, "landing"), new_path(v.spark, "reports")
+    landed_name, _, clean = reports.report_paths("REC013", REPORT_DAY)
+    reports.write_csv(landed, f"{landing}/{landed_name}")
+    reports.run_report(v.spark, landing, out, REPORT_DAY, "REC013")
+    return reports.read_csv(v.spark, f"{out}/{clean}")
+
+
 @query(
     "order_history_copy",
     """

@@ -23,6 +23,11 @@ TEST_NATIONS = ("NATION_1", "NATION_6", "NATION_11", "NATION_16")
 CONTROL_NATIONS = ("NATION_2", "NATION_7", "NATION_12", "NATION_17")
 HOME_PATHS = ("/", "/jsp/homepage.jsp")
 CURRENT = ("2024-01-16", "2024-01-30")
+PERIOD_SQL = """CASE WHEN {c} BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' THEN 'Current Year'
+            WHEN {c} BETWEEN DATE '2023-01-16' AND DATE '2023-01-30' THEN 'Previous Year' END"""
+# The given events cover one month: users with an odd id stand for the year before.
+YEAR_SHIFT = "if(user_pseudo_id % 2 = 1, add_months({c}, -12), {c})"
+YEAR_SHIFT_SQL = "CAST(CASE WHEN user_pseudo_id % 2 = 1 THEN {c} - INTERVAL 1 YEAR ELSE {c} END AS DATE)"
 DISTINCTS = """count(DISTINCT user_pseudo_id) AS users, count(DISTINCT session_id) AS sessions,
        count(DISTINCT transaction_id) AS transactions"""
 IDENTIFIED = "CASE WHEN login_status IN ('Soft Logged-In', 'Hard Logged-In') THEN 1 ELSE 0 END"
@@ -476,8 +481,11 @@ def _state_rows(v: Views) -> DataFrame:
     )
     return (
         v.report()
+        .alias("r")
         .join(orders, "transaction_id")
-        .withColumns({"state_group": nation_group("region"), "period": period(F.col("date"), *CURRENT)})
+        .withColumns({"state_group": nation_group("region"), "day": F.expr(YEAR_SHIFT.format(c="r.date"))})
+        .withColumn("period", period(F.col("day"), CURRENT))
+        .where("period is not null")
     )
 
 
@@ -485,10 +493,9 @@ STATE_ROWS_SQL = f"""
 SELECT r.*, CASE customer_status WHEN 'Existing Customer' THEN 'Existing' WHEN 'New Recruit' THEN 'New'
               WHEN 'Re-Recruit' THEN 'New' END AS status,
        CASE o.order_type WHEN 'Wine Club' THEN 'Club' WHEN 'Non-Wine Club' THEN 'Standard' END AS order_kind,
-       {NATION_GROUP_SQL.format(c="region")} AS state_group,
-       CASE WHEN date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' THEN 'Current Year'
-            ELSE 'Previous Year' END AS period
-FROM p_report r JOIN p_orders o ON o.order_id = r.transaction_id"""
+       {NATION_GROUP_SQL.format(c="region")} AS state_group, {YEAR_SHIFT_SQL.format(c="r.date")} AS day,
+       {PERIOD_SQL.format(c="day")} AS period
+FROM p_report r JOIN p_orders o ON o.order_id = r.transaction_id WHERE period IS NOT NULL"""
 
 
 @query(
@@ -566,20 +573,20 @@ def _rounded_yoy(df: DataFrame) -> DataFrame:
 @query(
     "state_performance_yoy",
     f"""
-WITH x AS (SELECT CAST(month(session_date) AS INTEGER) AS month, {NATION_GROUP_SQL.format(c="region")} AS state_group,
-  session_date BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' AS cur, s.user_pseudo_id AS u, s.session_id AS s,
+WITH d AS (SELECT *, {YEAR_SHIFT_SQL.format(c="session_date")} AS day FROM p_sessions),
+x AS (SELECT CAST(month(day) AS INTEGER) AS month, {NATION_GROUP_SQL.format(c="region")} AS state_group,
+  {PERIOD_SQL.format(c="day")} = 'Current Year' AS cur, s.user_pseudo_id AS u, s.session_id AS s,
   transaction_id AS t, revenue AS r
-  FROM p_sessions s LEFT JOIN p_transactions t ON t.session_id = s.session_id WHERE country IS NOT NULL),
+  FROM d s LEFT JOIN p_transactions t ON t.session_id = s.session_id WHERE country IS NOT NULL AND cur IS NOT NULL),
 {YOY_SQL.format(keys="month, state_group")}""",
 )
 def state_performance_yoy(v: Views) -> DataFrame:
-    visits = v.sessions(pages=False).where("country is not null").withColumns(
-        {
-            "month": F.month("session_date"),
-            "state_group": nation_group("region"),
-            "period": period(F.col("session_date"), *CURRENT),
-        }
+    dated = v.sessions(pages=False).where("country is not null").withColumn(
+        "day", F.expr(YEAR_SHIFT.format(c="session_date"))
     )
+    visits = dated.withColumns(
+        {"month": F.month("day"), "state_group": nation_group("region"), "period": period(F.col("day"), CURRENT)}
+    ).where("period is not null")
     sales = v.transactions().select("session_id", "transaction_id", "revenue")
     rows = kpi.session_sales(visits, sales, ["session_id"], ["month", "state_group", "period"])
     table = kpi.year_over_year(rows, ["month", "state_group"])
@@ -590,22 +597,22 @@ def state_performance_yoy(v: Views) -> DataFrame:
 @query(
     "order_kind_yoy",
     f"""
-WITH x AS (SELECT CAST(month(order_date) AS INTEGER) AS month, order_type, year(order_date) >= 1998 AS cur,
+WITH x AS (SELECT CAST(month(order_date) AS INTEGER) AS month, order_type, year(order_date) = 1998 AS cur,
   customer_id AS u, order_id AS s, CASE WHEN sales_status = 'Invoiced' THEN order_id END AS t, order_revenue AS r
-  FROM p_orders),
+  FROM p_orders WHERE year(order_date) IN (1997, 1998)),
 {YOY_SQL.format(keys="month, order_type")}""",
 )
 def order_kind_yoy(v: Views) -> DataFrame:
     rows = v.orders().select(
         F.month("order_date").alias("month"),
         "order_type",
-        period(F.col("order_date"), "1998-01-01", "2100-01-01").alias("period"),
+        period(F.col("order_date"), ("1998-01-01", "1998-12-31")).alias("period"),
         F.col("customer_id").alias("user_pseudo_id"),
         F.col("order_id").alias("session_id"),
         F.when(F.col("sales_status") == "Invoiced", F.col("order_id")).alias("transaction_id"),
         F.col("order_revenue").alias("revenue"),
     )
-    return _rounded_yoy(kpi.year_over_year(rows, ["month", "order_type"]))
+    return _rounded_yoy(kpi.year_over_year(rows.where("period is not null"), ["month", "order_type"]))
 
 
 @query(

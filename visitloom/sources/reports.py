@@ -24,6 +24,12 @@ REPORT_NAMES = {
 OTHER_REPORT = "{report}-{day}.csv"
 RAW_PATH = "{report}/raw/{report}_{day}.csv"
 CLEAN_PATH = "{report}/clean/{report}_{day}.csv"
+# Forms in which the order report has its dates; month first where both could be meant.
+ORDER_DATES = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/M/d", "yyyyMMdd", "M/d/yyyy",
+    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy h:mm:ss a", "M-d-yyyy", "d-MMM-yyyy", "d MMM yyyy", "MMM d, yyyy",
+    "MMMM d, yyyy",
+)
 # --- end of fixed values -----------------------------------------------------
 
 Cleaner = Callable[[DataFrame], DataFrame]
@@ -36,14 +42,25 @@ def report_paths(report: str, day: dt.date) -> tuple[str, str, str]:
     return landed, RAW_PATH.format(**values), CLEAN_PATH.format(**values)
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, named by the header; missing marks become NULL.
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, named by the header; a quoted cell may hold line breaks.
 
-    Without ``inferSchema`` only the header is looked at, not the data.
+    Without ``inferSchema`` only the header is looked at, not the data. Such a
+    file cannot be cut, so each is read by one task.
     """
-    return blank_missing(
-        spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
-    )
+    reader = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"')
+    return reader.option("multiLine", True).csv(path)
+
+
+def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``read_csv`` with the missing marks as NULL."""
+    return blank_missing(read_csv(spark, path))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """Every part has the header, so any set of parts reads back complete."""
+    writer = df.write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", True)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
@@ -56,8 +73,8 @@ def underscore_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.replace(" ", "_") for c in df.columns])
 
 
-def clean_orders(df: DataFrame, date_formats: Sequence[str] = ("yyyy-MM-dd",)) -> DataFrame:
-    """Order report: dates that do not read become NULL, quantities 0."""
+def clean_orders(df: DataFrame, date_formats: Sequence[str] = ORDER_DATES) -> DataFrame:
+    """Order report: dates in none of the formats become NULL, quantities that do not read 0."""
     df = underscore_headers(df)
     if "OrderDate" in df.columns:
         df = df.withColumn("OrderDate", parse_day(F.col("OrderDate"), date_formats).cast("string"))
@@ -71,7 +88,7 @@ CLEANERS: Mapping[str, Cleaner] = {"REC008": clean_orders, "REC013": underscore_
 
 def clean_report(report: str, df: DataFrame, cleaners: Mapping[str, Cleaner] = CLEANERS) -> DataFrame:
     if report not in cleaners:
-        raise ValueError(f"No cleaning function defined for report_id={report}")
+        raise ValueError(f"report {report!r} has no cleaner; known: {sorted(cleaners)}")
     return cleaners[report](df)
 
 
@@ -83,10 +100,13 @@ def run_report(
     report: str = "REC008",
     cleaners: Mapping[str, Cleaner] = CLEANERS,
 ) -> DataFrame:
-    """Raw copy first, then the cleaned table, so that a failing cleaner leaves
-    the raw data behind. Eager; returns the cleaned rows."""
+    """Raw copy first, all text and with its marks, then the cleaned table, so
+    that a failing cleaner leaves the raw data behind. Eager; returns the
+    cleaned rows. A cleaner with formats of its own is one entry in
+    ``cleaners``: ``partial(clean_orders, date_formats=...)``."""
     landed, raw, clean = report_paths(report, day)
-    spark.read.text(f"{landing}/{landed}").write.mode("overwrite").text(f"{out}/{raw}")
-    cleaned = clean_report(report, read_text_csv(spark, f"{landing}/{landed}"), cleaners)
-    cleaned.write.mode("overwrite").option("header", True).csv(f"{out}/{clean}")
+    rows = read_csv(spark, f"{landing}/{landed}")
+    write_csv(rows, f"{out}/{raw}")
+    cleaned = clean_report(report, blank_missing(rows), cleaners)
+    write_csv(cleaned, f"{out}/{clean}")
     return cleaned
