@@ -167,6 +167,13 @@ def test_calendar_boundaries(spark):
 
 def test_with_fiscal_left_and_inner(spark, make):
     days = calendar.expand_weeks(calendar.weeks_445(spark, dt.date(2023, 7, 1), 1, 2023))
+    near = calendar.weeks_near_july(spark, 2023, 2026)
+    assert rows(near.groupBy("fiscal_year").count()) == [("23-24", 52), ("24-25", 52), ("25-26", 53), ("26-27", 52)]
+    assert rows(near.where("fiscal_year = '23-24'")) == rows(calendar.weeks_445(spark, dt.date(2023, 7, 1), 1, 2023))
+    last = calendar.expand_weeks(near).where("fiscal_week_number = 53")
+    assert rows(last.selectExpr("min(date)", "max(fiscal_month_name)", "max(fiscal_day_of_month)", "max(fiscal_day_of_year)")) == [
+        (dt.date(2026, 6, 27), "June", 42, 371)
+    ]
     df = make("d date", (day("2023-07-01"),), (day("2020-01-01"),))
     assert rows(calendar.with_fiscal(df, "d", days, ["fiscal_month_name"])) == [
         (day("2020-01-01"), None), (day("2023-07-01"), "July"),

@@ -114,6 +114,57 @@ def test_refresh_replaces_from_the_checkpoint(spark, make, tmp_path):
     assert rows(late, "session_id") == [(1,), (9,)]
 
 
+def files_under(folder):
+    return sorted({str(p.relative_to(folder)).split("/")[0] for p in folder.rglob("*.parquet")})
+
+
+def test_refresh_leaves_no_stale_files_and_survives_a_failure(spark, make, tmp_path):
+    s = "session_id int, d date, is_final boolean"
+    args = dict(date_col="d", start="2024-01-01", path=str(tmp_path / "t"), cluster_by=["session_id"])
+    first = make(s, (1, day("2024-01-01"), True), (2, day("2024-01-02"), False), (3, day("2024-01-03"), False))
+    tables.incremental_refresh(first, "r2", **args)
+    failing = first.withColumn("session_id", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        tables.incremental_refresh(failing, "r2", **args)
+    assert rows(spark.table("r2"), "session_id") == [(1,), (2,), (3,)]
+    got = tables.incremental_refresh(make(s, (9, day("2024-01-02"), True)), "r2", **args)
+    assert rows(got, "session_id", "d") == [(1, day("2024-01-01")), (9, day("2024-01-02"))]
+    assert files_under(tmp_path / "t") == ["d=2024-01-01", "d=2024-01-02"]
+    assert tables.table_checkpoint(spark, "r2", "d", "is_final", "2024-01-01") == day("2024-01-03")
+
+
+def test_upsert_replaces_rows_by_key_within_the_open_days(spark, make):
+    s = "k int, v string, d date, is_final boolean"
+    d1, d2, d3 = (day(f"2024-01-0{i}") for i in (1, 2, 3))
+    tables.incremental_refresh(make(s, (1, "a", d1, True), (2, "b", d2, False), (None, "n", d2, False)), "u1", date_col="d", start=d1)
+    new = make(s, (2, "B", d2, False), (None, "N", d2, False), (7, "g", d3, False), (1, "late", d1, False))
+    for _ in range(2):
+        got = tables.upsert(new, "u1", keys=["k"], date_col="d", days=[d2, d3])
+        assert rows(got, "k", "v", "d") == [(1, "a", d1), (2, "B", d2), (7, "g", d3), (None, "N", d2)]
+
+
+def test_copy_keeps_the_old_table_when_it_fails_and_may_read_it(spark, make, tmp_path):
+    df = make("id int, d date", (1, day("2024-01-01")), (2, day("2024-01-02")))
+    args = dict(partition_by="d", cluster_by=["id"], path=str(tmp_path / "c"))
+    tables.copy_table(df, "c1", **args)
+    with pytest.raises(Exception, match="broken"):
+        tables.copy_table(df.withColumn("id", F.raise_error(F.lit("broken")).cast("int")), "c1", **args)
+    with pytest.raises(Exception, match="no d"):
+        tables.copy_table(make("id int, d date", (1, None)), "c1", **args)
+    assert rows(spark.table("c1"), "id") == [(1,), (2,)]
+    got = tables.copy_table(spark.table("c1"), "c1", predicate=F.col("id") == 2, **args)
+    assert rows(got) == [(2, day("2024-01-02"))]
+    assert tables._cluster_columns(spark, "c1") == ["id"]
+
+
+def test_released_staging_is_gone(spark, make):
+    with staging.released(spark):
+        path = staging.new_path(spark, "x")
+        make("a int", (1,)).write.parquet(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_checkpoint_rule(make):
     s = "d date, is_final boolean"
     start = "2024-01-01"

@@ -48,6 +48,31 @@ def weeks_445(spark: SparkSession, first_day: dt.date, years: int, label_year: i
     )
 
 
+def weeks_near_july(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """Fiscal years that start on the Saturday nearest 1 July, in 4-4-5 months.
+
+    A year has 52 weeks, or 53 where the next start asks for it; week 53 belongs
+    to the last month. Years are named by the calendar year of their start.
+    """
+    names = ", ".join(f"'{m}'" for m in MONTHS)
+    start = "make_date({y}, 7, 1)"
+    nearest = f"date_add({start}, case when {{d}} <= 3 then -{{d}} else 7 - {{d}} end)"
+    # days since the last Saturday
+    begin = lambda y: nearest.format(y=y, d=f"(dayofweek({start.format(y=y)}) % 7)")
+    years = spark.range(first_year, last_year + 1).selectExpr(
+        "cast(id as int) as y", f"{begin('cast(id as int)')} as year_start", f"{begin('cast(id + 1 as int)')} as next_start"
+    )
+    weeks = years.selectExpr("*", "explode(sequence(0, datediff(next_start, year_start) div 7 - 1)) as n")
+    return weeks.selectExpr(
+        "date_add(year_start, cast(n * 7 as int)) as week_start",
+        "date_add(year_start, cast(n * 7 + 6 as int)) as week_end",
+        "cast(n + 1 as int) as week",
+        f"""element_at(array({names}), cast(least(12,
+            n div 13 * 3 + case when n % 13 < 4 then 1 when n % 13 < 8 then 2 else 3 end) as int)) as month""",
+        "concat(lpad(y % 100, 2, '0'), '-', lpad((y + 1) % 100, 2, '0')) as fiscal_year",
+    )
+
+
 def _month_number(month: Column) -> Column:
     return F.array_position(F.split(F.lit(",".join(MONTHS)), ","), month).cast("int")
 

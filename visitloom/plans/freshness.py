@@ -24,7 +24,7 @@ SELECT brand, replace(brand, 'B', 'property-') AS property_id, event_date, count
 WHERE event_date IN (DATE '2024-01-29', DATE '2024-01-30') GROUP BY 1, 2, 3""",
 )
 def intraday_sessions(v: Views) -> DataFrame:
-    events = v.events().withColumn("visit_id", F.dayofmonth("event_date"))
+    events = v.events().withColumn("visit_id", F.unix_date("event_date"))
     brands = {b: events.where(F.col("brand") == b) for b in ("B0", "B1", "B2")}
     recent = properties.intraday_events(
         brands,
@@ -158,7 +158,7 @@ def refreshed_sessions(v: Views) -> DataFrame:
     """
 WITH a AS (SELECT brand, count(DISTINCT session_id) AS sessions,
              count(*) FILTER (fiscal_year IS NULL) AS rows_without_fiscal_date FROM p_report GROUP BY 1),
-e AS (SELECT 'B' || (user_id % 3) AS brand, count(DISTINCT user_id * 100 + day(ts)) AS expected_sessions
+e AS (SELECT 'B' || (user_id % 3) AS brand, count(DISTINCT user_id * 100000 + (CAST(ts AS DATE) - DATE '2000-01-01')) AS expected_sessions
       FROM events GROUP BY 1)
 SELECT brand, sessions, expected_sessions, sessions - expected_sessions AS difference, rows_without_fiscal_date
 FROM a FULL JOIN e USING (brand)""",

@@ -14,11 +14,11 @@ def _pick(values: tuple, number: str) -> str:
 
 VIEWS = {
     "ev0": r"""
-SELECT event_id, user_id AS user_pseudo_id, user_id * 100 + day(ts) AS session_id,
+SELECT event_id, user_id AS user_pseudo_id, user_id * 100000 + (CAST(ts AS DATE) - DATE '2000-01-01') AS session_id,
        CAST(ts AS DATE) AS event_date, ts AS event_timestamp_utc,
        CASE event_type WHEN 'view' THEN 'page_view' WHEN 'signup' THEN 'sign_up'
             WHEN 'error' THEN 'user_engagement' ELSE event_type END AS event_name,
-       value, event_type, day(ts) AS d, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
+       value, event_type, CAST(ts AS DATE) AS d, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
 FROM events""",
     "ev1": f"""
 SELECT *, 'B' || (user_pseudo_id % 3) AS brand, 'www.b' || (user_pseudo_id % 3) || '.example' AS host,
@@ -42,7 +42,7 @@ SELECT e.*, u.url || {_pick(URL_TAILS, "k")} AS page_location,
        CASE WHEN k % 17 <> 0 THEN n_name END AS region,
        CASE WHEN k % 11 = 1 THEN '' WHEN k % 11 <> 0 THEN n_name END AS city
 FROM ev1 e
-JOIN pages u ON u.page_id = e.event_id % (SELECT count(*) FROM pages)
+LEFT JOIN pages u ON u.page_id = e.event_id % (SELECT count(*) FROM pages)
 LEFT JOIN customer ON c_custkey = e.user_pseudo_id
 LEFT JOIN nation ON n_nationkey = c_nationkey
 LEFT JOIN region ON r_regionkey = n_regionkey""",
@@ -83,16 +83,24 @@ SELECT *, 'www.b' || (user_pseudo_id % 3) || '.example' AS host,
        CASE WHEN medium IN ('cpc', 'paidsocial') THEN 'Paid' ELSE 'Owned' END AS marketing_category
 FROM se0""",
     "fiscal": """
-SELECT CAST(f + to_days(CAST(i AS INTEGER)) AS DATE) AS date, fy AS fiscal_year,
+SELECT CAST(f + CAST(i AS INTEGER) AS DATE) AS date,
+       lpad(CAST(y % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS fiscal_year,
        CAST((m + 2) // 3 AS INTEGER) AS fiscal_quarter_number, CAST(m AS INTEGER) AS fiscal_month_number,
        (['July','August','September','October','November','December','January','February','March',
          'April','May','June'])[m] AS fiscal_month_name,
        CAST(i // 7 + 1 AS INTEGER) AS fiscal_week_number,
-       CAST(f + to_days(CAST(i - i % 7 AS INTEGER)) AS DATE) AS fiscal_week_start_date,
-       CAST(f + to_days(CAST(i - i % 7 + 6 AS INTEGER)) AS DATE) AS fiscal_week_end_date,
+       CAST(f + CAST(i - i % 7 AS INTEGER) AS DATE) AS fiscal_week_start_date,
+       CAST(f + CAST(i - i % 7 + 6 AS INTEGER) AS DATE) AS fiscal_week_end_date,
        CAST(i % 7 + 1 AS INTEGER) AS fiscal_day_of_week, CAST(i + 1 AS INTEGER) AS fiscal_day_of_year
-FROM (SELECT fy, f, i, (i // 91) * 3 + CASE WHEN i % 91 < 28 THEN 1 WHEN i % 91 < 56 THEN 2 ELSE 3 END AS m
-      FROM (VALUES ('23-24', DATE '2023-07-01'), ('24-25', DATE '2024-06-29')) y(fy, f), range(364) t(i))""",
+FROM (SELECT y, f, i, CASE WHEN i >= 364 THEN 12 ELSE (i // 91) * 3
+               + CASE WHEN i % 91 < 28 THEN 1 WHEN i % 91 < 56 THEN 2 ELSE 3 END END AS m
+      FROM (SELECT y, f, unnest(range(0, n - f)) AS i
+            FROM (SELECT y, f, lead(f) OVER (ORDER BY y) AS n
+                  FROM (SELECT y, j + CAST(CASE WHEN w <= 3 THEN -w ELSE 7 - w END AS INTEGER) AS f
+                        FROM (SELECT y, j, (dayofweek(j) + 1) % 7 AS w
+                              FROM (SELECT y, make_date(y, 7, 1) AS j
+                                    FROM (SELECT unnest(range(year(min(ts)) - 1, year(max(ts)) + 2)) AS y FROM events)))))
+            WHERE n IS NOT NULL))""",
     "p_report": """
 SELECT s.* EXCLUDE (session_date), s.session_date AS date, t.transaction_id, t.revenue AS purchase_revenue,
        f.* EXCLUDE (date)

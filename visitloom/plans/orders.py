@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visitloom.functions import rules, text
 from visitloom.functions.dates import period, quarter_in_year_from
@@ -20,7 +21,7 @@ from visitloom.plans.traffic import (
     TEST_NATIONS,
 )
 from visitloom.plans.views import FISCAL, Views
-from visitloom.sources import reports, tables
+from visitloom.sources import reports, schema, tables
 from visitloom.sources.staging import new_path, stage
 from visitloom.sources.lookups import channel_map
 
@@ -500,6 +501,7 @@ FROM p_orders WHERE order_date < DATE '1999-06-01'""",
 )
 def order_history_copy(v: Views) -> DataFrame:
     columns = ["order_id", "order_date", "customer_status", "order_type", "order_brand", "order_revenue"]
+    # One folder a year: the given orders would make a folder a day of a few rows each.
     history = v.orders().select(*columns, F.trunc("order_date", "YEAR").alias("order_year"))
     path = new_path(v.spark, "history")
     return tables.copy_table(
@@ -514,6 +516,35 @@ def order_history_copy(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "order_details_table",
+    """
+SELECT CAST(transaction_id AS VARCHAR) AS ATGSalesOrderNumber, transaction_date AS OrderDate, brand AS DWBRAND,
+       revenue AS Revenue, CAST(NULL AS VARCHAR) AS COUPON_CODE
+FROM p_transactions""",
+)
+def order_details_table(v: Views) -> DataFrame:
+    """The order table, created by day with its cluster columns, then filled
+    with the web purchases."""
+    path = new_path(v.spark, "details")
+    name = "order_details_" + path.rsplit("-", 1)[1]
+    fields = [f for f in schema.ORDER_DETAILS if f.name != "OrderDate"] + [schema.ORDER_DETAILS["OrderDate"]]
+    tables.create_table(
+        v.spark, name, T.StructType(fields), partition_by="OrderDate", cluster_by=["DWBRAND", "Customer_Status"],
+        path=path, description="Back-office orders",
+    )
+    given = {
+        "ATGSalesOrderNumber": F.col("transaction_id").cast("string"),
+        "OrderDate": F.col("transaction_date"),
+        "DWBRAND": F.col("brand"),
+        "Revenue": F.col("revenue"),
+    }
+    rows = v.transactions().select(*(given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in fields))
+    start = "2000-01-01"
+    filled = tables.incremental_refresh(rows, name, date_col="OrderDate", start=start, checkpoint=start, path=path)
+    return filled.select(*given, "COUPON_CODE")
+
+
 @query(
     "brand_order_share",
     """

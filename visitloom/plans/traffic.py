@@ -14,9 +14,11 @@ from visitloom.functions.dates import (
 )
 from visitloom.functions.numbers import ratio
 from visitloom.operators import kpi, properties, sessions
-from visitloom.operators.calendar import with_fiscal
+from visitloom.operators.calendar import WEEK_SCHEMA, expand_weeks, with_fiscal
 from visitloom.plans.registry import query
 from visitloom.plans.views import Views
+from visitloom.sources.staging import new_path
+from visitloom.streaming.runs import ingest_new_files
 
 MONTH_COLUMNS = ["fiscal_year", "fiscal_month_name", "fiscal_month_number", "fiscal_quarter_number"]
 TEST_NATIONS = ("NATION_1", "NATION_6", "NATION_11", "NATION_16")
@@ -628,6 +630,30 @@ def fiscal_day_volume(v: Views) -> DataFrame:
     return joined.withColumn("events", F.coalesce("events", F.lit(0)))
 
 
+@query(
+    "stored_fiscal_weeks",
+    """
+SELECT fiscal_year, fiscal_month_name, fiscal_week_number, min(date) AS week_start, count(*) AS days,
+       CAST(sum(coalesce(n, 0)) AS BIGINT) AS events
+FROM fiscal LEFT JOIN (SELECT event_date, count(*) AS n FROM ev0 GROUP BY 1) ON event_date = date GROUP BY 1, 2, 3""",
+)
+def stored_fiscal_weeks(v: Views) -> DataFrame:
+    """Week files as they land, one a year: ingested, expanded to days, looked up."""
+    folder, target, log = (new_path(v.spark, n) for n in ("weeks", "calendar", "calendar-log"))
+    v.fiscal_weeks().repartition("fiscal_year").write.option("header", True).csv(folder)
+    calendar = expand_weeks(ingest_new_files(v.spark, folder, WEEK_SCHEMA, target, log))
+    volume = v.events().groupBy(F.col("event_date").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        calendar.join(volume, "date", "left")
+        .groupBy("fiscal_year", "fiscal_month_name", "fiscal_week_number")
+        .agg(
+            F.min("date").alias("week_start"),
+            F.count(F.lit(1)).alias("days"),
+            F.sum(F.coalesce("n", F.lit(0))).alias("events"),
+        )
+    )
+
+
 @query(
     "quarter_order_value",
     """

@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.operators.calendar import expand_weeks, weeks_445, with_fiscal
+from visitloom.operators.calendar import expand_weeks, weeks_near_july, with_fiscal
 from visitloom.operators.joins import null_safe_join
 from visitloom.sources.staging import stage
 from visitloom.streaming.runs import EVERY_AGE
@@ -80,7 +80,7 @@ class Views:
         df = raw.selectExpr(
             "event_id",
             "user_id as user_pseudo_id",
-            "user_id * 100 + dayofmonth(ts) as session_id",
+            "user_id * 100000 + datediff(ts, date'2000-01-01') as session_id",
             "cast(ts as date) as event_date",
             "ts as event_timestamp_utc",
             """case event_type when 'view' then 'page_view' when 'signup' then 'sign_up'
@@ -100,7 +100,7 @@ class Views:
             "if(k % 4 < 2, concat('Free Shipping ', k % 5), 'Gift') as event_class",
             "concat('reason ', k % 7) as event_label",
             "concat('club ', user_id % 4) as event_order",
-            "concat('/x/', user_id, '/', dayofmonth(ts)) as page_fragment",
+            "concat('/x/', user_id, '/', cast(ts as date)) as page_fragment",
             "k % 2 + 1 as page_number",
             "if(event_type = 'purchase', event_id, null) as transaction_id",
         )
@@ -112,11 +112,12 @@ class Views:
 
     def _with_pages(self, df: DataFrame) -> DataFrame:
         # The page count is a scalar subquery in a projection: one row, and no
-        # cross join. The join itself is left to Catalyst's size check.
+        # cross join. The join itself is left to Catalyst's size check; an event
+        # whose page is not in the table stays, without a location.
         pages = self.table("pages").select("page_id", "url")
         count = pages.agg(F.count(F.lit(1)).alias("n")).scalar()
         keyed = df.withColumn("page_id", F.col("event_id") % count)
-        located = keyed.join(pages, "page_id").selectExpr(
+        located = keyed.join(pages, "page_id", "left").selectExpr(
             *df.columns, f"concat(url, {choose(URL_TAILS, 'k')}) as page_location"
         )
         return located.selectExpr(
@@ -258,5 +259,10 @@ class Views:
 
     @cached_property
     def fiscal(self) -> DataFrame:
-        """Fiscal days of two years, from the week rule."""
-        return expand_weeks(weeks_445(self.spark, dt.date(2023, 7, 1), 2, 2023))
+        """Fiscal days of all years that the events lie in."""
+        return expand_weeks(self.fiscal_weeks())
+
+    def fiscal_weeks(self) -> DataFrame:
+        days = self.table("events").agg(F.min("ts"), F.max("ts")).first()
+        first, last = (d or dt.datetime(2024, 1, 1) for d in days)
+        return weeks_near_july(self.spark, first.year - 1, last.year)

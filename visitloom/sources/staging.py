@@ -59,6 +59,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    if found := _files(spark, path):
+        found[0].delete(found[1], True)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was staged inside, so that a long-lived job keeps
@@ -68,8 +73,7 @@ def released(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            if found := _files(spark, path):
-                found[0].delete(found[1], True)
+            remove_folder(spark, path)
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
-"""Table copies, recreation and incremental refresh on plain Parquet tables."""
+"""Table copies, recreation and incremental refresh on plain Parquet tables.
+
+New rows are written first and put in place after, so a job that fails half-way
+leaves the table as it was.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 
@@ -11,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visitloom.functions.dates import Day, day
+from visitloom.sources.staging import remove_folder, stage
 
 OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+CLUSTER_PROPERTY = "visitloom.cluster_by"
 
 
 def clustered(df: DataFrame, partition_by: str, cluster_by: Sequence[str] = ()) -> DataFrame:
@@ -31,21 +38,54 @@ def create_table(
     schema: T.StructType,
     *,
     partition_by: str,
+    cluster_by: Sequence[str] = (),
     path: str | None = None,
     description: str = "",
 ) -> None:
-    """Drops the table if it exists and creates it empty with the schema."""
+    """Drops the table if it exists and creates it empty with the schema.
+
+    The cluster columns are kept with the table; later writes sort by them.
+    """
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     comment = f" COMMENT '{_quoted(description)}'" if description else ""
-    location = f" LOCATION '{path}'" if path else ""
+    location = f" LOCATION '{_quoted(path)}'" if path else ""
+    kept = f" TBLPROPERTIES ('{CLUSTER_PROPERTY}' = '{','.join(cluster_by)}')"
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (`{partition_by}`){comment}{location}"
+        f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (`{partition_by}`){location}{comment}{kept}"
     )
 
 
 def _quoted(text: str) -> str:
-    return text.replace("'", "\\'")
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _cluster_columns(spark: SparkSession, table: str) -> list[str]:
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {table}").collect()}
+    return [c for c in found.get(CLUSTER_PROPERTY, "").split(",") if c]
+
+
+def _details(spark: SparkSession, table: str) -> dict[str, str]:
+    return {r[0]: r[1] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+
+
+def _write_days(rows: DataFrame, folder: str, partition_by: str, cluster_by: Sequence[str]) -> dict[str, str]:
+    """Writes the rows by partition; partition name to folder, one per day."""
+    clustered(rows, partition_by, cluster_by).write.partitionBy(partition_by).parquet(folder)
+    back = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    names = [r[0] for r in back.select(F.col(partition_by).cast("string")).distinct().collect()]
+    return {n: f"{folder}/{partition_by}={n}" for n in names if n is not None}
+
+
+def _add_days(spark: SparkSession, table: str, partition_by: str, folders: Mapping[str, str]) -> None:
+    """All partitions in one statement."""
+    listed = " ".join(f"PARTITION ({partition_by} = DATE '{d}') LOCATION '{_quoted(f)}'" for d, f in sorted(folders.items()))
+    if listed:
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {listed}")
+
+
+def _base(spark: SparkSession, table: str, path: str | None) -> str:
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{table.replace('.', '/')}"
 
 
 def copy_table(
@@ -60,34 +100,57 @@ def copy_table(
     description: str = "",
 ) -> DataFrame:
     """Replaces ``table`` by the (filtered) source, with typed NULL columns for
-    fields the source does not have yet. Eager; returns the new table."""
+    fields the source does not have yet. Eager; returns the new table.
+
+    Rows without a partition date cannot be kept by day and raise. The source
+    may read the table itself: its old rows go after the new ones are in place.
+    """
     spark = source.sparkSession
     rows = source if predicate is None else source.where(predicate)
     for name, type_ in (add_nulls or {}).items():
         rows = rows.withColumn(name, F.lit(None).cast(type_))
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    writer = clustered(rows, partition_by, cluster_by).write.partitionBy(partition_by)
-    if path:
-        writer = writer.option("path", path)
-    writer.mode("overwrite").format("parquet").saveAsTable(table)
-    if description:
-        spark.sql(f"COMMENT ON TABLE {table} IS '{_quoted(description)}'")
+    undated = F.raise_error(F.lit(f"{table}: a row has no {partition_by}")).cast("date")
+    checked = rows.withColumn(partition_by, F.coalesce(partition_by, undated))
+    base = _base(spark, table, path)
+    folder = f"{base}/write-{uuid.uuid4().hex}"
+    folders = _write_days(checked, folder, partition_by, cluster_by)
+    old = _details(spark, table).get("Location") if spark.catalog.tableExists(table) else None
+    fields = [f for f in rows.schema.fields if f.name != partition_by]
+    schema = T.StructType([*fields, rows.schema[partition_by]])
+    create_table(
+        spark, table, schema, partition_by=partition_by, cluster_by=cluster_by, path=folder, description=description
+    )
+    _add_days(spark, table, partition_by, folders)
+    if old and old.rstrip("/") != folder and "/write-" in old:
+        remove_folder(spark, old)
     return spark.table(table).select(*rows.columns)
 
 
 def refresh_checkpoint(
     target: DataFrame | None, date_col: str, final_col: str, start: Day
 ) -> dt.date:
-    """First day to rebuild: the day after the last final one, else ``start``.
-
-    Reads one row; over a partitioned table the aggregate is map-side.
-    """
+    """First day to rebuild: the day after the last final one, else ``start``."""
     if target is None:
         return day(start)
     last = target.where(F.col(final_col)).agg(F.max(date_col)).first()[0]
     return day(start) if last is None else last + dt.timedelta(days=1)
 
 
+def _days(spark: SparkSession, table: str) -> list[str]:
+    """Partition names, one per day, newest first."""
+    return sorted((r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()), reverse=True)
+
+
+def table_checkpoint(spark: SparkSession, table: str, date_col: str, final_col: str, start: Day) -> dt.date:
+    """``refresh_checkpoint`` of a partitioned table: days are looked at from the
+    newest back to the first that has a final row, so old ones are not read."""
+    for name in _days(spark, table):
+        one = spark.table(table).where((F.col(date_col) == F.lit(day(name))) & F.col(final_col))
+        if one.limit(1).count():
+            return day(name) + dt.timedelta(days=1)
+    return day(start)
+
+
 @contextmanager
 def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
     """Overwrites touch only the partitions they write. ``insertInto`` heeds the
@@ -100,6 +163,20 @@ def _dynamic_overwrite(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(OVERWRITE_MODE, before)
 
 
+def _replace_days(rows: DataFrame, table: str, date_col: str) -> set[str]:
+    """Puts the rows in place of the days they have; names of those days.
+
+    The rows are computed and staged before the table is touched. What follows
+    is a copy: Spark writes it beside the table and moves whole days at the end.
+    """
+    spark = rows.sparkSession
+    ready = stage(rows.select(*spark.table(table).columns))
+    with _dynamic_overwrite(spark):
+        clustered(ready, date_col, _cluster_columns(spark, table)).write.mode("overwrite").insertInto(table)
+    spark.catalog.refreshTable(table)
+    return {r[0] for r in ready.select(F.col(date_col).cast("string")).distinct().collect()}
+
+
 def incremental_refresh(
     source: DataFrame,
     table: str,
@@ -109,31 +186,50 @@ def incremental_refresh(
     start: Day,
     checkpoint: Day | None = None,
     path: str | None = None,
+    cluster_by: Sequence[str] = (),
 ) -> DataFrame:
     """Rebuilds all days from the checkpoint on and leaves earlier ones alone.
 
-    ``checkpoint`` overrides the computed day (to backfill late inputs). Old
-    partitions from the checkpoint on are dropped first, so that days the source
-    no longer has disappear too. A failed run is simply repeated: what is left
-    of the table gives the same or an earlier checkpoint, and a day that was
-    written is overwritten, never appended to.
+    ``checkpoint`` overrides the computed day (to backfill late inputs). Days
+    that the source no longer has are dropped, all in one statement and with
+    their files, after the others are in place: readers never miss a day that
+    is only replaced. A run that fails while computing changes nothing, and any
+    run can simply be repeated.
     """
     spark = source.sparkSession
-    exists = spark.catalog.tableExists(table)
-    if checkpoint is None:
-        checkpoint = refresh_checkpoint(spark.table(table) if exists else None, date_col, final_col, start)
-    first = day(checkpoint)
-    if exists:
-        # Partition names only, one per day.
-        days = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-        for old in (d for d in days if d >= first.isoformat()):
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({date_col} = DATE '{old}')")
-    else:
+    if not spark.catalog.tableExists(table):
         fields = [f for f in source.schema.fields if f.name != date_col]
         schema = T.StructType([*fields, source.schema[date_col]])
-        create_table(spark, table, schema, partition_by=date_col, path=path)
-    rows = source.where(F.col(date_col) >= F.lit(first)).select(*spark.table(table).columns)
-    with _dynamic_overwrite(spark):
-        clustered(rows, date_col).write.mode("overwrite").insertInto(table)
-    spark.catalog.refreshTable(table)
+        create_table(spark, table, schema, partition_by=date_col, cluster_by=cluster_by, path=path)
+    if checkpoint is None:
+        checkpoint = table_checkpoint(spark, table, date_col, final_col, start)
+    first = day(checkpoint)
+    written = _replace_days(source.where(F.col(date_col) >= F.lit(first)), table, date_col)
+    gone = [d for d in _days(spark, table) if d >= first.isoformat() and d not in written]
+    if gone:
+        folder = _details(spark, table)["Location"].rstrip("/")
+        listed = ", ".join(f"PARTITION ({date_col} = DATE '{d}')" for d in gone)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {listed}")
+        for d in gone:
+            remove_folder(spark, f"{folder}/{date_col}={d}")
+        spark.catalog.refreshTable(table)
+    return spark.table(table)
+
+
+def upsert(source: DataFrame, table: str, *, keys: Sequence[str], date_col: str, days: Sequence[Day]) -> DataFrame:
+    """Keyed refresh of the open days: source rows replace the table's rows of
+    the same keys, the table's other rows of those days stay.
+
+    Keys are compared with NULL equal to NULL; of source rows with equal keys
+    all are kept. Only the named days are read and rewritten.
+    """
+    spark = source.sparkSession
+    open_days = F.col(date_col).isin(*(day(d) for d in days))
+    new = source.where(open_days).select(*spark.table(table).columns)
+    old = spark.table(table).where(open_days)
+    given = new.select(*keys).distinct().withColumnsRenamed({k: f"_n_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & old[k].eqNullSafe(given[f"_n_{k}"])
+    _replace_days(old.join(given, same, "left_anti").unionByName(new), table, date_col)
     return spark.table(table)
