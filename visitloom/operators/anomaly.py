@@ -13,23 +13,17 @@ from visitloom.operators.kpi import with_shares
 from visitloom.sources.staging import stage
 
 
-def with_z_scores(
-    df: DataFrame, scores: dict[str, str], baseline_by: Sequence[str], *, closed_keys: bool = False
-) -> DataFrame:
-    """Adds ``scores`` (value column to score name) against the mean and sample
-    deviation of the row's baseline group.
-
-    ``closed_keys`` says that the baseline keys come from a rule list: the
-    baseline then has a handful of rows by construction and is broadcast.
-    """
+def baseline(df: DataFrame, scores: dict[str, str], by: Sequence[str]) -> DataFrame:
+    """Mean and sample deviation of each value column per group."""
     stats = []
     for value, name in scores.items():
         stats += [F.avg(value).alias(f"_m_{name}"), F.stddev(value).alias(f"_s_{name}")]
-    baseline = df.groupBy(*baseline_by).agg(*stats)
-    if closed_keys:
-        baseline = F.broadcast(baseline)
-    joined = df.join(baseline, list(baseline_by), "left")
-    return joined.withColumns(
+    return df.groupBy(*by).agg(*stats)
+
+
+def scored_against(df: DataFrame, scores: dict[str, str]) -> DataFrame:
+    """Scores from the baseline columns that were joined to the rows."""
+    return df.withColumns(
         {
             name: z_score(F.col(value), F.col(f"_m_{name}"), F.nullif(F.col(f"_s_{name}"), F.lit(0.0)))
             for value, name in scores.items()
@@ -37,13 +31,16 @@ def with_z_scores(
     ).drop(*[f"_{k}_{n}" for n in scores.values() for k in "ms"])
 
 
-def count_z_scores(
-    counts: DataFrame, name: str, per: Sequence[str], baseline_by: Sequence[str], *, closed_keys: bool = False
-) -> DataFrame:
+def with_z_scores(df: DataFrame, scores: dict[str, str], baseline_by: Sequence[str]) -> DataFrame:
+    """Adds ``scores`` (value column to score name) against the mean and sample
+    deviation of the row's baseline group."""
+    return scored_against(df.join(baseline(df, scores, baseline_by), list(baseline_by), "left"), scores)
+
+
+def count_z_scores(counts: DataFrame, name: str, per: Sequence[str], baseline_by: Sequence[str]) -> DataFrame:
     """Score of each group's ``n`` against the groups that share its baseline
     keys. Groups without rows are absent, not zero."""
-    own = counts.select(*per, "n")
-    return with_z_scores(own, {"n": name}, baseline_by, closed_keys=closed_keys).select(*per, name)
+    return with_z_scores(counts.select(*per, "n"), {"n": name}, baseline_by).select(*per, name)
 
 
 def score_sessions(features: DataFrame) -> DataFrame:
@@ -52,9 +49,10 @@ def score_sessions(features: DataFrame) -> DataFrame:
 
     The features feed several aggregates, so they are written once to the
     staging folder. The sessions per day, system, device and place come from
-    one pass with grouping sets and are staged as well: the planner then knows
-    their true size, and broadcasts the contexts only below its threshold.
-    Traffic types and brands are closed lists, given by rules and properties.
+    one pass with grouping sets; their scores are staged, so the planner knows
+    their true size and shuffles the features only for contexts that are too
+    large to broadcast. The session's own baseline has one row per traffic type
+    and rides on the context of its day. No size is promised by a hint.
     """
     features = stage(features)
     day = ["session_date", "traffic_type"]
@@ -65,12 +63,8 @@ def score_sessions(features: DataFrame) -> DataFrame:
             F.grouping_id().alias("level"), F.count_distinct("session_key").alias("n")
         )
     )
-    scored = with_z_scores(
-        features,
-        {"engagement_seconds": "z_eng", "event_count": "z_evt", "pageviews": "z_pv"},
-        ["traffic_type"],
-        closed_keys=True,
-    )
+    own = {"engagement_seconds": "z_eng", "event_count": "z_evt", "pageviews": "z_pv"}
+    scored = features
     # grouping_id sets one bit per column that is *not* in the set.
     for name, column, level in (
         ("daily_z_sessions", None, 0b111),
@@ -82,10 +76,13 @@ def score_sessions(features: DataFrame) -> DataFrame:
         context = count_z_scores(
             counts.where(F.col("level") == level), name, [*day, *keys], ["traffic_type", *keys]
         )
-        scored = _with_context(scored, context, [*day, *keys], name)
+        if column is None:
+            context = context.join(baseline(features, own, ["traffic_type"]), "traffic_type", "left")
+        scored = _with_context(scored, stage(context), [*day, *keys], name)
+    scored = scored_against(scored, own)
     user_day = [*day, "brand", "user_pseudo_id"]
     visits = features.groupBy(*user_day).agg(F.count_distinct("session_key").alias("n"))
-    context = count_z_scores(visits, "user_z_sessions", user_day, ["traffic_type", "brand"], closed_keys=True)
+    context = count_z_scores(visits, "user_z_sessions", user_day, ["traffic_type", "brand"])
     return _with_context(scored, context, user_day, "user_z_sessions")
 
 

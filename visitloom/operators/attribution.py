@@ -16,8 +16,8 @@ def first_by(
 ) -> DataFrame:
     """Values of the row with the lowest order tuple per key, NULL sorting first.
 
-    ``min_by`` keeps one candidate per key and task: no group is sorted or
-    collected. End the order with an id, or ties are undecided.
+    No group is collected; Spark sorts the rows of a task by key, as a struct
+    is no fixed-width value. End the order with an id, or ties are undecided.
     """
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias("_first"))
     return picked.select(*keys, "_first.*")
@@ -27,13 +27,33 @@ def first_non_null(
     df: DataFrame, keys: Sequence[str], values: Sequence[str], order: Sequence[str]
 ) -> DataFrame:
     """Per key, the first non-NULL of each value by the order, independently, so
-    the values may come from different rows."""
-    rank = F.struct(*order)
-    return df.groupBy(*keys).agg(
-        *[F.min_by(v, F.when(F.col(v).isNotNull(), rank)).alias(v) for v in values]
+    the values may come from different rows.
+
+    Rows first shrink to one per key and combination of values, with its lowest
+    order. For an order of a time and a whole number that is a fixed-width
+    minimum: tasks hash the rows and sort nothing before the first shuffle.
+    """
+    lowest = df.groupBy(*keys, *values).agg(F.min(order_key(df, order)).alias("_o"))
+    return lowest.groupBy(*keys).agg(
+        *[F.min_by(v, F.when(F.col(v).isNotNull(), F.col("_o"))).alias(v) for v in values]
     )
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order as one value: a decimal for a time and a non-negative whole
+    number, both known, which aggregates without a sort; else a struct."""
+    types = [df.schema[c].dataType.typeName() for c in order]
+    if len(order) != 2 or types[0] not in ("timestamp", "timestamp_ntz") or types[1] not in ("long", "integer"):
+        return F.struct(*order)
+    return F.expr(order_sql(*order))
+
+
+def order_sql(ts: str, number: str) -> str:
+    """Microseconds and a whole number below 10 ** 19 in one decimal; NULL if either is."""
+    micros = f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))"
+    return f"cast(cast({micros} as decimal(18, 0)) * 10000000000000000000 + {number} as decimal(38, 0))"
+
+
 def first_touch(
     sessions: DataFrame,
     values: Sequence[str],

@@ -42,14 +42,13 @@ def buyers_of_or_non_buyers(
     """Visits without a transaction, and visits with a transaction that holds
     the item; other buyers are dropped. A line of the item repeats its visit.
 
-    Buyers of the item are found from the item lines inward, so the visits meet
-    a small table instead of every transaction and every line."""
-    has_id = F.col("transaction_id").isNotNull()
-    bought = items.where(F.col("item_id") == item_id).select("transaction_id")
-    sold = visits.join(transactions.join(bought, "transaction_id"), session)
-    unnamed = visits.join(transactions.where(~has_id), session)
-    none = visits.join(transactions.select(session).distinct(), session, "left_anti")
-    return sold.unionByName(unnamed).unionByName(none, allowMissingColumns=True)
+    The lines of the item shrink to their number per transaction, which is
+    noted on the transactions; these meet the visits once."""
+    lines = items.where(F.col("item_id") == item_id).groupBy("transaction_id").agg(F.count(F.lit(1)).alias("_lines"))
+    noted = transactions.join(lines, "transaction_id", "left")
+    joined = visits.join(noted, session, "left").where(F.col("transaction_id").isNull() | F.col("_lines").isNotNull())
+    times = F.array_repeat(F.lit(0), F.coalesce(F.col("_lines"), F.lit(1)).cast("int"))
+    return joined.withColumn("_line", F.explode(times)).drop("_lines", "_line")
 
 
 def reconcile(
@@ -57,20 +56,16 @@ def reconcile(
 ) -> DataFrame:
     """Full outer join of web transactions with back-office orders.
 
-    A web row that fails ``web_condition`` stays, unmatched. Written as matched
-    rows plus the two unmatched sides, because AQE can split a hot id, NULL
-    included, in an inner and in an anti join but not in a full one. The sides
-    are read three times each: pass stored tables.
+    A web row that fails ``web_condition`` stays, unmatched. Ids are nearly
+    unique on both sides but for NULL, which matches nothing: rows without an
+    id, and web rows that fail, go round the join, so it has no hot key.
     """
-    matches = F.lit(True) if web_condition is None else web_condition
-    eligible = web.where(matches)
-    web_ids = eligible.select(F.col(web_id).alias("_id")).distinct()
-    office_ids = back_office.select(F.col(office_id).alias("_id")).distinct()
-    matched = eligible.join(back_office, F.col(web_id) == F.col(office_id))
-    web_only = web.join(office_ids, (F.col(web_id) == F.col("_id")) & matches, "left_anti")
-    office_only = back_office.join(web_ids, F.col(office_id) == F.col("_id"), "left_anti")
-    return matched.unionByName(web_only, allowMissingColumns=True).unionByName(
-        office_only, allowMissingColumns=True
+    matches = F.lit(True) if web_condition is None else F.coalesce(web_condition, F.lit(False))
+    joinable = matches & F.col(web_id).isNotNull()
+    known = F.col(office_id).isNotNull()
+    joined = web.where(joinable).join(back_office.where(known), F.col(web_id) == F.col(office_id), "full")
+    return joined.unionByName(web.where(~joinable), allowMissingColumns=True).unionByName(
+        back_office.where(~known), allowMissingColumns=True
     )
 
 
@@ -104,12 +99,20 @@ def dedupe_transactions(
     return picked.select(*keys, "_row.*").select(*transactions.columns)
 
 
-def cancel_reasons(events: DataFrame, confirm: str, feedback: str, no_reason: str = "ABANDONED") -> DataFrame:
+def cancel_reasons(
+    events: DataFrame, confirm: str, feedback: str, no_reason: str = "ABANDONED", *, one_row: bool = False
+) -> DataFrame:
     """Confirmed cancellations with the upper-cased reason given on the same
-    page fragment; several feedback rows repeat the cancellation."""
+    page fragment; several feedback rows repeat the cancellation.
+
+    ``one_row`` keeps one row per cancellation, with the lowest reason: reasons
+    then shrink to one per fragment, and nothing is multiplied.
+    """
     reasons = events.where(F.col("event_category") == feedback).select(
         "brand", "page_fragment", F.upper("event_label").alias("_reason")
     )
+    if one_row:
+        reasons = reasons.groupBy("brand", "page_fragment").agg(F.min("_reason").alias("_reason"))
     confirmed = events.where(F.col("event_category") == confirm).select(
         "brand", "event_date", "page_fragment", "event_order"
     )

@@ -58,6 +58,20 @@ def intraday_events(
     )
 
 
+def recent_events(
+    events: DataFrame,
+    as_of: Day,
+    *,
+    user: str = "user_pseudo_id",
+    visit: str = "visit_id",
+    date_col: str = "event_date",
+    days: int = 2,
+) -> DataFrame:
+    """``intraday_events`` where one table holds all properties: one scan."""
+    recent = events.where(last_n_days(F.col(date_col), as_of, days))
+    return recent.withColumn("session_id", session_key(F.col(user), F.col(visit)))
+
+
 def prefer_final(
     final: DataFrame,
     intraday: DataFrame,

@@ -25,13 +25,7 @@ WHERE event_date IN (DATE '2024-01-29', DATE '2024-01-30') GROUP BY 1, 2, 3""",
 )
 def intraday_sessions(v: Views) -> DataFrame:
     events = v.events().withColumn("visit_id", F.unix_date("event_date"))
-    brands = {b: events.where(F.col("brand") == b) for b in ("B0", "B1", "B2")}
-    recent = properties.intraday_events(
-        brands,
-        TODAY,
-        ["event_date", "user_pseudo_id", "visit_id"],
-        {b: b.replace("B", "property-") for b in brands},
-    )
+    recent = properties.recent_events(events, TODAY).withColumn("property_id", F.replace("brand", F.lit("B"), F.lit("property-")))
     return recent.groupBy("brand", "property_id", "event_date").agg(
         F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("events")
     )

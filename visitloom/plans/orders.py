@@ -12,6 +12,7 @@ from visitloom.functions import rules, text
 from visitloom.functions.dates import period, quarter_in_year_from
 from visitloom.operators import kpi, orders, properties, sessions
 from visitloom.operators.calendar import with_fiscal
+from visitloom.operators.joins import null_safe_join
 from visitloom.plans.registry import query
 from visitloom.plans.traffic import (
     CONTROL_NATIONS,
@@ -68,7 +69,10 @@ def session_order_channels(v: Views) -> DataFrame:
         rules.order_kind(c("order_type")).alias("order_kind"),
         "coupon_code",
     )
-    rows = v.sessions().where("country = 'AMERICA'").join(sales, "session_id", "left")
+    visits = v.sessions().where("country = 'AMERICA'")
+    # Sales are what may repeat a session, so they are not the right of a left join.
+    sold = null_safe_join(visits.where("purchases > 0"), sales, ["session_id"])
+    rows = sold.unionByName(visits.where("purchases = 0"), allowMissingColumns=True)
     return rows.join(details, "transaction_id", "left").select(
         F.month("session_date").alias("month"),
         quarter_in_year_from(F.month("session_date"), 7).alias("quarter"),
@@ -227,7 +231,7 @@ WHERE o.response_code IN ('R1', 'R7') OR (lnd_source_medium = 'cm_dm / postcard'
 )
 def order_reconciliation(v: Views) -> DataFrame:
     both = orders.reconcile(
-        stage(v.transactions().select("transaction_id", "transaction_date", "session_id")),
+        v.transactions().select("transaction_id", "transaction_date", "session_id"),
         v.orders().select("order_id", "order_date", "response_code"),
         "transaction_id",
         "order_id",
@@ -262,7 +266,7 @@ FROM p_transactions FULL JOIN p_orders ON order_id = transaction_id GROUP BY 1""
 )
 def order_match_outcomes(v: Views) -> DataFrame:
     both = orders.reconcile(
-        stage(v.transactions().select("transaction_id", "revenue")),
+        v.transactions().select("transaction_id", "revenue"),
         v.orders().select("order_id", "order_revenue"),
         "transaction_id",
         "order_id",
@@ -290,8 +294,30 @@ LEFT JOIN (SELECT * FROM f WHERE event_category = 'SUBMIT FEEDBACK') r
   ON r.brand = c.brand AND r.page_fragment = c.page_fragment""",
 )
 def cancellation_reasons(v: Views) -> DataFrame:
-    events = v.events(geo=True).where("country <> 'ASIA'")
-    return orders.cancel_reasons(events, "CONFIRM CANCELLATION", "SUBMIT FEEDBACK")
+    return orders.cancel_reasons(_cancellation_events(v), "CONFIRM CANCELLATION", "SUBMIT FEEDBACK")
+
+
+def _cancellation_events(v: Views) -> DataFrame:
+    """The few events of a cancellation, with their place looked up once."""
+    both = v.events().where(F.col("event_category").isin("CONFIRM CANCELLATION", "SUBMIT FEEDBACK"))
+    columns = ["brand", "event_date", "event_category", "event_label", "event_order", "page_fragment"]
+    return stage(v.with_geo(both).where("country <> 'ASIA'").select(*columns))
+
+
+@query(
+    "cancellations",
+    """
+WITH f AS (SELECT * FROM p_events WHERE country <> 'ASIA'),
+r AS (SELECT brand, page_fragment, min(upper(event_label)) AS reason FROM f
+      WHERE event_category = 'SUBMIT FEEDBACK' GROUP BY 1, 2)
+SELECT c.brand, c.event_order AS club, c.event_date AS date, split_part(c.page_fragment, '/', 3) AS subscription_id,
+       coalesce(reason, 'ABANDONED') AS cancel_reason
+FROM f c LEFT JOIN r ON r.brand = c.brand AND r.page_fragment = c.page_fragment
+WHERE event_category = 'CONFIRM CANCELLATION'""",
+)
+def cancellations(v: Views) -> DataFrame:
+    """One row per cancellation."""
+    return orders.cancel_reasons(_cancellation_events(v), "CONFIRM CANCELLATION", "SUBMIT FEEDBACK", one_row=True)
 
 
 @query(
@@ -375,8 +401,7 @@ def enriched_sessions(v: Views) -> DataFrame:
             "url_campaign_id",
         )
     ]
-    staged = v.sessions(geo=False).drop("channel_category", "marketing_category")
-    channelled = staged.withColumns(
+    channelled = v.sessions(geo=False).drop("channel_category", "marketing_category").withColumns(
         {
             "channel_category": rules.channel_by_click_id(*inputs, words=True),
             "literal_channel": rules.channel_by_click_id(*inputs),

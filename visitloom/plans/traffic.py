@@ -263,7 +263,12 @@ SELECT brand, replace(brand, 'B', 'property-') AS property_id, event_date, count
 FROM p_events GROUP BY 1, 2, 3""",
 )
 def property_union_daily(v: Views) -> DataFrame:
-    tables = {b: v.events().where(F.col("brand") == b).drop("brand") for b in ("B0", "B1", "B2")}
+    """Each property's events lie in a table of their own; all that exist are read."""
+    folder = new_path(v.spark, "properties")
+    v.events().select("brand", "event_date", "session_id").write.partitionBy("brand").parquet(folder)
+    stored = v.spark.read.parquet(folder)
+    brands = [r[0] for r in stored.select("brand").distinct().collect()]  # one per property
+    tables = {b: v.spark.read.parquet(f"{folder}/brand={b}") for b in brands}
     ids = {b: b.replace("B", "property-") for b in tables}
     events = properties.brand_union(tables, ["event_date", "session_id"], ids)
     return events.groupBy("brand", "property_id", "event_date").agg(

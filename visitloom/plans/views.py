@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitloom.operators.attribution import order_sql
 from visitloom.operators.calendar import expand_weeks, weeks_near_july, with_fiscal
 from visitloom.operators.joins import null_safe_join
 from visitloom.sources.staging import stage
@@ -38,6 +39,7 @@ URL_TAILS = (
     "/newlandingpage/?code=N003",
     "/cm_template_responsive?date=Gifting",
 )
+SYSTEMS = ("iOS", "Android", "Macintosh", "Windows")
 SOURCES = ("google", "facebook", None, "google", "bronto", "attentive", "cm_dm", None)
 MEDIUMS = ("cpc", "paidsocial", None, "organic", "email", "sms", "postcard", "referral")
 CAMPAIGNS = ("spring_std", "retargeting_a", "none", "event_b", "club_join")
@@ -89,7 +91,7 @@ class Views:
             "value",
             "concat('B', user_id % 3) as brand",
             "concat('www.b', user_id % 3, '.example') as host",
-            f"{choose(('iOS', 'Android', 'Macintosh', 'Windows'), 'k')} as device_operating_system",
+            f"{choose(SYSTEMS, 'k')} as device_operating_system",
             f"{choose(('desktop', 'Mobile', 'tablet'), 'k')} as device_category",
             f"{choose(('Soft Logged-In', 'Hard Logged-In', 'Unidentified', None, None), 'k')} as login_status",
             f"{choose(SOURCES, 'k')} as source",
@@ -107,7 +109,7 @@ class Views:
         if pages:
             df = self._with_pages(df)
         if geo:
-            df = self._with_geo(df)
+            df = self.with_geo(df)
         return df
 
     def _with_pages(self, df: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ class Views:
                 else regexp_replace(page_location, '^https?://[^/]+', '') end as page_path""",
         )
 
-    def _with_geo(self, df: DataFrame) -> DataFrame:
+    def with_geo(self, df: DataFrame) -> DataFrame:
         # One small look-up after the other, each joined by its own file size;
         # joined to each other first they would be estimated as a product.
         home = self.table("customer").selectExpr("c_custkey as user_pseudo_id", "c_nationkey")
@@ -164,23 +166,33 @@ class Views:
         only, after the events have shrunk to sessions; plans that need neither
         say so, because Catalyst cannot drop a join whose side may repeat a key."""
         keys = ["brand", "user_pseudo_id", "session_id"]
-        order = "struct(event_timestamp_utc, event_id)"
+        # Fixed-width picks only, so that tasks hash the events and sort nothing:
+        # the order holds the id of the first event, and names follow from ``k``.
+        order = order_sql("event_timestamp_utc", "event_id")
         measures = {
             "session_date": "min(event_date)",
             "session_start_timestamp_utc": "min(event_timestamp_utc)",
             "session_duration_s": "timestampdiff(SECOND, min(event_timestamp_utc), max(event_timestamp_utc))",
             "engagement_time_msec": "sum(engagement_time_msec)",
             "purchases": "count_if(event_name = 'purchase')",
-            "f": f"min_by(struct(event_id, k, device_operating_system), {order})",
-            "source": f"min_by(source, {order}) filter (where source is not null)",
-            "medium": f"min_by(medium, {order}) filter (where medium is not null)",
+            "first_order": f"min({order})",
+            "k": f"min_by(k, {order})",
+            "source_k": f"min_by(k, {order}) filter (where source is not null)",
+            "medium_k": f"min_by(k, {order}) filter (where medium is not null)",
         }
         visits = self.events().groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in measures.items()])
-        looked_up = visits.selectExpr(*keys, *[m for m in measures if m != "f"], "f.*")
+        looked_up = visits.selectExpr(
+            *keys,
+            *[m for m in measures if m not in ("first_order", "source_k", "medium_k")],
+            "cast(first_order % 10000000000000000000 as bigint) as event_id",
+            f"{choose(SYSTEMS, 'k')} as device_operating_system",
+            f"{choose(SOURCES, 'source_k')} as source",
+            f"{choose(MEDIUMS, 'medium_k')} as medium",
+        )
         if pages:
             looked_up = self._with_pages(looked_up).withColumnRenamed("page_location", "landing_page_location")
         if geo:
-            looked_up = self._with_geo(looked_up)
+            looked_up = self.with_geo(looked_up)
         derived = {
             "host": "concat('www.b', user_pseudo_id % 3, '.example')",
             "lnd_source": "coalesce(source, 'none')",
