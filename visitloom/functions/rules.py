@@ -81,6 +81,13 @@ INTERACTION_EVENTS = (
     "main_navigation", "header_logo_click", "account_nav_click", "form_submit",
     "email_submit_attentive", "sms_submit_attentive", "sign_up",
 )
+# Session classes and the z-scores they start from.
+HUMAN_BUYER, HUMAN, SUSPICIOUS = "Human (Conversion Present)", "Human", "Suspicious"
+BOT_SPIKE = "High-Confidence Bot (FB Android spike, no interaction)"
+BOT_ANOMALY, BOT_LOW = "Bot (User/Geo/Device anomaly)", "Bot (Low engagement)"
+SPIKE_Z, SPIKE_SECONDS, ANOMALY_Z = 1.5, 30, 2
+LOW_ENGAGEMENT_Z, LOW_EVENTS_Z, UNKNOWN_LOW_Z = -0.8, -0.4, -2.0
+SUSPICIOUS_Z = (-1.0, -0.3)
 FORWARDED_EVENTS = ("home*", "mainNavClick")
 EVENT_NAME_RULES = ((r"^acdl\.home.*", "homepage_click"), (r"^acdl\.mainNavClick$", "main_navigation"))
 # --- end of fixed values -----------------------------------------------------
@@ -246,31 +253,32 @@ def bot_class(spike_traffic: str) -> Column:
     eng, evt = F.col("z_eng"), F.col("z_evt")
     return first_match(
         [
-            (F.col("has_conversion") == 1, "Human (Conversion Present)"),
+            (F.col("has_conversion") == 1, HUMAN_BUYER),
             (
                 spiking
-                & (F.col("daily_z_sessions") > 1.5)
+                & (F.col("daily_z_sessions") > SPIKE_Z)
                 & F.lower("operating_system").contains("android")
                 & (F.col("interaction_events") == 0)
-                & (F.col("engagement_seconds") < 30),
-                "High-Confidence Bot (FB Android spike, no interaction)",
+                & (F.col("engagement_seconds") < SPIKE_SECONDS),
+                BOT_SPIKE,
             ),
             (
                 spiking
                 & (
-                    (F.col("user_z_sessions") > 2)
-                    | (F.col("device_z_sessions") > 2)
-                    | (F.col("geo_z_sessions") > 2)
+                    (F.col("user_z_sessions") > ANOMALY_Z)
+                    | (F.col("device_z_sessions") > ANOMALY_Z)
+                    | (F.col("geo_z_sessions") > ANOMALY_Z)
                 ),
-                "Bot (User/Geo/Device anomaly)",
+                BOT_ANOMALY,
             ),
             (
-                (F.coalesce(eng, F.lit(-2.0)) < -0.8) & (F.coalesce(evt, F.lit(-2.0)) < -0.4),
-                "Bot (Low engagement)",
+                (F.coalesce(eng, F.lit(UNKNOWN_LOW_Z)) < LOW_ENGAGEMENT_Z)
+                & (F.coalesce(evt, F.lit(UNKNOWN_LOW_Z)) < LOW_EVENTS_Z),
+                BOT_LOW,
             ),
-            (F.coalesce(eng, F.lit(0.0)).between(-1.0, -0.3), "Suspicious"),
+            (F.coalesce(eng, F.lit(0.0)).between(*SUSPICIOUS_Z), SUSPICIOUS),
         ],
-        default="Human",
+        default=HUMAN,
     )
 
 

@@ -83,10 +83,16 @@ def sessions_any(events: DataFrame, condition: Column, keys: Sequence[str] = ("s
 
 
 def sessions_not_only(
-    events: DataFrame, url_regex: str, keys: Sequence[str] = ("user_pseudo_id", "session_id")
+    events: DataFrame,
+    url_regex: str,
+    keys: Sequence[str] = ("user_pseudo_id", "session_id"),
+    hosts: Sequence[str] = (),
 ) -> DataFrame:
-    """Sessions with at least one page outside the URL family."""
-    return sessions_any(events, ~F.col("page_location").rlike(url_regex), keys)
+    """Sessions with at least one page outside the URL family and the given hosts."""
+    outside = ~F.col("page_location").rlike(url_regex)
+    for host in hosts:
+        outside = outside & ~F.col("page_location").contains(host)
+    return sessions_any(events, outside, keys)
 
 
 def session_features(events: DataFrame, traffic_type: Column) -> DataFrame:

@@ -26,7 +26,7 @@ from visitloom.sources import reports, schema, tables
 from visitloom.sources.staging import new_path, stage
 from visitloom.sources.lookups import channel_map
 
-EVENT_PAGES_SQL = r"regexp_matches(page_location, '/newlandingpage/|/offer_temp5\.jsp') AND page_location LIKE '%N003%'"
+EVENT_PAGES_SQL = f"regexp_matches(page_location, '{rules.PRESALE_PAGES}') AND page_location LIKE '%N003%'"
 
 
 def _order_details(v: Views, *columns: str) -> DataFrame:
@@ -47,12 +47,12 @@ SELECT CAST(month(session_date) AS INTEGER) AS month,
        user_pseudo_id, session_id, source, medium, lnd_campaign, landing_page_location, landing_page_referrer,
        tid AS transaction_id, revenue,
        CASE WHEN source IS NULL AND medium IS NULL
-             AND NOT regexp_matches(coalesce(url, ''), 'splash_template.jsp|gclid=|fbclid=') THEN 'Direct'
+             AND NOT regexp_matches(coalesce(url, ''), '{rules.URL_PAID_MARKS}') THEN 'Direct'
             WHEN med = 'organic' THEN 'Organic'
-            WHEN (regexp_matches(src, 'google|bing|sa360|search|sem') AND regexp_matches(med, 'cpc|web_search|sa360|sem'))
+            WHEN (regexp_matches(src, '{rules.URL_SEARCH_SOURCE}') AND regexp_matches(med, '{rules.URL_SEARCH_MEDIUM}'))
               OR url LIKE '%gclid%' THEN 'Paid Search'
-            WHEN (regexp_matches(src || med, 'facebook|instagram|paidsocial|paid-social|fb') OR url LIKE '%fbclid%')
-             AND NOT regexp_matches(coalesce(med, ''), 'referral|organic') THEN 'Paid Social'
+            WHEN (regexp_matches(src || med, '{rules.URL_SOCIAL}') OR url LIKE '%fbclid%')
+             AND NOT regexp_matches(coalesce(med, ''), '{rules.URL_UNPAID}') THEN 'Paid Social'
             ELSE 'Other' END AS channel,
        CASE o.customer_status WHEN 'Existing Customer' THEN 'Existing' WHEN 'New Recruit' THEN 'New'
             WHEN 'Re-Recruit' THEN 'New' END AS customer_status,
@@ -341,18 +341,18 @@ def deduped_transactions(v: Views) -> DataFrame:
     return orders.dedupe_transactions(repeated, order=["transaction_date"])
 
 
-CAMPAIGN_SQL = """
+CAMPAIGN_SQL = f"""
 CASE channel_category
   WHEN 'Paid Search' THEN CASE
-    WHEN regexp_matches(ads, '_br|brand|-b-|- b -') THEN 'Branded Search'
-    WHEN regexp_matches(ads, '_nb|generic|-g-|- g -') THEN 'Generic Search'
-    WHEN regexp_matches(ads, 'pmax|performance max') THEN 'Performance Max'
-    WHEN ads LIKE '%shopping%' THEN 'Shopping'
-    WHEN regexp_matches(ads, '-yt-|- yt -|demand gen') THEN 'Demand Gen' ELSE 'Other' END
+    WHEN regexp_matches(ads, '{rules.CAMPAIGN_BRANDED}') THEN 'Branded Search'
+    WHEN regexp_matches(ads, '{rules.CAMPAIGN_GENERIC}') THEN 'Generic Search'
+    WHEN regexp_matches(ads, '{rules.CAMPAIGN_PMAX}') THEN 'Performance Max'
+    WHEN ads LIKE '{rules.CAMPAIGN_SHOPPING}' THEN 'Shopping'
+    WHEN regexp_matches(ads, '{rules.CAMPAIGN_DEMAND}') THEN 'Demand Gen' ELSE 'Other' END
   WHEN 'Paid Social' THEN CASE
-    WHEN regexp_matches(lnd_campaign, 'retargeting|reengagement') THEN 'Retargeting'
-    WHEN lnd_campaign LIKE '%\\_std%' ESCAPE '\\' AND NOT regexp_matches(lnd_campaign, 'event|sweepstakes') THEN 'Standard'
-    WHEN NOT regexp_matches(lnd_campaign, 'event|sweepstakes') AND lnd_campaign <> 'none' THEN 'Club' ELSE 'Other' END
+    WHEN regexp_matches(lnd_campaign, '{rules.CAMPAIGN_RETARGET}') THEN 'Retargeting'
+    WHEN regexp_matches(lnd_campaign, '{rules.CAMPAIGN_STANDARD}') AND NOT regexp_matches(lnd_campaign, '{rules.CAMPAIGN_NOT_CLUB}') THEN 'Standard'
+    WHEN NOT regexp_matches(lnd_campaign, '{rules.CAMPAIGN_NOT_CLUB}') AND lnd_campaign <> 'none' THEN 'Club' ELSE 'Other' END
   ELSE 'General' END"""
 
 
@@ -361,10 +361,9 @@ CASE channel_category
     rf"""
 WITH c AS (
   SELECT session_id, session_date, lnd_source_medium, lnd_campaign, lower(ads_campaign_name) AS ads,
-    CASE WHEN url_gclid IS NOT NULL OR url_wbraid IS NOT NULL OR (regexp_matches(lnd_source_medium, '\b(google|bing|yahoo)\b')
-              AND regexp_matches(lnd_source_medium, '\b(cpc|search.?engine|search|sem)\b')) THEN 'Paid Search'
-         WHEN (url_fbclid IS NOT NULL OR regexp_matches(lnd_source_medium,
-              '\b(fb|facebook|ig|instagram|paidsocial|meta|paid[-_]?social)\b'))
+    CASE WHEN url_gclid IS NOT NULL OR url_wbraid IS NOT NULL OR (regexp_matches(lnd_source_medium, '{rules.WORD_ENGINE}')
+              AND regexp_matches(lnd_source_medium, '{rules.WORD_SEARCH}')) THEN 'Paid Search'
+         WHEN (url_fbclid IS NOT NULL OR regexp_matches(lnd_source_medium, '{rules.WORD_SOCIAL}'))
               AND NOT regexp_matches(lnd_source_medium, 'referral|organic') THEN 'Paid Social'
          WHEN lnd_source = 'none' AND lnd_medium = 'none' AND url_campaign_id IS NULL THEN 'Direct'
          ELSE 'Other' END AS channel_category,

@@ -24,6 +24,7 @@ MONTH_COLUMNS = ["fiscal_year", "fiscal_month_name", "fiscal_month_number", "fis
 TEST_NATIONS = ("NATION_1", "NATION_6", "NATION_11", "NATION_16")
 CONTROL_NATIONS = ("NATION_2", "NATION_7", "NATION_12", "NATION_17")
 HOME_PATHS = ("/", "/jsp/homepage.jsp")
+CLOSED_HOST = "ththre.example"
 CURRENT = ("2024-01-16", "2024-01-30")
 PERIOD_SQL = """CASE WHEN {c} BETWEEN DATE '2024-01-16' AND DATE '2024-01-30' THEN 'Current Year'
             WHEN {c} BETWEEN DATE '2023-01-16' AND DATE '2023-01-30' THEN 'Previous Year' END"""
@@ -38,17 +39,16 @@ GROUP_SQL = f"""CASE max({IDENTIFIED}) * 2 + max(CASE lower(login_status) WHEN '
        WHEN 1 THEN 'Unidentified ONLY' ELSE 'Unknown' END"""
 NATION_GROUP_SQL = """CASE WHEN {c} IN ('NATION_1','NATION_6','NATION_11','NATION_16') THEN 'Test'
        WHEN {c} IN ('NATION_2','NATION_7','NATION_12','NATION_17') THEN 'Control' ELSE 'All Other' END"""
-LANDING_SQL = r"""regexp_matches({c}, '/jsp/offer/cm/us/common/cm_template_responsive.jsp.*date=202\d.*(january|february|march|april|may|june|july|august|september|october|november|december).*|/next/(.*-|)sale')"""
-CHANNEL_SQL = r"""CASE WHEN (source IS NULL AND medium IS NULL) OR medium = 'organic' THEN 'Direct and Organic'
-       WHEN source IN ('bronto', 'adobe', 'curity') THEN 'CM - Email'
-       WHEN regexp_matches(source, 'google|bing|yahoo|\(not set\)|\(unlinked sa360 account\)|search traffic|sem', 'i')
-        AND regexp_matches(medium, 'cpc|web_search|\(unlinked sa360 account\)|sem', 'i') THEN 'RM - Paid Search'
-       WHEN (regexp_matches(source, 'facebook|instagram|paidsocial', 'i')
-             OR regexp_matches(medium, 'facebook|instagram|paidsocial', 'i'))
-        AND NOT (regexp_matches(source, 'referral|organic', 'i') OR regexp_matches(medium, 'referral|organic', 'i'))
+LANDING_SQL = f"""regexp_matches({{c}}, '{rules.LANDING_PAGE}')"""
+CHANNEL_SQL = f"""CASE WHEN (source IS NULL AND medium IS NULL) OR medium = 'organic' THEN 'Direct and Organic'
+       WHEN source IN {rules.EMAIL_SOURCES} THEN 'CM - Email'
+       WHEN regexp_matches(source, '{rules.SEARCH_SOURCE}') AND regexp_matches(medium, '{rules.SEARCH_MEDIUM}')
+        THEN 'RM - Paid Search'
+       WHEN (regexp_matches(source, '{rules.SOCIAL}') OR regexp_matches(medium, '{rules.SOCIAL}'))
+        AND NOT (regexp_matches(source, '{rules.UNPAID}') OR regexp_matches(medium, '{rules.UNPAID}'))
         THEN 'RM - Paid Social'
-       WHEN source LIKE '%attentive%' THEN 'CM - Attentive SMS'
-       WHEN regexp_matches(source, '^cm_dm|advent|^QR') THEN 'CM - Direct Mail' ELSE 'Other' END"""
+       WHEN source LIKE '{rules.SMS_SOURCE}' THEN 'CM - Attentive SMS'
+       WHEN regexp_matches(source, '{rules.MAIL_SOURCE}') THEN 'CM - Direct Mail' ELSE 'Other' END"""
 
 
 def landing_sessions(v: Views, **more) -> DataFrame:
@@ -214,8 +214,8 @@ def landing_vs_total_traffic(v: Views) -> DataFrame:
     f"""
 WITH s AS (SELECT DISTINCT user_pseudo_id, session_id FROM p_events
            WHERE event_name = 'page_view' AND country <> 'ASIA'
-             AND regexp_matches(page_location, '/cm_template_responsive|/next/sale')
-             AND NOT regexp_matches(page_location, 'date=gifting', 'i'))
+             AND regexp_matches(page_location, '{rules.LANDING_PAGE_OLD}')
+             AND NOT regexp_matches(page_location, '{rules.LANDING_PAGE_OLD_EXCEPT}'))
 SELECT {DISTINCTS.replace("user_pseudo_id", "s.user_pseudo_id").replace("session_id", "s.session_id")},
        round(sum(revenue), 2) AS revenue
 FROM s LEFT JOIN p_transactions t ON t.session_id = s.session_id""",
@@ -319,9 +319,9 @@ def club_order_revenue(v: Views) -> DataFrame:
 
 @query(
     "checkout_session_revenue",
-    """
+    f"""
 WITH s AS (SELECT session_id FROM p_events WHERE event_name = 'page_view' GROUP BY 1
-           HAVING max(regexp_matches(page_location, '/checkout/.*(lp-redirect|confirmation\\.jsp)')))
+           HAVING max(regexp_matches(page_location, '{rules.CLOSED_CHECKOUT}')))
 SELECT brand, order_type, count(DISTINCT transaction_id) AS orders, round(sum(purchase_revenue), 2) AS revenue
 FROM s JOIN p_report USING (session_id) GROUP BY 1, 2""",
 )
@@ -335,12 +335,11 @@ def checkout_session_revenue(v: Views) -> DataFrame:
 
 @query(
     "main_site_sessions",
-    r"""
+    f"""
 WITH s AS (SELECT CAST(year(event_date) AS INTEGER) AS year, CAST(month(event_date) AS INTEGER) AS month,
                   user_pseudo_id, session_id FROM p_events WHERE country <> 'ASIA' GROUP BY 1, 2, 3, 4
-           HAVING count(CASE WHEN NOT regexp_matches(page_location,
-              '/offer_temp[456]\.jsp|lp-redirect=|/confirmation(_lp)?\.jsp|/template.jsp|splash_template.jsp|/jsp/ExpiryPage.jsp')
-              THEN 1 END) > 0)
+           HAVING count(CASE WHEN NOT regexp_matches(page_location, '{rules.CLOSED_PAGES}')
+                              AND NOT contains(page_location, '{CLOSED_HOST}') THEN 1 END) > 0)
 SELECT year, month, count(DISTINCT user_pseudo_id) AS users, count(DISTINCT session_id) AS sessions
 FROM s GROUP BY 1, 2""",
 )
@@ -348,7 +347,7 @@ def main_site_sessions(v: Views) -> DataFrame:
     events = v.events(pages=True, geo=True).where("country <> 'ASIA'")
     dated = events.withColumns({"year": F.year("event_date"), "month": F.month("event_date")})
     kept = sessions.sessions_not_only(
-        dated, rules.CLOSED_PAGES, ["year", "month", "user_pseudo_id", "session_id"]
+        dated, rules.CLOSED_PAGES, ["year", "month", "user_pseudo_id", "session_id"], hosts=[CLOSED_HOST]
     )
     return kept.groupBy("year", "month").agg(
         F.count_distinct("user_pseudo_id").alias("users"), F.count_distinct("session_id").alias("sessions")
@@ -357,9 +356,9 @@ def main_site_sessions(v: Views) -> DataFrame:
 
 @query(
     "organic_landing_revenue",
-    """
+    f"""
 SELECT brand, round(sum(purchase_revenue), 2) AS revenue FROM p_report
-WHERE landing_page_type IN ('advent', 'blog', 'gifts', 'wine club', 'product detail')
+WHERE landing_page_type IN {rules.ORGANIC_PAGE_TYPES}
   AND (lnd_medium = 'organic' OR (lnd_source_medium = 'none / none'
        AND (landing_page_location NOT LIKE '%promoCode=%' OR landing_page_location NOT LIKE '%cid=%')))
 GROUP BY 1""",
@@ -370,9 +369,9 @@ def organic_landing_revenue(v: Views) -> DataFrame:
 
 @query(
     "organic_landing_revenue_strict",
-    """
+    f"""
 SELECT brand, round(sum(purchase_revenue), 2) AS revenue FROM p_report
-WHERE landing_page_type IN ('advent', 'blog', 'gifts', 'wine club', 'product detail')
+WHERE landing_page_type IN {rules.ORGANIC_PAGE_TYPES}
   AND (lnd_medium = 'organic' OR (lnd_source_medium = 'none / none'
        AND NOT contains(landing_page_location, 'promoCode=') AND NOT contains(landing_page_location, 'cid=')))
 GROUP BY 1""",
@@ -383,11 +382,11 @@ def organic_landing_revenue_strict(v: Views) -> DataFrame:
 
 @query(
     "organic_page_revenue",
-    """
+    f"""
 SELECT round(sum(revenue), 2) AS revenue
 FROM p_sessions s LEFT JOIN p_transactions t ON t.session_id = s.session_id
 WHERE (s.medium = 'organic' OR (s.source IS NULL AND s.medium IS NULL))
-  AND regexp_matches(landing_page_location, '/(product|wines|wine|search|wine-blog|advent|gifts)(/.*|\\?.*|/$|$)')
+  AND regexp_matches(landing_page_location, '{rules.ORGANIC_PAGES}')
   AND landing_page_location NOT LIKE '%promoCode%' AND s.country <> 'ASIA'""",
 )
 def organic_page_revenue(v: Views) -> DataFrame:
@@ -456,9 +455,9 @@ def promo_campaign_kpi(v: Views) -> DataFrame:
 
 @query(
     "presale_page_sessions",
-    r"""
+    f"""
 SELECT event_date, page_location, count(DISTINCT session_id) AS sessions FROM p_events
-WHERE regexp_matches(page_location, '/newlandingpage/|/offer_temp5\.jsp') AND page_location LIKE '%N003%'
+WHERE regexp_matches(page_location, '{rules.PRESALE_PAGES}') AND page_location LIKE '%N003%'
 GROUP BY 1, 2""",
 )
 def presale_page_sessions(v: Views) -> DataFrame:
