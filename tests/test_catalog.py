@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 import tools_check
 
 SF = "/root/testdata/sf0.001"
+# Narrow queries that the smallest tables leave without rows.
+MAY_BE_EMPTY: set[str] = set()
 PLANS, ORACLES = entry.queries(), entry.oracle_sql()
 
 
@@ -19,8 +21,7 @@ def con():
 @pytest.mark.parametrize("name", list(PLANS))
 def test_query_equals_its_sql(spark, con, name):
     message = tools_check.check(spark, con, SF, name, PLANS[name], ORACLES.get(name))
-    # The smallest tables may leave a narrow query without rows.
-    assert message in ("", "EMPTY"), message
+    assert message == "" or (message == "EMPTY" and name in MAY_BE_EMPTY), message
 
 
 def test_every_query_has_sql():
