@@ -115,3 +115,9 @@ def test_held_out_is_the_checksum(spark):
     rows = spark.range(200).select("id", quality.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
     assert not spark.range(1).select(F.lit(None).cast("long").alias("x")).select(quality.held_out("x").alias("h")).first().h
+
+
+def test_equal_inputs_give_equal_models(spark, fitted):
+    docs, labels, model = fitted
+    again = quality.fit(docs.repartition(5), labels.repartition(3).where(~quality.held_out()))
+    assert again == model

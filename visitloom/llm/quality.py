@@ -143,7 +143,9 @@ def fit(
     part = known.where(F.pmod(F.xxhash64("k", F.lit(SEED)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
     # Of bounded size by the sampling above.
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(part), "k")
-    rows = stage(add_statistics(texts, "t").select("y", *STATISTICS).repartition(8))
+    # One sorted part, of bounded size: sums then run in one order, and equal inputs give equal models.
+    sample = add_statistics(texts, "t").select("k", "y", *STATISTICS)
+    rows = stage(sample.repartition(1).sortWithinPartitions("k", "y", *STATISTICS)).drop("k")
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
     if len(counts) < 2:
