@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 
 import __spark_entry__ as entry
 import tools_check
+from visitloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 # Narrow queries that the smallest tables leave without rows.
 MAY_BE_EMPTY: set[str] = set()
-PLANS, ORACLES = entry.queries(), entry.oracle_sql()
+PLANS, ORACLES = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,10 @@ def test_every_query_has_sql():
     assert set(ORACLES) == set(PLANS)
 
 
+def test_entry_lists_all_of_them():
+    assert set(PLANS) <= set(entry.queries()) and ORACLES.items() <= entry.oracle_sql().items()
+
+
 def test_entry(spark):
     result = entry.entry(spark)
     assert isinstance(result, DataFrame)

@@ -6,10 +6,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from visitloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-PLANS = entry.queries()
+PLANS = catalog.queries()
 
 
 def final_plan(spark, name):
