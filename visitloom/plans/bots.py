@@ -144,7 +144,9 @@ WITH p AS ({PROFILE_SQL}),
 j AS (SELECT p.*, engagement_time_msec AS ms, s.city, lower(device_operating_system) AS os,
         CASE WHEN coalesce(landing_page_referrer, '') = '' THEN 'referrer_null' ELSE 'referrer_present' END AS referrer_group,
         pageviews = 1 AND NOT did_purchase AS b
-      FROM p JOIN p_sessions s USING (session_date, session_id) WHERE landing_page_location LIKE '%e%')
+      FROM p JOIN p_sessions s USING (session_date, session_id)
+      WHERE brand IN ('B0', 'B1') AND lnd_source = 'facebook' AND lnd_medium = 'paidsocial'
+        AND landing_page_location LIKE '%/jsp/offer/cm/%')
 SELECT session_date, fiscal_week_end_date, referrer_group, count(*) AS total_sessions,
        count(*) FILTER (b) AS sessions_same_lp_1pv_non_purchase,
        count(*) FILTER (b AND {BOT_SQL}) AS suspected_bot_sessions,
@@ -159,7 +161,13 @@ FROM j LEFT JOIN fiscal ON date = session_date GROUP BY 1, 2, 3""",
 )
 def daily_bot_signals(v: Views) -> DataFrame:
     c = F.col
-    landed = v.sessions().where(c("landing_page_location").like("%e%")).select(
+    campaign = (
+        c("brand").isin("B0", "B1")
+        & (c("lnd_source") == "facebook")
+        & (c("lnd_medium") == "paidsocial")
+        & c("landing_page_location").like("%/jsp/offer/cm/%")
+    )
+    landed = v.sessions().where(campaign).select(
         "session_date",
         "session_id",
         F.when(is_blank(c("landing_page_referrer")), "referrer_null")
