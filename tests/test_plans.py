@@ -60,8 +60,8 @@ def test_no_sort_of_raw_events(spark, name):
                 assert "Sort" not in lines[j], (name, lines[j])
 
 
-def test_bot_scoring_shuffles_the_features_at_most_twice(spark):
-    """Of the six contexts only those of the user and the place may be too large to broadcast."""
+def test_bot_scoring_joins_small_contexts_without_a_shuffle(spark):
+    """Contexts of this size are broadcast by their measured size, without a hint."""
     tree, _ = final_plan(spark, "session_z_scores")
-    assert tree.count("SortMergeJoin") <= 2
+    assert tree.count("SortMergeJoin") == 0
     assert len(re.findall(r"(?<!Broadcast)Exchange \(", tree)) <= 6
