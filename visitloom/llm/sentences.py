@@ -45,16 +45,25 @@ class Sentences(Words):
         self.of_text = np.searchsorted(self.sentence, self.first)
 
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """From each sentence the shortest run that is long enough: text, first and last + 1 sentence, two hashes.
+        """From each sentence, and up to each, the shortest run that is long enough: text, first and last + 1
+        sentence, two hashes.
 
-        Sentences are counted within their text.
+        They cover any longer run: a sentence from which the shortest run leaves
+        it lies in the shortest run up to its end. Sentences are counted within
+        their text; runs are sorted by first and last.
         """
         count = len(self.sentence) - 1
         begin = np.arange(count)
         end = np.maximum(begin + SENTENCES, np.searchsorted(self.sentence, self.sentence[:-1] + WORDS))
         text = np.searchsorted(self.of_text, begin, side="right") - 1
         inside = end <= self.of_text[text + 1]
-        begin, end, text = begin[inside], end[inside], text[inside]
+        until = begin + 1
+        back = np.minimum(until - SENTENCES, np.searchsorted(self.sentence, self.sentence[1:] - WORDS, side="right") - 1)
+        new = back >= self.of_text[text]
+        new[new] = end[back[new]] != until[new]
+        begin, end = np.concatenate((begin[inside], back[new])), np.concatenate((end[inside], until[new]))
+        order = np.lexsort((end, begin))
+        begin, end, text = begin[order], end[order], np.concatenate((text[inside], text[new]))[order]
         a, b = self.sentence[begin], self.sentence[end]
         hashes = []
         for base in (STEP, BASE):
@@ -70,14 +79,14 @@ def _runs(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
     """Every run of sentences; ``again`` where the same text has it before."""
     carried = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
     schema = carried.select("row", "key").schema
-    for name, kind in (("h1", "long"), ("h2", "integer"), ("first", "integer"), ("again", "boolean")):
+    for name, kind in (("h1", "long"), ("h2", "integer"), ("first", "integer"), ("last", "integer"), ("again", "boolean")):
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop in blocks(batch.column(2)):
                 part = batch.slice(start, stop - start)
-                owner, first, _, h1, h2 = Sentences(part.column(2)).runs()
+                owner, first, last, h1, h2 = Sentences(part.column(2)).runs()
                 order = np.lexsort((first, h2, h1, owner))
                 again = np.zeros(len(owner), dtype=bool)
                 same = np.ones(max(len(owner) - 1, 0), dtype=bool)
@@ -86,22 +95,21 @@ def _runs(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
                 again[order[1:]] = same
                 arrays = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))]
                 arrays += [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                arrays += [pa.array(first.astype(np.int32)), pa.array(again)]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "h1", "h2", "first", "again"])
+                arrays += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "h1", "h2", "first", "last", "again"])
 
     return carried.mapInArrow(run, schema)
 
 
-def cut(text: str, firsts: list[int]) -> tuple[str, int, list[dict]]:
-    """The text without the runs that begin at the given sentences, how many sentences those are, and
+def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, list[dict]]:
+    """The text without the given runs (first and last + 1 sentence), how many sentences those are, and
     where they stood in the old text."""
     data = text.encode()
     units = Sentences(pa.array([text]))
     count = len(units.sentence) - 1
     gone = np.zeros(count + 1, dtype=bool)
-    _, begin, end, *_ = units.runs()
-    for i in np.searchsorted(begin, firsts).tolist():
-        gone[begin[i] : end[i]] = True
+    for first, last in spans:
+        gone[first:last] = True
     starts = np.append(units.start[units.sentence[:-1]], len(data))
     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
     kept, removed, at = [], [], 0
@@ -145,11 +153,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         .where(F.col("n") > 1)
         .select("h1", "h2", "keeper", "keeper_key")
     )
-    others = once.select("row", "h1", "h2", "first").join(repeated, ["h1", "h2"])
-    others = others.where(F.col("row") != F.col("keeper")).select("row", "first", "keeper_key")
-    own = runs.where("again").select("row", "first", F.col("key").alias("keeper_key"))
+    others = once.select("row", "h1", "h2", "first", "last").join(repeated, ["h1", "h2"])
+    others = others.where(F.col("row") != F.col("keeper")).select("row", "first", "last", "keeper_key")
+    own = runs.where("again").select("row", "first", "last", F.col("key").alias("keeper_key"))
     covered = others.unionByName(own).groupBy(F.col("row").alias(row)).agg(
-        F.collect_set("first").alias(spans),
+        F.collect_set(F.struct("first", "last")).alias(spans),
         F.array_sort(F.collect_set("keeper_key")).alias("copies_of"),
     )
     joined = numbered.join(covered, row, "left")
@@ -158,7 +166,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def make(values: pa.Array) -> list[list]:
         texts, lists = values.field("text").to_pylist(), values.field("spans").to_pylist()
-        made = [cut(t, s) if s else (t, 0, []) for t, s in zip(texts, lists)]
+        made = [cut(t, [(x["first"], x["last"]) for x in s]) if s else (t, 0, []) for t, s in zip(texts, lists)]
         return [list(x) for x in zip(*made)] if made else [[], [], []]
 
     types = {text: "string", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>"}
