@@ -15,7 +15,7 @@ from visitloom.sources.staging import stage
 
 #: A run has at least so many sentences and so many words.
 SENTENCES, WORDS = 3, 20
-#: In a sentence of more words, a word also ends a part if its hash is divisible by PART.
+#: In a sentence of more words, the least word hash of each PART words in a row also ends a part.
 LONG, PART = 16, 8
 
 
@@ -24,7 +24,9 @@ class Sentences(Words):
 
     A sentence ends at a word that ends in ``.``, ``!`` or ``?``, at a line end
     and at the end of the text. Long ones are cut where the words themselves
-    say so, hence alike in every text that holds them.
+    say so, hence alike in every text that holds them: at the least word hash of
+    each window of PART words, the last of equal ones. No part has more than
+    PART words, and a word said over and over is a part each time.
     """
 
     def __init__(self, values: pa.Array):
@@ -38,7 +40,12 @@ class Sentences(Words):
         number = np.concatenate(([0], np.cumsum(ends)))[:-1]
         size = np.bincount(number, minlength=1)
         if n:
-            ends |= (size[number] > LONG) & (self.hash % np.uint64(PART) == 0)
+            least = np.arange(max(n - PART + 1, 0))
+            for i in range(1, PART):
+                after = np.arange(i, len(least) + i)
+                least = np.where(self.hash[after] <= self.hash[least], after, least)
+            whole = number[: len(least)] == number[PART - 1 :]
+            ends[least[whole & (size[number[: len(least)]] > LONG)]] = True
         self.sentence = np.concatenate(([0], np.flatnonzero(ends) + 1))
         if n == 0:
             self.sentence = np.zeros(1, dtype=np.int64)
