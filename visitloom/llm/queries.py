@@ -73,12 +73,11 @@ def _url_filter_sql() -> str:
 
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
-    )
-    shuffled = sharding.external_shuffle(docs, shards=8, bytes_of=F.col("size"))
+    size = (F.octet_length(text) + 1).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shuffled = sharding.external_shuffle(docs, shards=8, bytes_of=size)
     return shuffled.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        "doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
