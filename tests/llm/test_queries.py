@@ -13,6 +13,7 @@ TABLES = {
     "benchmark": "item_id long, text string",
     "pages": "page_id long, url string, html string",
     "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn int, role string, text string",
 }
 ROWS = {
     "documents": [
@@ -25,6 +26,8 @@ ROWS = {
     "benchmark": [(1, PROSE), (2, None), (None, "short one"), (3, ""), (1, PROSE)],
     "pages": [(1, "http://a.net/", "<p>"), (1, "http://a.net/", "<p>"), (None, None, None), (3, "", ""), (4, "://", None)],
     "embeddings": [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], None), (None, [1.0, 0.01], 1), (5, [], 1)],
+    "conversations": [(100, 1, "user", PROSE), (100, 1, "user", PROSE), (100, None, None, None), (200, 0, "", "x" * 30_000),
+                      (None, 1, "a", "b")],
 }
 READS = {"op2": "pages", "op10": "embeddings"}
 CLASHING = {"rank": "int", "row": "string", "key": "string", "k": "int", "fingerprint": "string", "spans": "string",
@@ -43,13 +46,22 @@ def tables(request, spark, tmp_path_factory):
     return request.param, str(folder)
 
 
-@pytest.mark.parametrize("name", [n for n in queries.queries() if n != "pipeline"])
+@pytest.mark.parametrize("name", [n for n in queries.queries() if n not in ("pipeline", "op13_conversation_trie")])
 def test_a_row_for_each_row(spark, tables, name):
     kind, folder = tables
     got = queries.queries()[name](spark, folder)
     assert got.columns and got.count() == (0 if kind == "empty" else len(ROWS[READS.get(name.split("_")[0], "documents")]))
 
 
+def test_the_trie_has_a_node_per_sequence(spark, tables):
+    kind, folder = tables
+    got = queries.queries()["op13_conversation_trie"](spark, folder).collect()
+    # the root, three turns of one conversation, one of the other
+    assert sorted((r.conv_id, r.depth, r.n_convs) for r in got) == (
+        [] if kind == "empty" else [(100, 0, 2), (100, 1, 1), (100, 2, 1), (100, 3, 1), (200, 1, 1)]
+    )
+
+
 def test_the_pipeline_runs_on_them(spark, tables):
     kind, folder = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")

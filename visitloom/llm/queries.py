@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from visitloom.llm import bpe, decontaminate, hnsw, pii, quality, secrets, sentences, sharding, simhash, url_rules
-from visitloom.llm.common import table
+from visitloom.llm import (
+    bpe, decontaminate, hnsw, mixing, periods, pii, quality, secrets, sentences, sharding, simhash, tries, url_rules,
+)
+from visitloom.llm.common import add_columns, table
+from visitloom.sources.staging import stage
 
 VOCABULARY = corpus_pipeline.VOCABULARY
 
@@ -137,6 +142,70 @@ def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("vec_id", "n_links", "component_id", "kept")
 
 
+def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size")))
+    taken = F.col("copies") * F.col("size")
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts of about a tenth made periodic from some word on, as the query's contract says."""
+
+    def planted(doc_id: int | None, text: str | None) -> str | None:
+        h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+        words = text.encode().split() if text and h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        period = 1 + (n - a) // (3 + g % 8)
+        cycle = words[a : a + period]
+        return b" ".join((words[:a] + cycle * -(-(n - a) // period))[:n]).decode()
+
+    def make(values: pa.Array) -> list[list]:
+        return [[planted(*pair) for pair in zip(values.field("doc_id").to_pylist(), values.field("text").to_pylist())]]
+
+    return add_columns(docs.select("doc_id", F.struct("doc_id", "text").alias("both")), "both", {"text": "string"}, make)
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text")
+    found = periods.collapse_runs(docs)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = "strongest"
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"{best}.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr(f"{best}.length * 1000 div {best}.period").alias("exponent_milli"),
+        sha256(F.concat_ws("", F.transform("runs", line))).alias("runs_sha256"),
+        sha256(F.col("text")).alias("collapsed_sha256"),
+    )
+
+
+def rebuilt_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Thin turns of the rebuilt conversations, and the ids of all: of each up to five turns are taken from the
+    conversation whose id is the last multiple of 100."""
+    placed = stage(tries.numbered(turns))
+    kept = F.crc32(F.col("conv").cast("string")) % 6
+    members = placed.select("conv").distinct()
+    said = ["k1", "k2", "chars"]
+    heads = placed.where("pos < 5 and conv % 100 = 0").select(F.col("conv").alias("base"), "pos", *said)
+    ids = members.select("conv", (F.col("conv") - F.col("conv") % 100).alias("base"))
+    first = ids.join(heads, "base").where(F.col("pos") < kept).select("conv", (F.col("pos") - 5).alias("turn"), *said)
+    own = placed.where(F.col("pos") >= kept).select("conv", F.col("pos").alias("turn"), *said)
+    return first.unionByName(own), members
+
+
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = rebuilt_turns(stage(tries.thin_turns(table(spark, sf_dir, "conversations"))))
+    made = tries.trie(turns, members)
+    none = F.lit(hashlib.sha256().hexdigest())
+    joined = made.nodes.join(tries.listed_digest(made.ends), ["conv_id", "depth"], "left")
+    return joined.select(*made.nodes.columns, F.coalesce("ends_sha256", none).alias("ends_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": benchmark_overlap,
     "op2_url_filter": url_filter,
@@ -148,6 +217,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": near_duplicates,
     "op9_rule_ensemble": text_quality,
     "op10_hnsw_near_dedup": near_vectors,
+    "op11_pivotal_mix": mixed_sources,
+    "op12_periodic_runs": periodic_runs,
+    "op13_conversation_trie": conversation_trie,
     "pipeline": corpus_pipeline.run,
 }
 
