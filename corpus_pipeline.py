@@ -7,7 +7,7 @@ import hashlib
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from visitloom.llm import bpe, decontaminate, quality, secrets, similar
+from visitloom.llm import bpe, decontaminate, quality, secrets, simhash
 from visitloom.llm.common import table
 from visitloom.sources.staging import stage
 
@@ -19,9 +19,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts with 0.8 or more of their 5-word shingles in common the smallest id stays."""
-    return similar.keep_first(docs)
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents whose 4-word SimHashes link at 4 or fewer differing bits the smallest id stays."""
+    return simhash.keep_first(docs, width=4, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,13 +48,13 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", quality_classifier),
-    ("near_duplicates", near_duplicates),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("decontamination", decontamination),
     ("secret_scan", secret_scan),
     ("byte_bpe", byte_bpe),
 ]
 
-#: The rule ensemble, near-duplicate components and BPE have no SQL form; tests compare with brute force.
+#: The rule ensemble, SimHash components and BPE have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
