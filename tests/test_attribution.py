@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from conftest import day, rows, ts
 from pyspark.sql import functions as F
 
@@ -20,6 +21,36 @@ def test_first_non_null_per_field(make):
     assert rows(a.first_non_null(df, ["s"], ["source", "medium"], ["t"])) == [(1, "s2", "m1"), (2, None, None)]
 
 
+TIMES = [None, "1969-12-31T23:59:59", "2024-01-01T00:00:00", "2024-01-01T00:00:00.000001", "9999-12-31T00:00:00"]
+NUMBERS = [None, -(2**63), -5, 0, 3, 2**63 - 1]
+
+
+@pytest.mark.parametrize("zone", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("number", ["bigint", "string"])
+def test_first_non_null_has_one_order_for_all_types(make, zone, number):
+    """Missing times and numbers come first, whichever way the order is compared."""
+    rng = random.Random(5)
+    picked = lambda: (rng.randrange(40), rng.choice(TIMES), rng.choice([*NUMBERS, 7, 8, 9]))
+    data = [(*picked(), rng.choice([None, f"v{i}"]), rng.choice([None, "a", f"b{i}"])) for i in range(400)]
+    data.append((99, None, None, "only here", None))
+    if number == "string":
+        data = [(s, t, None if n is None else n % 10, v, w) for s, t, n, v, w in data]
+    df = make("s int, t string, n bigint, v string, w string", *data)
+    df = df.selectExpr("s", f"cast(t as {zone}) as t", f"cast(n as {number}) as n", "v", "w")
+    order = lambda r: (r[1] is not None, r[1] or "", r[2] is not None, r[2] or 0)
+    firsts = {}
+    for i in (3, 4):
+        for r in sorted((r for r in data if r[i] is not None), key=order):
+            firsts.setdefault((r[0], i), (order(r), set()))
+            if firsts[r[0], i][0] == order(r):
+                firsts[r[0], i][1].add(r[i])
+    got = a.first_non_null(df, ["s"], ["v", "w"], ["t", "n"]).collect()
+    assert {r.s for r in got} == {r[0] for r in data}
+    for r in got:
+        for i, value in ((3, r.v), (4, r.w)):
+            assert value in firsts.get((r.s, i), (None, {None}))[1]
+
+
 def test_first_touch_prefers_the_number_only_when_time_agrees(make):
     schema = "user_pseudo_id int, session_id int, ga_session_number int, session_start_timestamp_utc timestamp_ntz"
     df = make(

@@ -85,3 +85,19 @@ def test_cancellations(make):
     assert rows(got, "subscription_id", "cancel_reason") == [
         ("8", "ABANDONED"), ("9", "ABANDONED"), ("9", "PRICE"), (None, "ABANDONED"), (None, "ABANDONED"),
     ]
+
+
+def test_reconcile_splits_hot_ids(spark, make):
+    """One id on half of each side, one hot on one side only, NULLs and failing rows: as one full join."""
+    web = [(i % 2 and 7 or i, i, i % 5) for i in range(200)] + [(500, i, 1) for i in range(60)] + [(None, 1, 1), (None, 2, None)]
+    office = [(i % 2 and 7 or i + 100, f"o{i}") for i in range(200)] + [(501, f"p{i}") for i in range(60)] + [(None, "q")]
+    w = make("t int, n int, c int", *web)
+    o = make("o bigint, v string", *office)
+    for condition in (None, F.col("c") > 0):
+        got = [orders.reconcile(w, o, "t", "o", condition, heavy=h) for h in (50, 10**6)]
+        assert rows(got[0]) == rows(got[1])
+        on = (F.col("t") == F.col("o")) & (F.lit(True) if condition is None else condition)
+        assert rows(got[0], "t", "n", "c", "o", "v") == rows(w.join(o, on, "full"))
+    plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "Join FullOuter" in plan
+    assert "Join Inner" not in got[1]._jdf.queryExecution().optimizedPlan().toString()

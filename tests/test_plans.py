@@ -6,7 +6,9 @@ import re
 
 import pytest
 
-from visitloom.plans import catalog
+from visitloom.operators import anomaly
+from visitloom.plans import bots, catalog
+from visitloom.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
 PLANS = catalog.queries()
@@ -65,3 +67,36 @@ def test_bot_scoring_joins_small_contexts_without_a_shuffle(spark):
     tree, _ = final_plan(spark, "session_z_scores")
     assert tree.count("SortMergeJoin") == 0
     assert len(re.findall(r"(?<!Broadcast)Exchange \(", tree)) <= 6
+
+
+def above(tree, found):
+    """Operators over the first line of the plan that has all the marks, from the root down."""
+    lines = tree.splitlines()
+    depth = [len(re.match(r"[\s:|+\-]*", x)[0]) for x in lines]
+    at = next(i for i, x in enumerate(lines) if all(m in x for m in found))
+    path = [lines[at]]
+    for i in range(at - 1, -1, -1):
+        if depth[i] < depth[at]:
+            path.append(lines[i])
+            at = i
+    return path
+
+
+def test_bot_scoring_moves_the_features_twice_at_most(spark):
+    """With no broadcast at all: once for the user's context, once for those of the day and city."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, x in settings.items():
+            spark.conf.set(k, x)
+        views = Views(spark, SF)
+        scored = anomaly.score_sessions(bots._features(views))
+        tree = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    path = above(tree, ["FileScan", "session_key", "interaction_events"])
+    assert sum("Exchange" in x for x in path) == 2 and sum("SortMergeJoin" in x for x in path) >= 2
+    assert tree.count("interaction_events#") and "BroadcastHashJoin" not in tree
+    # the baseline of the sessions themselves reads the features too, but only adds up
+    assert sum(line.count("FileScan") for line in tree.splitlines() if "session_key" in line) == 1

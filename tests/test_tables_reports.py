@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import re
+import threading
 from types import SimpleNamespace
 
 import pytest
@@ -8,7 +9,8 @@ from conftest import day, rows
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitloom.sources import files, lookups, reports, schema, staging, tables
+from visitloom.operators import properties
+from visitloom.sources import files, lookups, reports, schema, shards, staging, tables
 from visitloom.streaming import runs
 
 
@@ -157,6 +159,198 @@ def test_copy_keeps_the_old_table_when_it_fails_and_may_read_it(spark, make, tmp
     assert tables._cluster_columns(spark, "c1") == ["id"]
 
 
+def test_a_reader_sees_the_old_or_the_new_copy(spark, make, tmp_path):
+    """Polled all the while a table is copied five times over."""
+    args = dict(partition_by="d", path=str(tmp_path / "p"))
+    copy = lambda n: tables.copy_table(
+        make("id int, d date", *[(n, day(f"2024-01-{i + 1:02d}")) for i in range(20)]), "polled", **args
+    )
+    copy(0)
+    seen, stop = [], threading.Event()
+
+    def poll():
+        while not stop.is_set():
+            try:
+                seen.append(rows(spark.table("polled").groupBy("id").count()))
+            except Exception as e:  # noqa: BLE001
+                seen.append(str(e)[:300])
+
+    reader = threading.Thread(target=poll)
+    reader.start()
+    for n in range(1, 6):
+        copy(n)
+    stop.set()
+    reader.join()
+    assert set(map(str, seen)) <= {str([(n, 20)]) for n in range(6)} and len(seen) > 5
+    assert rows(spark.table("polled").groupBy("id").count()) == [(5, 20)]
+    versions = [r.tableName for r in spark.sql("show tables like 'polled__*'").collect()]
+    assert len(versions) == 2 and len(list((tmp_path / "p").iterdir())) == 2
+
+
+STEPS = ["_write_days", "create_table", "_add_days", "_switch", "_drop_versions"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_a_copy_that_fails_at_any_step(spark, make, tmp_path, monkeypatch, step, after):
+    """Old rows up to the switch, new ones from there on, and the next copy cleans up."""
+    name = f"f_{step}_{after}".lower()
+    args = dict(partition_by="d", path=str(tmp_path / "f"))
+    tables.copy_table(make("id int, d date", (1, day("2024-01-01"))), name, **args)
+    right = getattr(tables, step)
+
+    def broken(*a, **k):
+        if after:
+            right(*a, **k)
+        raise OSError("lost")
+
+    monkeypatch.setattr(tables, step, broken)
+    with pytest.raises(OSError, match="lost"):
+        tables.copy_table(make("id int, d date", (2, day("2024-01-02"))), name, **args)
+    done = (step == "_switch" and after) or step == "_drop_versions"
+    assert rows(spark.table(name), "id") == [(2 if done else 1,)]
+    monkeypatch.undo()
+    tables.copy_table(make("id int, d date", (3, day("2024-01-02"))), name, **args)
+    assert rows(spark.table(name)) == [(3, day("2024-01-02"))]
+    assert len(spark.sql(f"show tables like '{name}__*'").collect()) == 2
+
+
+def test_copy_over_a_plain_table_and_refresh_of_a_copy(spark, make):
+    s = "id int, d date, is_final boolean"
+    first = make(s, (1, day("2024-01-01"), True), (2, day("2024-01-02"), False))
+    tables.incremental_refresh(first, "plain1", date_col="d", start="2024-01-01")
+    tables.copy_table(make(s, (7, day("2024-01-05"), True), (8, day("2024-01-06"), False)), "plain1", partition_by="d", cluster_by=["id"])
+    assert rows(spark.table("plain1"), "id") == [(7,), (8,)]
+    assert tables.landed_days(spark, "plain1") == [day("2024-01-06"), day("2024-01-05")]
+    got = tables.incremental_refresh(make(s, (9, day("2024-01-07"), False)), "plain1", date_col="d", start="2024-01-01")
+    assert rows(got, "id", "d") == [(7, day("2024-01-05")), (9, day("2024-01-07"))]
+    got = tables.upsert(make(s, (9, day("2024-01-07"), True)), "plain1", keys=["id"], date_col="d", days=["2024-01-07"])
+    assert rows(got, "id", "is_final") == [(7, True), (9, True)]
+
+
+@pytest.mark.parametrize("values", [("int", 2023, 2024), ("string", "a b", "c")])
+def test_copy_by_partitions_of_other_types(make, values):
+    kind, *parts = values
+    got = tables.copy_table(make(f"id int, p {kind}", (1, parts[0]), (2, parts[1])), f"by_{kind}", partition_by="p")
+    assert rows(got) == [(1, parts[0]), (2, parts[1])] and dict(got.dtypes)["p"] == kind
+    with pytest.raises(Exception, match="cannot name"):
+        tables.copy_table(make("id int, p string", (1, "a/b")), "by_odd", partition_by="p")
+
+
+def test_checkpoint_of_tables_with_rows_without_a_day_or_a_final_row(spark, make):
+    s = "k int, is_final boolean, d date"
+    tables.create_table(spark, "cp", make(s).schema, partition_by="d")
+    days = [day(f"2024-01-{i:02d}") for i in range(1, 10)]
+    make(s, (1, True, None), *[(i, False, d) for i, d in enumerate(days)]).write.insertInto("cp")
+    assert tables.table_checkpoint(spark, "cp", "d", "is_final", "2023-12-01") == day("2023-12-01")
+    assert tables.landed_days(spark, "cp") == days[::-1]
+    make(s, (1, True, days[1])).write.insertInto("cp")
+    assert tables.table_checkpoint(spark, "cp", "d", "is_final", "2023-12-01") == days[2]
+
+
+def test_versioned_upsert_takes_the_latest_in_any_order_of_batches(spark, make):
+    s = "k int, v int, x string, d date, is_final boolean"
+    d1, d2 = day("2024-01-01"), day("2024-01-02")
+    batches = [
+        [(1, 1, "a", d1, False), (2, 5, "b", d2, False), (None, 1, "n", d1, False)],
+        [(1, 3, "c", d1, False), (1, 2, "old", d1, False), (2, 4, "older", d2, False)],
+        [(1, None, "unknown", d1, False), (None, 2, "m", d1, False), (3, 1, "z", d2, False)],
+    ]
+    want = [(1, 3, "c"), (2, 5, "b"), (3, 1, "z"), (None, 2, "m")]
+    for i, order in enumerate([(0, 1, 2), (2, 1, 0), (1, 0, 2, 1, 0)]):
+        name = f"versions{i}"
+        tables.create_table(spark, name, make(s).schema, partition_by="d")
+        for n in order:
+            got = tables.upsert(make(s, *batches[n]), name, keys=["k"], date_col="d", days=[d1, d2], version="v")
+        assert rows(got, "k", "v", "x") == want
+
+
+def test_bucketed_tables_join_and_group_without_an_exchange(spark, make):
+    visits = make("session_id long, brand string", *[(i, f"B{i % 3}") for i in range(200)])
+    sales = make("session_id long, revenue double", *[(i // 2, 1.0) for i in range(100)])
+    a = tables.write_bucketed(visits, "visits_bucketed", ["session_id"], buckets=4)
+    b = tables.write_bucketed(sales, "sales_bucketed", ["session_id"], buckets=4)
+    joined = a.join(b.hint("merge"), "session_id").groupBy("session_id").agg(F.sum("revenue").alias("r"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert rows(joined) == rows(visits.join(sales, "session_id").groupBy("session_id").agg(F.sum("revenue")))
+
+
+def test_shards_are_picked_by_name(spark, make, tmp_path):
+    folder = str(tmp_path / "b0")
+    s = "id int, event_date date"
+    days = [day(f"2024-01-{i:02d}") for i in range(1, 31)]
+    df = make(s, *[(i, d) for i, d in enumerate(days)])
+    shards.write_shards(df, folder, shards.INTRADAY, "event_date")
+    shards.write_shards(df.where("id < 28"), folder, shards.FINAL, "event_date")
+    got = shards.intraday_shards(spark, folder, "2024-01-30", df.schema)
+    assert rows(got, "id", "shard_day") == [(28, days[28]), (29, days[29])]
+    assert {f.split("/")[-2] for f in got.inputFiles()} == {"events_intraday_20240129", "events_intraday_20240130"}
+    shards.write_shards(df.where("id = 28"), folder, shards.FINAL, "event_date")
+    assert rows(shards.intraday_shards(spark, folder, "2024-01-30", df.schema), "id") == [(29,)]
+    assert rows(shards.read_shards(spark, folder, shards.FINAL, ["2024-01-29", "2024-01-30"], df.schema), "id") == [(28,)]
+    # a shard is replaced whole, others stay; no shard, no rows; no day, no shard
+    shards.write_shards(make(s, (99, days[29])), folder, shards.INTRADAY, "event_date")
+    assert rows(shards.intraday_shards(spark, folder, "2024-01-30", df.schema), "id") == [(99,)]
+    assert shards.intraday_shards(spark, folder, "2025-01-30", df.schema).collect() == []
+    with pytest.raises(Exception, match="no event_date"):
+        shards.write_shards(make(s, (1, None)), folder, shards.FINAL, "event_date")
+
+
+def test_checked_csv_keeps_all_rows_somewhere(spark, tmp_path):
+    s = T.StructType.fromDDL("id int, d date, note string")
+    folder = tmp_path / "in"
+    args = (str(folder), s, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "log"))
+    write(folder / "a.csv", "id,d,note", "1,2024-01-01,x", '2,,"say ""hi"", all"', ",2024-01-02,", "z,2024-01-01,y")
+    write(folder / "moved.csv", "d,id,note", "2024-01-01,5,m")
+    write(folder / "none.csv", "6,2024-01-01,n")
+    write(folder / "wide.csv", "id,d,note,more", "7,2024-01-01,n,w")
+    write(folder / "short.csv", "id,d,note", "8,2024-01-01", "9,2024-02-30,b", "10, 2024-01-01 ,b", "11,2024-01-01,b,extra")
+    want = [(1, day("2024-01-01"), "x"), (10, day("2024-01-01"), "b"), (2, None, 'say "hi", all'), (None, day("2024-01-02"), None)]
+    for _ in range(2):
+        good, bad = runs.ingest_checked_csv(spark, *args)
+        assert rows(good) == want
+        found = sorted((r.file.rsplit("/", 1)[1], r.reason) for r in bad.collect())
+        assert found == sorted(
+            [("a.csv", "value"), ("short.csv", "value"), *[("short.csv", "cells")] * 2, *[("moved.csv", "header")] * 2,
+             ("none.csv", "header"), *[("wide.csv", "header")] * 2]
+        )
+    write(folder / "late.csv", "id,d,note", "12,2024-01-03,")
+    good, bad = runs.ingest_checked_csv(spark, *args)
+    assert good.count() == 5 and bad.count() == 9
+
+
+def test_upsert_from_a_stream_whatever_the_order(spark, make, tmp_path):
+    s = "k int, v int, x string, d date"
+    d1, d2 = day("2024-01-01"), day("2024-01-02")
+    schema = make(s).schema
+    for i, order in enumerate([(0, 1, 2), (2, 1, 0)]):
+        batches = [[(1, 1, "a", d1), (2, 9, "b", d2)], [(1, 2, "c", d1)], [(1, 0, "z", d1), (3, 1, "n", d2)]]
+        folder = tmp_path / f"in{i}"
+        for n, number in enumerate(order):
+            make(s, *batches[number]).coalesce(1).write.mode("append").parquet(str(folder))
+            stream = spark.readStream.schema(schema).parquet(str(folder))
+            if n == 0:
+                tables.create_table(spark, f"us{i}", schema, partition_by="d")
+            got = runs.upsert_stream(stream, f"us{i}", str(tmp_path / f"log{i}"), keys=["k"], date_col="d", version="v")
+        again = runs.upsert_stream(stream, f"us{i}", str(tmp_path / f"replay{i}"), keys=["k"], date_col="d", version="v")
+        assert rows(got, "k", "v", "x") == rows(again, "k", "v", "x") == [(1, 2, "c"), (2, 9, "b"), (3, 1, "n")]
+    make(s, (1, 1, "x", None)).write.parquet(str(tmp_path / "undated"))
+    undated = spark.readStream.schema(schema).parquet(str(tmp_path / "undated"))
+    with pytest.raises(Exception, match="no d"):
+        runs.upsert_stream(undated, "us0", str(tmp_path / "log-u"), keys=["k"], date_col="d", version="v")
+
+
+def test_prefer_landed_takes_whole_days(make):
+    s = "id int, d date"
+    days = [day(f"2024-01-{i:02d}") for i in range(1, 5)]
+    final, intraday = make(s, (1, days[0]), (2, days[2])), make(s, *[(10 + i, d) for i, d in enumerate(days)])
+    take = lambda landed: rows(properties.prefer_landed(final, intraday, landed, "2024-01-04", "d"), "id")
+    assert take([days[0], days[2]]) == [(1,), (13,), (2,)]
+    assert take([]) == [(1,), (12,), (13,), (2,)]
+    assert take(days) == [(1,), (2,)]
+
+
 def test_released_staging_is_gone(spark, make):
     with staging.released(spark):
         path = staging.new_path(spark, "x")
@@ -184,7 +378,7 @@ def test_copy_and_create(spark, make):
             partition_by="d", cluster_by=["b", "id"], description="it's a copy",
         )
         assert rows(copy) == [(1, day("2024-01-01"), "x", None), (2, day("2024-01-02"), "y", None)]
-    assert {r[0] for r in spark.sql("show partitions copied").collect()} == {"d=2024-01-01", "d=2024-01-02"}
+    assert {r[0] for r in spark.sql(f"show partitions {tables.version_of(spark, 'copied')}").collect()} == {"d=2024-01-01", "d=2024-01-02"}
     tables.create_table(spark, "orders_new", schema.ORDER_DETAILS, partition_by="OrderDate", description="it's new")
     created = spark.table("orders_new")
     assert created.count() == 0 and dict(created.dtypes) == {

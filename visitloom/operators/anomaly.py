@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from visitloom.functions import rules
 from visitloom.functions.numbers import z_score
+from visitloom.operators.joins import null_safe_join
 from visitloom.operators.kpi import with_shares
 from visitloom.sources.staging import stage
 
@@ -43,51 +44,87 @@ def count_z_scores(counts: DataFrame, name: str, per: Sequence[str], baseline_by
     return with_z_scores(counts.select(*per, "n"), {"n": name}, baseline_by).select(*per, name)
 
 
+DAY = ("session_date", "traffic_type")
+#: Score, the columns that tell its groups apart besides the day and traffic, and those that tell its baselines apart.
+CONTEXTS = {
+    "daily_z_sessions": ((), ()),
+    "os_z_sessions": (("operating_system",), ("operating_system",)),
+    "device_z_sessions": (("device_category",), ("device_category",)),
+    "geo_z_sessions": (("city",), ("city",)),
+    "user_z_sessions": (("brand", "user_pseudo_id"), ("brand",)),
+}
+OWN = {"engagement_seconds": "z_eng", "event_count": "z_evt", "pageviews": "z_pv"}
+
+
+def context_scores(features: DataFrame) -> DataFrame:
+    """One row per group of each context, named by ``score``, with its ``z``.
+
+    Distinct sessions of all contexts are counted in one pass with grouping
+    sets. Baselines are moments (number, mean and deviation of the counts) of
+    groups that differ in the day or user only, again one aggregate for all
+    contexts, which adds up on the map side. Columns foreign to a context are
+    NULL; ``score`` tells that from a group whose value is NULL.
+    """
+    extra = ["operating_system", "device_category", "city", "brand", "user_pseudo_id"]
+    sets = [[*DAY, *own] for own, _ in CONTEXTS.values()]
+    level = {name: sum(1 << (len(extra) - 1 - i) for i, c in enumerate(extra) if c not in own)
+             for name, (own, _) in CONTEXTS.items()}
+    named = F
+    for name, bits in level.items():
+        named = named.when(F.grouping_id() == bits, name)
+    counts = features.groupingSets(sets, *DAY, *extra).agg(
+        named.alias("score"), F.count_distinct("session_key").alias("n")
+    )
+    counts = stage(counts)
+    within = {c: F.when(F.col("score").isin([n for n, (_, by) in CONTEXTS.items() if c in by]), F.col(c)) for c in extra}
+    grouped = counts.withColumns({f"_b_{c}": v for c, v in within.items()})
+    by = ["score", "traffic_type", *(f"_b_{c}" for c in extra)]
+    moments = grouped.groupBy(*by).agg(F.avg("n").alias("_m_z"), F.stddev("n").alias("_s_z"))
+    scored = scored_against(null_safe_join(grouped, moments, by), {"n": "z"})
+    return scored.select("score", *DAY, *extra, "z")
+
+
 def score_sessions(features: DataFrame) -> DataFrame:
     """Session features with their own z-scores and those of their day, system,
     device, place and user.
 
-    The features feed several aggregates, so they are written once to the
-    staging folder. The sessions per day, system, device and place come from
-    one pass with grouping sets; their scores are staged, so the planner knows
-    their true size and shuffles the features only for contexts that are too
-    large to broadcast. The session's own baseline has one row per traffic type
-    and rides on the context of its day. No size is promised by a hint.
+    The features are written once to the staging folder, as several aggregates
+    read them. On the way to the scores they are moved twice at most, whatever
+    does not fit a broadcast: once to the context of their user, once to that of
+    their day and city. The latter carries the scores of the day's systems and
+    devices along, in a short map each (these are names from short lists), and
+    the moments of the session's own baseline, which has one row per traffic
+    type. A value that is NULL has no context, and its score is 0.
     """
     features = stage(features)
-    day = ["session_date", "traffic_type"]
-    extra = ["operating_system", "device_category", "city"]
-    sets = [day, *[[*day, c] for c in extra]]
-    counts = stage(
-        features.groupingSets(sets, *day, *extra).agg(
-            F.grouping_id().alias("level"), F.count_distinct("session_key").alias("n")
-        )
+    scores = stage(context_scores(features))
+    of = lambda name: scores.where(F.col("score") == name)
+    listed = lambda name, column: (
+        of(name).where(F.col(column).isNotNull())
+        .groupBy(*DAY).agg(F.map_from_entries(F.collect_list(F.struct(column, "z"))).alias(f"_{name}"))
     )
-    own = {"engagement_seconds": "z_eng", "event_count": "z_evt", "pageviews": "z_pv"}
-    scored = features
-    # grouping_id sets one bit per column that is *not* in the set.
-    for name, column, level in (
-        ("daily_z_sessions", None, 0b111),
-        ("os_z_sessions", "operating_system", 0b011),
-        ("device_z_sessions", "device_category", 0b101),
-        ("geo_z_sessions", "city", 0b110),
-    ):
-        keys = [column] if column else []
-        context = count_z_scores(
-            counts.where(F.col("level") == level), name, [*day, *keys], ["traffic_type", *keys]
-        )
-        if column is None:
-            context = context.join(baseline(features, own, ["traffic_type"]), "traffic_type", "left")
-        scored = _with_context(scored, stage(context), [*day, *keys], name)
-    scored = scored_against(scored, own)
-    user_day = [*day, "brand", "user_pseudo_id"]
-    visits = features.groupBy(*user_day).agg(F.count_distinct("session_key").alias("n"))
-    context = count_z_scores(visits, "user_z_sessions", user_day, ["traffic_type", "brand"])
-    return _with_context(scored, context, user_day, "user_z_sessions")
-
-
-def _with_context(scored: DataFrame, context: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    return scored.join(context, list(keys), "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    daily = of("daily_z_sessions").select(*DAY, F.col("z").alias("daily_z_sessions"))
+    daily = daily.join(baseline(features, OWN, ["traffic_type"]), "traffic_type", "left")
+    daily = null_safe_join(daily, listed("os_z_sessions", "operating_system"), DAY, "left")
+    daily = null_safe_join(daily, listed("device_z_sessions", "device_category"), DAY, "left")
+    cities = of("geo_z_sessions").select(*DAY, "city", F.col("z").alias("_city"))
+    placed = stage(null_safe_join(cities, daily, DAY))
+    scored = null_safe_join(features, placed, [*DAY, "city"], "left")
+    dated = F.col("session_date").isNotNull() & F.col("traffic_type").isNotNull()
+    known = lambda z: F.coalesce(F.when(dated, z), F.lit(0.0))
+    scored = scored.withColumns(
+        {
+            "daily_z_sessions": known(F.col("daily_z_sessions")),
+            "os_z_sessions": known(F.col("_os_z_sessions")[F.col("operating_system")]),
+            "device_z_sessions": known(F.col("_device_z_sessions")[F.col("device_category")]),
+            "geo_z_sessions": known(F.when(F.col("city").isNotNull(), F.col("_city"))),
+        }
+    ).drop("_os_z_sessions", "_device_z_sessions", "_city")
+    scored = scored_against(scored, OWN)
+    user_day = [*DAY, "brand", "user_pseudo_id"]
+    users = of("user_z_sessions").select(*user_day, F.col("z").alias("user_z_sessions"))
+    joined = scored.join(users, user_day, "left")
+    return joined.withColumn("user_z_sessions", F.coalesce("user_z_sessions", F.lit(0.0)))
 
 
 def classify_sessions(scored: DataFrame, spike_traffic: str) -> DataFrame:

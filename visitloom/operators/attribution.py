@@ -30,8 +30,9 @@ def first_non_null(
     the values may come from different rows.
 
     Rows first shrink to one per key and combination of values, with its lowest
-    order. For an order of a time and a whole number that is a fixed-width
-    minimum: tasks hash the rows and sort nothing before the first shuffle.
+    order, in which NULL comes first. For an order of a time and a whole number
+    that is a fixed-width minimum: tasks hash the rows and sort nothing before
+    the first shuffle.
     """
     lowest = df.groupBy(*keys, *values).agg(F.min(order_key(df, order)).alias("_o"))
     return lowest.groupBy(*keys).agg(
@@ -40,18 +41,31 @@ def first_non_null(
 
 
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """The order as one value: a decimal for a time and a non-negative whole
-    number, both known, which aggregates without a sort; else a struct."""
+    """The order as one value that is never NULL: a decimal for a time and a
+    whole number, which aggregates without a sort; else a struct.
+
+    The decimal has the microseconds before the number, each with a lowest value
+    of its own for NULL, so both forms order alike, negative numbers included.
+    Times beyond the year 33,658 do not fit and raise.
+    """
     types = [df.schema[c].dataType.typeName() for c in order]
     if len(order) != 2 or types[0] not in ("timestamp", "timestamp_ntz") or types[1] not in ("long", "integer"):
         return F.struct(*order)
-    return F.expr(order_sql(*order))
+    ts, number = (f"`{c}`" for c in order)
+    micros = f"unix_micros({ts})" if types[0] == "timestamp" else _micros(ts)
+    time = f"cast(coalesce({micros}, -1000000000000000000) as decimal(19, 0))"
+    place = f"coalesce(cast({number} as decimal(20, 0)) + 9223372036854775809, 0)"
+    return F.expr(f"cast({time} * 20000000000000000000 + {place} as decimal(38, 0))")
+
+
+def _micros(ts: str) -> str:
+    return f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))"
 
 
 def order_sql(ts: str, number: str) -> str:
-    """Microseconds and a whole number below 10 ** 19 in one decimal; NULL if either is."""
-    micros = f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))"
-    return f"cast(cast({micros} as decimal(18, 0)) * 10000000000000000000 + {number} as decimal(38, 0))"
+    """Microseconds and a whole number from 0 below 10 ** 19 in one decimal, from which the number can be read
+    back; NULL if either is."""
+    return f"cast(cast({_micros(ts)} as decimal(18, 0)) * 10000000000000000000 + {number} as decimal(38, 0))"
 
 
 def first_touch(

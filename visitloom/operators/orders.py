@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions import text
 from visitloom.operators.joins import null_safe_join, split_left_join
+from visitloom.sources.staging import stage
+
+#: Rows of one id, on one side of a reconciliation, that a single task should not join.
+HEAVY = 1_000_000
 
 
 def flag_group_has(df: DataFrame, key: str, condition: Column, row_flag: str, group_flag: str) -> DataFrame:
@@ -52,21 +57,45 @@ def buyers_of_or_non_buyers(
 
 
 def reconcile(
-    web: DataFrame, back_office: DataFrame, web_id: str, office_id: str, web_condition: Column | None = None
+    web: DataFrame,
+    back_office: DataFrame,
+    web_id: str,
+    office_id: str,
+    web_condition: Column | None = None,
+    *,
+    heavy: int = HEAVY,
 ) -> DataFrame:
     """Full outer join of web transactions with back-office orders.
 
-    A web row that fails ``web_condition`` stays, unmatched. Ids are nearly
-    unique on both sides but for NULL, which matches nothing: rows without an
-    id, and web rows that fail, go round the join, so it has no hot key.
+    A web row that fails ``web_condition`` stays, unmatched. Ids should be nearly
+    unique on both sides; NULL matches nothing. Rows without an id, and web rows
+    that fail, go round the join. A full join cannot be split at a hot key, so
+    ids with more than ``heavy`` rows on a side are found first, by a count of
+    the ids alone (eager). Those known to one side only go round the join too;
+    the others are an inner join, which AQE splits on either side.
     """
     matches = F.lit(True) if web_condition is None else F.coalesce(web_condition, F.lit(False))
     joinable = matches & F.col(web_id).isNotNull()
     known = F.col(office_id).isNotNull()
-    joined = web.where(joinable).join(back_office.where(known), F.col(web_id) == F.col(office_id), "full")
-    return joined.unionByName(web.where(~joinable), allowMissingColumns=True).unionByName(
-        back_office.where(~known), allowMissingColumns=True
+    left, right = web.where(joinable), back_office.where(known)
+    ids = left.select(F.col(web_id).alias("_id"), F.lit(1).alias("_w"), F.lit(0).alias("_o")).unionByName(
+        right.select(F.col(office_id).alias("_id"), F.lit(0).alias("_w"), F.lit(1).alias("_o"))
     )
+    counted = ids.groupBy("_id").agg(F.sum("_w").alias("_w"), F.sum("_o").alias("_o"))
+    hot = stage(counted.where(F.greatest("_w", "_o") > heavy))
+    parts = []
+    if not hot.isEmpty():
+        hot_left = left.join(hot.select("_id", "_o"), left[web_id] == hot["_id"]).drop("_id")
+        hot_right = right.join(hot.select("_id", "_w"), right[office_id] == hot["_id"]).drop("_id")
+        both = hot_left.where("_o > 0").drop("_o").join(
+            hot_right.where("_w > 0").drop("_w"), F.col(web_id) == F.col(office_id)
+        )
+        parts = [both, hot_left.where("_o = 0").drop("_o"), hot_right.where("_w = 0").drop("_w")]
+        left = left.join(hot.select("_id"), left[web_id] == hot["_id"], "left_anti")
+        right = right.join(hot.select("_id"), right[office_id] == hot["_id"], "left_anti")
+    joined = left.join(right, F.col(web_id) == F.col(office_id), "full")
+    parts += [web.where(~joinable), back_office.where(~known)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, joined)
 
 
 def url_params(df: DataFrame, url: str, names: Sequence[str]) -> DataFrame:

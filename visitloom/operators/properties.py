@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.functions.dates import Day, last_n_days
+from visitloom.functions.dates import Day, day, last_n_days
 
 
 def brand_union(
@@ -101,6 +102,19 @@ def prefer_final(
     return final.unionByName(missing)
 
 
+def prefer_landed(
+    final: DataFrame, intraday: DataFrame, landed: Sequence[dt.date], as_of: Day, date_col: str, days: int = 2
+) -> DataFrame:
+    """``prefer_final`` by whole days, where the days that have landed are known
+    (``tables.landed_days``): all final rows, plus the intraday rows of the last
+    days not among them. Nothing is read to decide."""
+    missing = last_n_days(F.col(date_col), as_of, days)
+    there = [d for d in landed if d >= day(as_of) - dt.timedelta(days=days - 1)]
+    if there:
+        missing = missing & ~F.col(date_col).isin(*there)
+    return final.unionByName(intraday.where(missing))
+
+
 def validate_brand(report: DataFrame, expected: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per brand: sessions found and expected, and rows without a fiscal date.
 

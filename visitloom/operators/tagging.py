@@ -76,10 +76,10 @@ def first_pageview(
     events: DataFrame, page_load: str = "page_load_id", order: Sequence[str] = ("event_timestamp_utc",)
 ) -> DataFrame:
     """Per page load, the first page view that carries a user, as flat fields;
-    missing and empty ones are 'unknown'."""
+    missing and empty ones are 'unknown'. Ties are decided by the fields."""
     flat = pageviews_with_user(events).select(page_load, *order, *pageview_fields())
     fields = [c for c in flat.columns if c not in (page_load, *order)]
-    picked = flat.groupBy(page_load).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_first"))
+    picked = flat.groupBy(page_load).agg(F.min_by(F.struct(*fields), F.struct(*order, *fields)).alias("_first"))
     return picked.select(page_load, "_first.*")
 
 

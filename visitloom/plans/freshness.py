@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from visitloom.functions.dates import time_bucket
 from visitloom.operators import properties
 from visitloom.plans.registry import query
+from visitloom.plans.tagging import StreamedViews
 from visitloom.plans.views import Views
-from visitloom.sources import files, tables
+from visitloom.sources import files, shards, tables
 from visitloom.sources.staging import new_path, stage
 from visitloom.streaming import runs
 
@@ -160,3 +161,159 @@ FROM a FULL JOIN e USING (brand)""",
 def brand_validation(v: Views) -> DataFrame:
     expected = v.events().groupBy("brand").agg(F.count_distinct("session_id").alias("expected_sessions"))
     return properties.validate_brand(v.report(pages=False, geo=False, fiscal=False), expected, v.fiscal)
+
+
+def _table_name(path: str) -> str:
+    """A name of its own for a table in that folder."""
+    kind, number = path.rsplit("/", 1)[1].split("-", 1)
+    return f"{kind}_{number}"
+
+
+COUNTED = {"users": "user_pseudo_id", "sessions": "session_id", "transactions": "transaction_id"}
+
+
+@query(
+    "streamed_window_figures",
+    """
+SELECT time_bucket(INTERVAL 30 MINUTE, event_timestamp_utc) AS window_start, brand, count(DISTINCT user_pseudo_id) AS users,
+       count(DISTINCT session_id) AS sessions, count(DISTINCT transaction_id) AS transactions,
+       round(sum(CASE WHEN event_name = 'purchase' THEN value END), 2) AS revenue
+FROM ev1 GROUP BY 1, 2""",
+)
+def streamed_window_figures(v: Views) -> DataFrame:
+    """Key figures per half hour from a stream of three batches: users and sessions of several count once."""
+    events = StreamedViews(v, v.stream_of(v.table("events"), 3)).events()
+    sold = events.withColumn("revenue", F.when(F.col("event_name") == "purchase", F.col("value")))
+    out = runs.write_window_figures(
+        sold, ["brand"], new_path(v.spark, "figures"), new_path(v.spark, "figures-log"), COUNTED, {"revenue": "revenue"}
+    )
+    return out.withColumn("revenue", F.round("revenue", 2))
+
+
+@query(
+    "hourly_intraday_table",
+    """
+SELECT brand, event_date, event_name, count(*) AS events, count(DISTINCT session_id) AS sessions FROM ev1
+WHERE event_date IN (DATE '2024-01-29', DATE '2024-01-30') GROUP BY 1, 2, 3""",
+)
+def hourly_intraday_table(v: Views) -> DataFrame:
+    """Full refresh of yesterday and today, at noon and in the evening: each replaces the table in one step."""
+    path = new_path(v.spark, "intraday")
+    events = v.events().select("brand", "event_name", "user_pseudo_id", "event_timestamp_utc", "event_date")
+    recent = properties.recent_events(events.withColumn("visit_id", F.unix_date("event_date")), TODAY)
+    for hour in (12, 24):
+        so_far = recent.where((F.col("event_date") < F.lit(TODAY).cast("date")) | (F.hour("event_timestamp_utc") < hour))
+        table = tables.copy_table(
+            so_far, _table_name(path), partition_by="event_date", cluster_by=["event_name", "session_id"], path=path
+        )
+    return table.groupBy("brand", "event_date", "event_name").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions")
+    )
+
+
+@query(
+    "catalog_fresh_sessions",
+    """
+SELECT brand, session_id, session_date, session_duration_s,
+       CASE WHEN session_date = DATE '2024-01-30' THEN 'intraday' ELSE 'final' END AS origin
+FROM p_sessions WHERE session_date <= DATE '2024-01-30'""",
+)
+def catalog_fresh_sessions(v: Views) -> DataFrame:
+    """Whole days from intraday where the final table has no such day yet, as its catalog says; yesterday's landed."""
+    columns = ["brand", "session_id", "session_duration_s", "session_date"]
+    sessions = stage(v.sessions(pages=False, geo=False).select(*columns))
+    path = new_path(v.spark, "final")
+    name = _table_name(path)
+    final = tables.copy_table(sessions.where("session_date < date'2024-01-30'"), name, partition_by="session_date", path=path)
+    return properties.prefer_landed(
+        final.withColumn("origin", F.lit("final")),
+        sessions.withColumn("origin", F.lit("intraday")),
+        tables.landed_days(v.spark, name),
+        TODAY,
+        "session_date",
+    )
+
+
+@query(
+    "sharded_intraday_sessions",
+    """
+SELECT brand, event_date AS shard_day, count(DISTINCT session_id) AS sessions, count(*) AS events FROM ev1
+WHERE event_date = DATE '2024-01-30' OR (event_date = DATE '2024-01-29' AND brand <> 'B0') GROUP BY 1, 2""",
+)
+def sharded_intraday_sessions(v: Views) -> DataFrame:
+    """A folder per property with a shard per day; of yesterday only B0's final shard is there."""
+    events = stage(v.events().select("brand", "event_date", "session_id", "event_name"))
+    base = new_path(v.spark, "shards")
+    found = {}
+    for brand in ("B0", "B1", "B2"):
+        folder = f"{base}/{brand}"
+        own = events.where(F.col("brand") == brand).drop("brand")
+        shards.write_shards(own, folder, shards.INTRADAY, "event_date")
+        if brand == "B0":
+            shards.write_shards(own.where("event_date < date'2024-01-30'"), folder, shards.FINAL, "event_date")
+        found[brand] = shards.intraday_shards(v.spark, folder, TODAY, own.schema)
+    recent = properties.brand_union(found, ["session_id", "shard_day"])
+    return recent.groupBy("brand", "shard_day").agg(
+        F.count_distinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("events")
+    )
+
+
+@query(
+    "upserted_sessions",
+    """
+SELECT brand, session_id, session_date, session_duration_s, 2 AS version FROM p_sessions""",
+)
+def upserted_sessions(v: Views) -> DataFrame:
+    """Sessions as first seen and as they ended, mixed in two batches of a stream."""
+    path = new_path(v.spark, "upserts")
+    ended = v.sessions(pages=False, geo=False).select(
+        "brand", "session_id", "session_duration_s", F.lit(2).alias("version"), "session_date"
+    )
+    both = ended.withColumn("times", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns(
+        {"version": F.col("times"), "session_duration_s": F.when(F.col("times") == 2, F.col("session_duration_s")).otherwise(0)}
+    )
+    rows = v.stream_of(both.drop("times"), 2)
+    name = _table_name(path)
+    tables.create_table(v.spark, name, rows.schema, partition_by="session_date", path=path)
+    keys = ["brand", "session_id"]
+    return runs.upsert_stream(rows, name, new_path(v.spark, "upserts-log"), keys=keys, date_col="session_date", version="version")
+
+
+@query(
+    "bucketed_session_revenue",
+    """
+SELECT brand, session_id, session_duration_s, count(*) AS transactions, round(sum(t.revenue), 2) AS revenue
+FROM p_sessions JOIN p_transactions t USING (brand, session_id) GROUP BY 1, 2, 3""",
+)
+def bucketed_session_revenue(v: Views) -> DataFrame:
+    """Sessions and transactions as tables bucketed by session: joined and grouped where they lie."""
+    keys = ["brand", "session_id"]
+    visits, sales = new_path(v.spark, "visits"), new_path(v.spark, "sales")
+    sessions = v.sessions(pages=False, geo=False).select(*keys, "session_duration_s")
+    a = tables.write_bucketed(sessions, _table_name(visits), keys, buckets=8, path=visits)
+    b = tables.write_bucketed(v.transactions().select(*keys, "revenue"), _table_name(sales), keys, buckets=8, path=sales)
+    return a.join(b, keys).groupBy(*keys, "session_duration_s").agg(
+        F.count(F.lit(1)).alias("transactions"), F.round(F.sum("revenue"), 2).alias("revenue")
+    )
+
+
+@query(
+    "checked_csv_orders",
+    """
+SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'header' WHEN o_orderkey % 5 = 0 THEN 'value' ELSE 'good' END AS outcome,
+       count(*) AS orders FROM orders GROUP BY 1""",
+)
+def checked_csv_orders(v: Views) -> DataFrame:
+    """Orders as CSV files: some with moved columns, some with a price that is no number."""
+    folder = new_path(v.spark, "landing")
+    rows = v.table("orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    moved = rows.where("o_orderkey % 7 = 0").select("o_totalprice", "o_orderkey", "o_orderdate")
+    price = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    kept = rows.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", price)
+    for part in (kept, moved):
+        part.write.mode("append").option("header", True).csv(folder)
+    paths = [new_path(v.spark, n) for n in ("good", "rejected", "checked-log")]
+    good, bad = runs.ingest_checked_csv(v.spark, folder, rows.schema, *paths, glob="*.csv")
+    bad = bad.where(~F.array_contains("cells", "o_orderkey"))  # the header lines of rejected files
+    counted = good.groupBy(F.lit("good").alias("outcome")).agg(F.count(F.lit(1)).alias("orders"))
+    return counted.unionByName(bad.groupBy(F.col("reason").alias("outcome")).agg(F.count(F.lit(1)).alias("orders")))

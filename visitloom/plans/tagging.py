@@ -105,6 +105,24 @@ def streamed_pageview_loads(v: Views) -> DataFrame:
     return out.groupBy("page_load_id").agg(F.count(F.lit(1)).alias("users"))
 
 
+@query(
+    "streamed_first_pageviews",
+    f"""
+WITH x AS ({PAGEVIEWS_SQL})
+SELECT * EXCLUDE (event_id, event_timestamp_utc) FROM x
+QUALIFY row_number() OVER (PARTITION BY page_load_id ORDER BY event_timestamp_utc, event_id) = 1""",
+)
+def streamed_first_pageviews(v: Views) -> DataFrame:
+    """The same rows as ``first_pageviews``, from a stream of three batches that share their page loads."""
+    streamed = StreamedViews(v, v.stream_of(v.table("events"), 3))
+    parsed = tagging.parse_events(browser_events(streamed.events()))
+    order = ["event_timestamp_utc", "event_id"]
+    out = runs.write_first_pageviews(
+        parsed, "page_load_id", order, new_path(v.spark, "loads"), new_path(v.spark, "loads-log")
+    )
+    return out.drop(*order)
+
+
 class StreamedViews(Views):
     """The event view over a streaming read of the events table."""
 

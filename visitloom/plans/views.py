@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from visitloom.operators.attribution import order_sql
 from visitloom.operators.calendar import expand_weeks, weeks_near_july, with_fiscal
 from visitloom.operators.joins import null_safe_join
-from visitloom.sources.staging import stage
+from visitloom.sources.staging import new_path, stage
 from visitloom.streaming.runs import EVERY_AGE
 
 URL_TAILS = (
@@ -77,6 +77,12 @@ class Views:
         reader = self.spark.readStream.schema(self.table(name).schema).option("maxFileAge", EVERY_AGE)
         return reader.parquet(self.files(name))
 
+    def stream_of(self, rows: DataFrame, files: int) -> DataFrame:
+        """The rows as a stream of so many files, one batch each."""
+        path = new_path(self.spark, "landed")
+        rows.repartition(files).write.parquet(path)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
     def events(self, *, pages: bool = False, geo: bool = False) -> DataFrame:
         raw = self.table("events").selectExpr("*", "cast(get_json_object(props, '$.k') as int) as k")
         df = raw.selectExpr(

@@ -64,6 +64,21 @@ def remove_folder(spark: SparkSession, path: str) -> None:
         found[0].delete(found[1], True)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in the folder; none if it does not exist."""
+    found = _files(spark, path)
+    if found is None:
+        raise RuntimeError("folders can only be listed by a session with a JVM of its own")
+    system, folder = found
+    return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
+
+
+def rename_folder(spark: SparkSession, path: str, new: str) -> None:
+    system, folder = _files(spark, path)
+    if not system.rename(folder, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{path} could not be renamed to {new}")
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Removes at its end what was staged inside, so that a long-lived job keeps

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import datetime as dt
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
-from visitloom.operators.tagging import pageview_fields, pageviews_with_user
 from visitloom.functions.dates import local_time
+from visitloom.operators.tagging import pageview_fields, pageviews_with_user
+from visitloom.sources.staging import stage
+from visitloom.sources.tables import upsert
+from visitloom.streaming.store import MergedStore
 
 
 #: The file source forgets files this much older than the newest one; by default after a week.
@@ -41,6 +44,86 @@ def ingest_new_files(
     return spark.read.schema(schema).parquet(target)
 
 
+def ingest_checked_csv(
+    spark: SparkSession,
+    folder: str,
+    schema: T.StructType,
+    target: str,
+    rejected: str,
+    checkpoint: str,
+    *,
+    glob: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Appends the CSV files that no earlier run has seen, if their header is the schema's; good and rejected rows.
+
+    A plain read takes columns by place: a file with moved columns would be
+    misread. Here cells are read as text. A file without a line of exactly the
+    schema's names goes to ``rejected`` whole, and so does a row that has
+    another number of cells, or a cell that is no value of its column's type:
+    with its file, its cells, the raw line where it could not be cut, and the
+    reason. Blank cells are NULL but in text columns. Nothing is lost, and a
+    batch that is repeated replaces what it wrote. Lines that repeat the header
+    are dropped.
+    """
+    names = [f"_{i}" for i in range(len(schema))]
+    raw = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_bad", T.StringType())])
+    reader = spark.readStream.schema(raw).option("maxFileAge", EVERY_AGE).option("encoding", "UTF-8")
+    reader = reader.option("columnNameOfCorruptRecord", "_bad").option("escape", '"')
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    lines = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
+    header = F.col("_bad").isNull()
+    for n, field in zip(names, schema):
+        header = header & F.col(n).eqNullSafe(F.lit(field.name))
+    values, wrong = [], F.lit(False)
+    for n, field in zip(names, schema):
+        text = F.col(n) if isinstance(field.dataType, T.StringType) else F.nullif(F.trim(n), F.lit(""))
+        value = text.try_cast(field.dataType)
+        values.append(value.alias(field.name))
+        wrong = wrong | (text.isNotNull() & value.isNull())
+    side = "file string, cells array<string>, line string, reason string"
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = stage(batch)
+        known = rows.where(header).select(F.col("_file").alias("_known")).distinct()
+        marked = rows.where(~header).join(known, F.col("_file") == F.col("_known"), "left")
+        reason = F.when(F.col("_known").isNull(), "header").when(F.col("_bad").isNotNull(), "cells").when(wrong, "value")
+        marked = marked.withColumn("_reason", reason)
+        marked.where("_reason is null").select(*values).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        marked.where("_reason is not null").select(
+            F.col("_file").alias("file"), F.array(*names).alias("cells"), F.col("_bad").alias("line"),
+            F.col("_reason").alias("reason"),
+        ).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+
+    # The first folders exist before any batch, so that a run without files can be read.
+    for rows, to in ((spark.createDataFrame([], schema), target), (spark.createDataFrame([], side), rejected)):
+        rows.write.mode("overwrite").parquet(f"{to}/batch=-1")
+    _drain(lines.writeStream.foreachBatch(write), checkpoint)
+    read = lambda kind, path: spark.read.schema(kind).option("recursiveFileLookup", True).parquet(path)
+    return read(schema, target), read(side, rejected)
+
+
+def upsert_stream(
+    rows: DataFrame, table: str, checkpoint: str, *, keys: Sequence[str], date_col: str, version: str
+) -> DataFrame:
+    """Keyed refresh of a partitioned table from a stream, run to the end of its input.
+
+    Each batch reads and rewrites the days it has. The row with the greatest
+    ``version`` of a key wins, so batches may come in any order and again. Rows
+    without a day raise.
+    """
+
+    def write(batch: DataFrame, _: int) -> None:
+        undated = F.raise_error(F.lit(f"{table}: a row has no {date_col}")).cast("date")
+        ready = stage(batch.withColumn(date_col, F.coalesce(date_col, undated)))
+        days = [r[0] for r in ready.select(date_col).distinct().collect()]
+        if days:
+            upsert(ready, table, keys=keys, date_col=date_col, days=days, version=version)
+
+    _drain(rows.writeStream.foreachBatch(write), checkpoint)
+    return rows.sparkSession.table(table)
+
+
 def bucket_totals(
     events: DataFrame,
     keys: list[str],
@@ -65,6 +148,25 @@ def bucket_totals(
     )
 
 
+def totals_store(
+    events: DataFrame,
+    keys: list[str],
+    target: str,
+    *,
+    ts: str = "event_timestamp_utc",
+    width: str = "30 minutes",
+    zone: str | None = None,
+) -> MergedStore:
+    """Bucket totals of the batches; they add up."""
+    empty = events.sparkSession.createDataFrame([], events.schema)
+    schema = bucket_totals(empty, keys, ts=ts, width=width, zone=zone).schema
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("bucket_start", *keys).agg(F.sum("events").alias("events"), F.sum("value").alias("value"))
+
+    return MergedStore(events.sparkSession, target, schema, merge)
+
+
 def write_totals(
     events: DataFrame,
     keys: list[str],
@@ -77,64 +179,133 @@ def write_totals(
 ) -> DataFrame:
     """Runs a stream of events to the end of its input and gives its bucket totals.
 
-    Each batch writes its own totals, to a folder named by its number, and the
-    result adds them up. No state is kept, events of any lateness count, a
-    repeated batch replaces its own folder, and no file that a reader may have
-    open is rewritten.
+    Each batch writes its own totals and the result adds them up, so no state
+    is kept and events of any lateness count. ``totals_store(...).compact()``
+    brings the batches of a long-lived stream together.
     """
-    spark = events.sparkSession
+    store = totals_store(events, keys, target, ts=ts, width=width, zone=zone)
 
     def write(batch: DataFrame, number: int) -> None:
-        part = bucket_totals(batch, keys, ts=ts, width=width, zone=zone)
-        part.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        store.write(bucket_totals(batch, keys, ts=ts, width=width, zone=zone), number)
 
     _drain(events.writeStream.foreachBatch(write), checkpoint)
-    empty = spark.createDataFrame([], events.schema)
-    schema = bucket_totals(empty, keys, ts=ts, width=width, zone=zone).schema
-    parts = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(target)
-    return parts.groupBy("bucket_start", *keys).agg(F.sum("events").alias("events"), F.sum("value").alias("value"))
+    return store.read()
+
+
+def figure_parts(
+    rows: DataFrame,
+    keys: list[str],
+    counted: Mapping[str, str],
+    summed: Mapping[str, str],
+    *,
+    ts: str = "event_timestamp_utc",
+    width: str = "30 minutes",
+    zone: str | None = None,
+) -> DataFrame:
+    """Window, keys, and one row per distinct value of each counted column (``figure``, ``id``), with the sums
+    of the others on a row without id. Distinct rows and sums merge."""
+    timed = rows.withColumn("_t", local_time(F.col(ts), zone).cast("timestamp"))
+    start = F.window("_t", width).getField("start").cast("timestamp_ntz").alias("window_start")
+    ids = [F.struct(F.lit(name).alias("figure"), F.col(c).cast("string").alias("id")) for name, c in counted.items()]
+    ids.append(F.struct(F.lit(None).cast("string").alias("figure"), F.lit(None).cast("string").alias("id")))
+    long = timed.select(start, *keys, *summed.values(), F.explode(F.array(*ids)).alias("_f"))
+    long = long.select("window_start", *keys, "_f.*", *summed.values()).where("figure is null or id is not null")
+    sums = [F.sum(F.when(F.col("figure").isNull(), F.col(c).cast("double"))).alias(n) for n, c in summed.items()]
+    return long.groupBy("window_start", *keys, "figure", "id").agg(F.count(F.lit(1)).alias("seen"), *sums)
+
+
+def window_figures(parts: DataFrame, keys: list[str], counted: Mapping[str, str], summed: Mapping[str, str]) -> DataFrame:
+    """The figures per window and keys from merged ``figure_parts``."""
+    return parts.groupBy("window_start", *keys).agg(
+        *[F.count_if(F.col("figure") == name).alias(name) for name in counted], *[F.sum(n).alias(n) for n in summed]
+    )
+
+
+def figures_store(
+    rows: DataFrame,
+    keys: list[str],
+    target: str,
+    counted: Mapping[str, str],
+    summed: Mapping[str, str],
+    *,
+    ts: str = "event_timestamp_utc",
+    width: str = "30 minutes",
+    zone: str | None = None,
+) -> MergedStore:
+    """Figure parts of the batches: equal ones become one row, sums add up."""
+    empty = rows.sparkSession.createDataFrame([], rows.schema)
+    schema = figure_parts(empty, keys, counted, summed, ts=ts, width=width, zone=zone).schema
+    sums = [F.sum(c).alias(c) for c in ("seen", *summed)]
+    return MergedStore(
+        rows.sparkSession, target, schema, lambda parts: parts.groupBy("window_start", *keys, "figure", "id").agg(*sums)
+    )
+
+
+def write_window_figures(
+    rows: DataFrame,
+    keys: list[str],
+    target: str,
+    checkpoint: str,
+    counted: Mapping[str, str],
+    summed: Mapping[str, str],
+    *,
+    ts: str = "event_timestamp_utc",
+    width: str = "30 minutes",
+    zone: str | None = None,
+) -> DataFrame:
+    """Exact distinct counts and sums per window of a stream, run to the end of its input.
+
+    Counts do not add up over batches, the distinct values do: a batch writes
+    each value once per window and keys, and the result counts the values of
+    all batches. No event is too late for its window, whose values stay stored;
+    rows without a time have no window and are left out, as in the batch form.
+    A hot window or key is spread by value. ``counted`` and ``summed`` map names
+    of figures to columns. NULL values do not count; a sum without any is NULL.
+    """
+    how = dict(ts=ts, width=width, zone=zone)
+    store = figures_store(rows, keys, target, counted, summed, **how)
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.write(figure_parts(batch, keys, counted, summed, **how), number)
+
+    _drain(rows.writeStream.foreachBatch(write), checkpoint)
+    return window_figures(store.read(), keys, counted, summed)
 
 
 def _drain(writer: DataStreamWriter, checkpoint: str) -> None:
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def pageviews_store(events: DataFrame, page_load: str, order: Sequence[str], target: str) -> MergedStore:
+    """Earliest page view per load of the batches; the earliest of all is the earliest of these."""
+    flat = _flat_pageviews(events, page_load, order)
+    fields = [c for c in flat.columns if c != page_load]
+
+    def merge(parts: DataFrame) -> DataFrame:
+        first = parts.groupBy(page_load).agg(F.min_by(F.struct(*fields), F.struct(*order, *fields)).alias("_first"))
+        return first.select(page_load, "_first.*")
+
+    return MergedStore(events.sparkSession, target, flat.schema, merge)
+
+
+def _flat_pageviews(events: DataFrame, page_load: str, order: Sequence[str]) -> DataFrame:
+    return pageviews_with_user(events).select(page_load, *order, *pageview_fields())
+
+
 def write_first_pageviews(
-    events: DataFrame, page_load: str, ts: str, target: str, checkpoint: str, *, span_days: int = 1
+    events: DataFrame, page_load: str, order: str | Sequence[str], target: str, checkpoint: str
 ) -> DataFrame:
-    """Streaming form of the once-per-page-load page view: the first one to
-    arrive is kept, the earliest where several arrive together.
-
-    No watermark, so a load counts however late it lands. Repeats are found
-    among the stored loads of the batch's own days and ``span_days`` around
-    them, the longest that one load can last; files are sorted by day, so other
-    days are skipped by their statistics. A batch
-    writes to a folder named by its number and ignores that folder when it is
-    repeated.
-    """
-    spark = events.sparkSession
-    flat = pageviews_with_user(events).select(page_load, F.col(ts).cast("timestamp").alias(ts), *pageview_fields())
-    schema = T.StructType([*flat.schema, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())])
-
-    def stored() -> DataFrame:
-        return spark.read.schema(schema).option("basePath", target).parquet(target)
+    """Streaming form of ``first_pageview``: one page view per load, the earliest by ``order``, NULL first, ties
+    by the fields.
 
-    def write(batch: DataFrame, number: int) -> None:
-        fields = [c for c in batch.columns if c != page_load]
-        first = batch.groupBy(page_load).agg(F.min_by(F.struct(*fields), F.struct(ts, *fields)).alias("_first"))
-        first = first.select(page_load, "_first.*").withColumn("day", F.to_date(ts))
-        days = first.agg(F.min("day"), F.max("day")).first()
-        if days[0] is None:
-            return
-        if number:
-            around = F.col("day").between(
-                days[0] - dt.timedelta(days=span_days), days[1] + dt.timedelta(days=span_days)
-            )
-            known = stored().where((F.col("batch") < number) & around)
-            first = first.join(known.select(page_load), page_load, "left_anti")
-        first.sortWithinPartitions("day").write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    # The first folder exists before any batch, so that a stream without rows can be read.
-    spark.createDataFrame([], T.StructType(schema.fields[:-1])).write.mode("overwrite").parquet(f"{target}/batch=-1")
-    _drain(flat.writeStream.foreachBatch(write), checkpoint)
-    return stored().drop("day", "batch")
+    Each batch writes the earliest of its own loads and the result takes the
+    earliest over all batches. So a load has one row however late or often it
+    comes back and whether or not it has a time, and batch and stream give the
+    same rows for any split of the input. ``pageviews_store(...).compact()``
+    keeps one row per load of a long-lived stream.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    store = pageviews_store(events, page_load, order, target)
+    flat = _flat_pageviews(events, page_load, order)
+    _drain(flat.writeStream.foreachBatch(lambda batch, number: store.write(store.merge(batch), number)), checkpoint)
+    return store.read()
