@@ -1,8 +1,13 @@
-"""Personal data: proposed spans are judged by boosted trees over their format and context."""
+"""Personal data: proposed spans are judged by boosted trees over their format and context.
+
+The trees learn from the given formats, their rewritten forms and what check
+digits and neighbours disprove; they decide on the looser proposals.
+"""
 
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 
 import numpy as np
@@ -18,15 +23,16 @@ from visitloom.sources.staging import stage
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
-#: Proposals that the trees are fitted on, about: a sample by hash of the place.
-MOST_PROPOSALS = 20_000
-TREES, DEPTH, SEED = 20, 3, 23
-#: Share of right ones that a threshold must reach on the proposals kept from the fit.
-PRECISION = 0.98
+#: Different lessons that the trees are fitted on, about: a sample by hash, as many of each kind.
+MOST_LESSONS = 20_000
+TREES, DEPTH, PACE, SEED = 40, 5, 0.3, 23
+#: Share of right ones that a threshold must reach on all lessons kept from the fit, and steps of the score.
+PRECISION, STEPS = 0.98, 1000
 MARK = "<PRIVATE>"
 
 SPAN = "struct<kind:string,start:int,end:int>"
-PROPOSAL = "struct<kind:string,start:int,end:int,known:boolean,features:array<double>>"
+PROPOSAL = "struct<kind:string,start:int,end:int,features:array<double>>"
+LESSON = "struct<kind:string,right:boolean,features:array<double>>"
 
 # The given formats. A run of digits is taken whole, so a part of it is never tried alone.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -50,7 +56,7 @@ _HINTS = re.compile(
 )
 FEATURES = (
     "kind", "length", "digits", "letters", "spaces", "dots", "dashes", "brackets", "plus", "at", "longest_run",
-    "different_digits", "luhn", "octets", "check_digits", "before", "after", "digits_near", "hint",
+    "different_digits", "check_digits", "before", "after", "digits_near", "hint",
 )
 
 
@@ -118,18 +124,88 @@ class Taken:
         self.ends.insert(i, end)
 
 
-def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool]]:
-    """Spans of all generators, which may overlap; whether each is known for its kind: it
-    overlaps a given span of the kind, or its check digits are right."""
+def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of all generators, which may overlap: kind number, start, end."""
     found = set(base) | {(0, *m.span()) for m in _HIDDEN.finditer(text)}
     for kind, regex in _LOOSE:
         found |= {(KINDS.index(kind), *m.span()) for m in regex.finditer(text)}
     found |= {(1, *m.span()) for m in _IP.finditer(text)} | {(3, *m.span()) for m in _PHONE.finditer(text)}
-    given = [Taken([(s, e) for k, s, e in base if k == kind]) for kind in range(len(KINDS))]
+    return sorted(found)
+
+
+def _grouped(digits: str, sizes: tuple[int, ...], between: str) -> str:
+    """The digits in groups of these sizes, the last size repeating."""
+    out, at = [], 0
+    while at < len(digits):
+        size = sizes[min(len(out), len(sizes) - 1)]
+        out.append(digits[at : at + size])
+        at += size
+    return between.join(out)
+
+
+def rewritten(kind: int, own: str) -> list[tuple[bool, str]]:
+    """Looser forms of a given span, which are as private, and look-alikes that are not.
+
+    Which ones, its characters decide. Separators are dropped or changed and a
+    digit is mistaken, as people write; look-alikes are grouped by thousands,
+    have parts no address has, or are stuck to letters like a part of a name.
+    """
+    h = zlib.crc32(own.encode())
+    digits = re.sub(r"[^0-9]", "", own)
+    if kind == 0:
+        local, domain = own.split("@", 1)
+        return [(True, local + (" [at] ", " (at) ", "[at]")[h % 3] + domain), (False, f"{local}@{domain.split('.')[0]}")]
+    if kind == 1:
+        parts = own.split(".")
+        above = [str(int(p) + 256 * (i == h % 4)) for i, p in enumerate(parts)]
+        return [
+            (True, (",", ", ", " . ")[h % 3].join(parts)), (True, own),
+            (False, ".".join(above)), (False, f"v{own}"), (False, f"{own}.{h % 9}"),
+        ]
+    if kind == 2:
+        i = h % len(digits)
+        mistaken = digits[:i] + str((int(digits[i]) + 1 + h // 64 % 9) % 10) + digits[i + 1 :]
+        return [
+            (True, _grouped(mistaken, (4,), ("", " ", "-")[h % 3])), (True, _grouped(mistaken, (len(digits),), "")),
+            (True, _grouped(digits, (4,), ("-", "", " ")[h % 3])),
+            (False, _grouped(digits, (len(digits) % 3 or 3, 3), " ")), (False, f"a{mistaken}"), (False, f"{mistaken}f"),
+        ]
+    if len(digits) < 10:
+        return []
+    near = digits[-10:]
+    loose = (f"({near[:3]}) {near[3:6]}-{near[6:]}", _grouped(near, (3, 3, 4), "."), _grouped(near, (3, 3, 4), " "))
+    amount = _grouped(digits[: 8 + h % 2], (2 + h % 2, 3), (" ", ".")[h // 8 % 2])
+    return [(True, loose[h % 3]), (True, loose[h // 8 % 3]), (False, amount), (False, f"x{loose[1 + h % 2]}")]
+
+
+def lessons(
+    text: str, base: list[tuple[int, int, int]], proposed: list[tuple[int, int, int]], near: list[list[float]]
+) -> list[tuple[int, bool, list[float]]]:
+    """What is known for sure: kind, whether right, features.
+
+    Given spans, and their rewritten forms in the same surroundings; proposals
+    that check digits prove or disprove, that have parts no address has, or
+    that are stuck to letters or digits. All others are open and teach nothing.
+    """
     out = []
-    for kind, start, end in sorted(found):
-        known = given[kind].touches(start, end)
-        out.append((kind, start, end, known or (kind == 4 and iban_valid(text[start:end]))))
+    for kind, start, end in base:
+        own, before, after = text[start:end], text[max(0, start - 25) : start], text[end : end + 25]
+        out.append((kind, True, features(text, kind, start, end)))
+        for right, form in rewritten(kind, own):
+            lead = len(before) + (form[0] in "avx" and not own.startswith(form[0]) and kind != 0)
+            tail = len(form) - (kind == 2 and form.endswith("f"))
+            stop = len(before) + tail
+            out.append((kind, right, features(before + form + after, kind, lead, stop)))
+    sure = [Taken([(s, e) for k, s, e in base if k == kind]) for kind in range(len(KINDS))]
+    for (kind, start, end), row in zip(proposed, near):
+        if sure[kind].touches(start, end):
+            continue
+        if kind == 4:
+            out.append((kind, iban_valid(text[start:end]), row))
+        elif text[start - 1 : start].isalnum() or text[end : end + 1].isalnum():
+            out.append((kind, False, row))
+        elif kind == 1 and not small_parts(re.sub(r"[ ,.]+", ".", text[start:end])):
+            out.append((kind, False, row))
     return out
 
 
@@ -149,15 +225,14 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
         float(kind), float(len(own)), float(len(digits)), float(sum(map(str.isalpha, own))), float(own.count(" ")),
         float(own.count(".")), float(own.count("-")), float(own.count("(") + own.count(")")), float(own.count("+")),
         float(own.count("@")), float(max(map(len, re.findall(r"[0-9]+", own)), default=0)), float(len(set(digits))),
-        float(bool(digits) and luhn(digits)),
-        float(bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+)+", own)) and small_parts(own)),
         float(kind == 4 and iban_valid(own)), _side(text[start - 1 : start]), _side(text[end : end + 1]),
         float(sum(map(str.isdigit, near + text[end : end + 24]))), float(hint.lastindex if hint else 0),
     ]
 
 
-def propose(docs: DataFrame, text: str = "text", base: str = "base", name: str = "proposed") -> DataFrame:
-    """``docs`` with the given spans and all proposals of a text column. Texts without a digit and ``@`` have none."""
+def propose(docs: DataFrame, text: str, base: str, name: str, taught: str) -> DataFrame:
+    """``docs`` with the given spans, the open proposals of a text column and its lessons. Texts without a digit
+    and ``@`` have none."""
     wanted = np.zeros(256, dtype=bool)
     wanted[48:58] = wanted[64] = True
     hidden = re.compile(r"[\[(]at[\])]")
@@ -167,20 +242,25 @@ def propose(docs: DataFrame, text: str = "text", base: str = "base", name: str =
         total = np.concatenate(([0], np.cumsum(wanted[data])))
         possible = total[begins[1:]] > total[begins[:-1]]
         texts = values.to_pylist()
-        given, proposed = [], []
+        given, proposed, known = [], [], []
         for text, some in zip(texts, possible.tolist()):
             sure = base_spans(text) if some else []
             more = proposals(text, sure) if some or (text and hidden.search(text)) else []
+            near = [features(text, *p) for p in more]
+            taken = Taken([(s, e) for _, s, e in sure])
             given.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e in sure])
             proposed.append(
                 [
-                    {"kind": KINDS[k], "start": s, "end": e, "known": known, "features": features(text, k, s, e)}
-                    for k, s, e, known in more
+                    {"kind": KINDS[k], "start": s, "end": e, "features": f}
+                    for (k, s, e), f in zip(more, near)
+                    if not taken.touches(s, e)
                 ]
             )
-        return [given, proposed]
+            known.append([{"kind": KINDS[k], "right": r, "features": f} for k, r, f in lessons(text, sure, more, near)])
+        return [given, proposed, known]
 
-    return add_columns(docs, text, {base: f"array<{SPAN}>", name: f"array<{PROPOSAL}>"}, make)
+    types = {base: f"array<{SPAN}>", name: f"array<{PROPOSAL}>", taught: f"array<{LESSON}>"}
+    return add_columns(docs, text, types, make)
 
 
 class Judge:
@@ -213,43 +293,51 @@ class Judge:
         return [{"kind": k, "start": a, "end": b} for a, b, k in ordered]
 
 
-def fit(proposed: DataFrame, name: str = "proposed", most: int = MOST_PROPOSALS) -> Judge:
-    """Trees that tell known proposals from the others, from about ``most`` of them.
+def fit(rows: DataFrame, taught: str, most: int = MOST_LESSONS) -> Judge:
+    """Trees that tell right lessons from wrong ones, fitted on about ``most`` different ones.
 
-    No text is labelled for personal data: the given formats and check digits
-    label the proposals. A quarter is kept from the fit; on it the threshold of
-    each kind is set to the lowest score from which ``PRECISION`` are known. A
-    kind that does not get there, or with fewer than 20 known, is never added.
+    No text is labelled for personal data; see ``lessons`` for what is known.
+    Equal lessons are one row with their number as weight, so the sample is
+    bounded however often a text is copied. Those of a quarter of the texts, by
+    hash, are kept from the fit: on all of these the threshold of each kind is set to the lowest score from which
+    ``PRECISION`` are right. A kind that does not get there, or with fewer than
+    20 right ones, adds nothing.
     """
-    rows = proposed.select(F.explode(name).alias("p")).select("p.kind", "p.start", "p.end", "p.known", "p.features")
-    total = rows.count()
-    share = min(1.0, most / max(1, total))
-    place = F.xxhash64("kind", "start", "end", "features", F.lit(SEED))
-    part = rows.withColumn("place", F.pmod(place, F.lit(1_000_000)))
-    # One sorted part, of bounded size: sums then run in one order, and equal inputs give equal models.
-    part = part.where(F.col("place") < F.lit(round(share * 1_000_000))).repartition(1)
-    part = stage(part.sortWithinPartitions("place", "kind", "start", "end"))
-    counts = {r["known"]: r["n"] for r in part.groupBy("known").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = F.pmod(F.xxhash64(F.lit(SEED), taught), F.lit(4)) == 0
+    each = rows.select(F.explode(taught).alias("p"), apart.alias("apart")).groupBy("p.kind", "p.right", "p.features", "apart")
+    each = each.agg(F.count(F.lit(1)).cast("double").alias("w"))
+    each = stage(each.withColumn("place", F.pmod(F.xxhash64("kind", "features", F.lit(SEED)), F.lit(1_000_000))))
+    kinds = {r["kind"]: r["n"] for r in each.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F
+    for kind, n in sorted(kinds.items()):
+        share = share.when(F.col("kind") == kind, min(1.0, most / len(kinds) / n))
+    if not kinds:
+        return Judge([], {})
+    # One sorted part, bounded as different rows are sampled: sums run in one order, equal inputs give equal models.
+    part = each.where(~F.col("apart") & (F.col("place") < share * 1_000_000)).repartition(1)
+    part = stage(part.sortWithinPartitions("place", "kind", "right", "features"))
+    counts = {r["right"]: r["n"] for r in part.groupBy("right").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(counts.get(True, 0), counts.get(False, 0)) < 20:
         return Judge([], {})
-    vectors = part.select(
-        F.col("known").cast("double").alias("y"), array_to_vector("features").alias("x"),
-        (F.pmod(F.col("place"), F.lit(4)) == 0).alias("apart"),
-    )
+    vectors = part.select(F.col("right").cast("double").alias("y"), array_to_vector("features").alias("x"), "w")
     boosted = GBTClassifier(
-        featuresCol="x", labelCol="y", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5
-    ).fit(vectors.where(~F.col("apart")))
+        featuresCol="x", labelCol="y", weightCol="w", maxIter=TREES, maxDepth=DEPTH, stepSize=PACE, seed=SEED,
+    ).fit(vectors)
     judge = Judge([(b, v) for b, v in trees.paths(boosted.toDebugString) if v is not None], {})
-    # Of bounded size by the sampling above.
-    apart = part.where(F.pmod(F.col("place"), F.lit(4)) == 0).select("kind", "known", "features").toPandas()
-    for kind, group in apart.groupby("kind"):
-        known, scores = group["known"].to_numpy(), judge.scores(np.array(group["features"].tolist()))
-        order = np.argsort(-scores, kind="stable")
-        right = np.cumsum(known[order]) / np.arange(1, len(order) + 1)
-        last = np.append(np.diff(scores[order]) != 0, True)
-        fine = np.flatnonzero((right >= PRECISION) & last)
-        if known.sum() >= 20 and len(fine):
-            judge.thresholds[kind] = float(scores[order][fine[-1]])
+    scores = judge.scores
+
+    def make(values: pa.Array) -> list[list]:
+        return [np.floor(scores(np.array(values.to_pylist())) * STEPS).astype(int).tolist() if len(values) else []]
+
+    scored = add_columns(each.where("apart"), "features", {"step": "int"}, make)
+    bins = scored.groupBy("kind", "step").agg(
+        F.sum(F.when(F.col("right"), F.col("w")).otherwise(0.0)).alias("right"), F.sum("w").alias("all")
+    )
+    # At most one row per kind and step of the score.
+    for kind, group in bins.toPandas().sort_values("step", ascending=False).groupby("kind"):
+        fine = group["right"].cumsum() / group["all"].cumsum() >= PRECISION
+        if group["right"].sum() >= 20 and fine.any():
+            judge.thresholds[kind] = float(group["step"][fine].min()) / STEPS
     return judge
 
 
@@ -262,10 +350,10 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
     stays, repeated ones too; columns named like the new ones are replaced.
     """
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("base", "spans")]
-    proposed, both = free_name(docs, "proposed"), free_name(docs, "both")
-    rows = propose(docs.drop("base"), text, "base", proposed)
-    rows = stage(rows.select(*(F.col(f"`{c}`") for c in kept), "base", proposed))
-    judge = fit(rows, proposed)
+    proposed, taught, both = (free_name(docs, c) for c in ("proposed", "taught", "both"))
+    rows = propose(docs.drop("base"), text, "base", proposed, taught)
+    rows = stage(rows.select(*(F.col(f"`{c}`") for c in kept), "base", proposed, taught))
+    judge = fit(rows, taught)
     rows = rows.withColumn(both, F.struct(F.col("base").alias("base"), F.col(proposed).alias("proposed")))
     select = judge.select
 
@@ -273,7 +361,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         given, more = values.field("base").to_pylist(), values.field("proposed").to_pylist()
         return [[select(b, p) if p else b for b, p in zip(given, more)]]
 
-    out = add_columns(rows.drop(proposed), both, {"spans": f"array<{SPAN}>"}, make)
+    out = add_columns(rows.drop(proposed, taught), both, {"spans": f"array<{SPAN}>"}, make)
     return out.select(*(F.col(f"`{c}`") for c in kept), "base", "spans")
 
 
