@@ -2,6 +2,7 @@ from conftest import day, rows, ts
 from pyspark.sql import functions as F
 
 from visitloom.functions import dates, numbers, rules, text
+from visitloom.sources import reports
 
 
 def column(make, expression, values, type_="string"):
@@ -60,6 +61,19 @@ def test_parse_day_takes_listed_formats_only(make):
     assert both[2] == day("2024-12-31")
 
 
+def test_parse_day_by_shape_reads_what_each_format_reads(make):
+    """Against a try of every format in order."""
+    values = [
+        "2024-01-31", "2024-1-31", "2024-01-31 10:11:12", "2024-01-31T10:11:12", "2024/1/5", "2024/01/05", "20240105", "1/5/2024",
+        "12/31/2024 9:05", "1/5/2024 9:05:07", "1/5/2024 9:05:07 PM", "1/5/2024 9:05:07 pm", "1-5-2024", "5-Jan-2024", "5 Jan 2024",
+        "Jan 5, 2024", "January 5, 2024", "May 5, 2024", "5-May-2024", "13/13/2024", " 2024-01-31", "2024-01-31 ", "x", "", None,
+        "31.12.2024", "20241350", "202401051", "Sept 5, 2024", "2024-01-31T10:11", "1/5/24",
+    ]
+    plain = lambda c: F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in reports.ORDER_DATES])
+    got = column(make, lambda c: dates.parse_day(c, reports.ORDER_DATES), values)
+    assert got == column(make, plain, values) and sum(g is not None for g in got) >= 16
+
+
 def test_quarters_and_month_order(make):
     months = list(range(1, 13))
     quarter = column(make, dates.quarter_of, months, "int")

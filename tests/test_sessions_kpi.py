@@ -1,9 +1,10 @@
 import datetime as dt
+import functools
 
 from conftest import day, rows, ts
 from pyspark.sql import functions as F
 
-from visitloom.operators import anomaly, calendar, kpi, properties, sessions
+from visitloom.operators import anomaly, calendar, distinct, kpi, properties, sessions
 
 D1, D2 = day("2024-01-01"), day("2024-01-02")
 
@@ -232,3 +233,32 @@ def test_channel_map_fills_unmapped(make):
     assert rows(got, "campaign_category", "funnel_category", "marketing_group_id") == [
         ("b", "F", "G"), ("b", "Unmapped", None), ("x", "Unmapped", None),
     ]
+
+
+def test_distinct_counts_by_bitmaps_equal_plain_ones(spark, make, monkeypatch):
+    """String and number ids, NULL ids, groups and keys, more ids than one bitmap and one window hold."""
+    monkeypatch.setattr(distinct, "IDS", 500)
+    df = spark.range(70_000).selectExpr(
+        "if(id % 7 = 0, null, concat('u', id % 40000)) as user", "if(id % 5 = 0, null, id % 999 - 40) as visit",
+        "if(id % 11 = 0, null, concat('g', id % 4)) as login", "id % 3 as brand",
+    )
+    empty = spark.createDataFrame([(None, None, "none", 9)], df.schema)
+    df = df.unionByName(empty)
+    got = distinct.distinct_with_total(df, ["brand"], "login", {"users": "user", "visits": "visit"})
+    counts = [F.count_distinct("user").alias("users"), F.count_distinct("visit").alias("visits")]
+    want = df.groupBy("brand", "login").agg(*counts).unionByName(
+        df.groupBy("brand").agg(*counts).withColumn("login", F.lit("All"))
+    )
+    assert rows(got, "brand", "login", "users", "visits") == rows(want, "brand", "login", "users", "visits")
+    numbers = distinct.dense_numbers(df.select("user"))
+    assert sorted(r.number for r in numbers.collect()) == list(range(numbers.count())) and numbers.count() > 32_768
+
+
+def test_bitmaps_of_several_days_merge(spark):
+    """Weekly users from the days' bitmaps, the events long gone."""
+    df = spark.range(3000).selectExpr("cast(id % 13 as string) as day", "id % 211 * 3 as user")
+    numbers = distinct.dense_numbers(df.select("user"))
+    days = [distinct.id_bitmaps(df.where(F.col("day") == str(d)), ["day"], "user", numbers) for d in range(13)]
+    stored = functools.reduce(lambda a, b: a.unionByName(b), days)
+    assert rows(distinct.bitmap_counts(distinct.merged_bitmaps(stored, []), [], "n")) == [(211,)]
+    assert rows(distinct.bitmap_counts(stored, ["day"], "n")) == rows(df.groupBy("day").agg(F.count_distinct("user")))

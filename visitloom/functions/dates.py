@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -76,6 +77,23 @@ def time_bucket(utc: Column, width: str = "30 minutes", zone: str | None = None)
     return F.window(local_time(utc, zone), width)["start"]
 
 
+def _shape(pattern: str) -> str:
+    """What a text must look like for the date pattern to read it; some of these it still cannot read."""
+    out = []
+    for letters, _, quoted, other in re.findall(r"(([A-Za-z])\2*)|('[^']*')|(.)", pattern):
+        if letters:
+            named = letters[0] in "aEGzvVOX" or (letters[0] in "ML" and len(letters) > 2)
+            out.append(r".+" if named else r"[+-]?\d+")
+        else:
+            out.append(re.escape(quoted[1:-1] or "'" if quoted else other))
+    return r"^\s*" + "".join(out) + r"\s*$"
+
+
 def parse_day(text: Column, formats: Sequence[str] = ("yyyy-MM-dd",)) -> Column:
-    """First format that reads the text, NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats])
+    """First format that reads the text, NULL when none does.
+
+    A format is tried only on texts of its shape: a failing parse costs an
+    exception, a pattern match next to nothing.
+    """
+    tried = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*(t.cast("date") for t in tried))

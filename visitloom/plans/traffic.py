@@ -13,11 +13,11 @@ from visitloom.functions.dates import (
     quarter_of,
 )
 from visitloom.functions.numbers import ratio
-from visitloom.operators import kpi, properties, sessions
+from visitloom.operators import distinct, kpi, properties, sessions
 from visitloom.operators.calendar import WEEK_SCHEMA, expand_weeks, with_fiscal
 from visitloom.plans.registry import query
 from visitloom.plans.views import Views
-from visitloom.sources.staging import new_path
+from visitloom.sources.staging import new_path, stage
 from visitloom.streaming.runs import ingest_new_files
 
 MONTH_COLUMNS = ["fiscal_year", "fiscal_month_name", "fiscal_month_number", "fiscal_quarter_number"]
@@ -95,6 +95,29 @@ def homepage_login_kpi(v: Views) -> DataFrame:
     )
 
 
+@query(
+    "homepage_login_bitmaps",
+    f"""
+WITH s AS (
+  SELECT CAST(year(event_date) AS INTEGER) AS year, CAST(month(event_date) AS INTEGER) AS month,
+         user_pseudo_id, session_id, {GROUP_SQL} AS login_status
+  FROM p_events
+  WHERE event_name IN ('page_view', 'adobe_page_view') AND page_path IN ('/', '/jsp/homepage.jsp')
+    AND country <> 'ASIA'
+  GROUP BY 1, 2, 3, 4)
+SELECT year, month, login_status, count(DISTINCT user_pseudo_id) AS users, count(DISTINCT session_id) AS sessions
+FROM s GROUP BY 1, 2, 3
+UNION ALL
+SELECT year, month, 'All', count(DISTINCT user_pseudo_id), count(DISTINCT session_id) FROM s GROUP BY 1, 2""",
+)
+def homepage_login_bitmaps(v: Views) -> DataFrame:
+    """Users and sessions per log-in status and their total from one set of bitmaps."""
+    visits = home_page_events(v).withColumns({"year": F.year("event_date"), "month": F.month("event_date")})
+    groups = stage(sessions.login_status_sessions(visits, ["year", "month", "user_pseudo_id", "session_id"]))
+    counted = {"users": "user_pseudo_id", "sessions": "session_id"}
+    return distinct.distinct_with_total(groups, ["year", "month"], "login_status", counted)
+
+
 @query(
     "homepage_login_kpi_fiscal",
     f"""
