@@ -44,3 +44,23 @@ def test_no_rows_and_files(spark, documents, tmp_path):
     sharding.write_shards(out, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.shard, r.slot) for r in back.collect()) == [(s, i) for s in range(4) for i in range(25)]
+
+
+def test_order_does_not_depend_on_the_number_of_tasks(spark, tmp_path):
+    spark.range(3000).selectExpr("id as doc_id", "repeat('x', 20) as text").repartition(3).write.parquet(f"{tmp_path}/d")
+    settings = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.enabled": None}
+    old = {k: spark.conf.get(k) for k in settings}
+    orders = []
+    try:
+        for parts, adaptive in (("2", "true"), ("7", "false"), ("2", "false"), ("13", "true")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            docs = spark.read.parquet(f"{tmp_path}/d")
+            out = sharding.external_shuffle(docs, shards=3, bucket_bytes=4096)
+            orders.append(sorted((r.shard, r.slot, r.doc_id) for r in out.collect()))
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert all(o == orders[0] for o in orders) and len(orders[0]) == 3000
+    other = sharding.external_shuffle(spark.read.parquet(f"{tmp_path}/d"), shards=3, bucket_bytes=4096, seed=1)
+    assert sorted((r.shard, r.slot, r.doc_id) for r in other.collect()) != orders[0]

@@ -10,6 +10,8 @@ from visitloom.sources.staging import stage
 
 #: Bytes that a bucket should hold: one bucket is one array in a task.
 BUCKET_BYTES = 8 << 20
+#: Tasks that shuffle buckets; with more buckets a task has several, one after the other.
+MOST_TASKS = 1 << 16
 #: Buckets whose rows are counted up by one task on the way to the offsets.
 RUN = 4096
 
@@ -31,8 +33,10 @@ def external_shuffle(
     in one task (Fisher-Yates, seeded); the buckets one after the other are the
     shuffled table, which is cut into shards.
 
-    The same input files, settings and seed give the same order. All rows stay,
-    repeated and null ones too; no rows give no rows. Columns named like the two
+    Buckets are dealt to as many tasks as there are buckets (``MOST_TASKS`` at
+    most), whatever the session's settings, and stand sorted in their task. The
+    generator of a task is seeded by its number, so the same input files and
+    seed give the same order, also where a task runs again. All rows stay, repeated and null ones too; no rows give no rows. Columns named like the two
     new ones are replaced.
     """
     kept = [c for c in rows.columns if c not in ("shard", "slot")]
@@ -54,8 +58,10 @@ def external_shuffle(
     offsets = offsets.select(F.col("bucket").alias(bucket), (F.col("before") + F.col("earlier")).alias("offset"))
 
     whole = F.struct(F.col(place), *(F.col(f"`{c}`") for c in kept))
-    arrays = scattered.groupBy(bucket).agg(F.sort_array(F.collect_list(whole)).alias("all"))
-    shuffled = arrays.join(offsets, bucket).select("offset", F.posexplode(F.shuffle("all", seed)).alias("pos", "row"))
+    dealt = scattered.repartition(min(buckets, MOST_TASKS), bucket)
+    arrays = dealt.groupBy(bucket).agg(F.sort_array(F.collect_list(whole)).alias("all")).sortWithinPartitions(bucket)
+    orders = arrays.select(bucket, F.shuffle("all", seed).alias("all"))
+    shuffled = orders.join(offsets, bucket).select("offset", F.posexplode("all").alias("pos", "row"))
     at, n = F.col("at"), max(1, total["n"])
     numbered = shuffled.select((F.col("offset") + F.col("pos")).alias("at"), "row").select(
         at, "row", F.expr(f"cast(at * {shards} div {n} as int)").alias("shard")
