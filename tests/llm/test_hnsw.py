@@ -80,6 +80,28 @@ def test_an_unreachable_group_is_found_by_the_audit():
     assert np.array_equal(marks, units @ units.T >= 0.98)
 
 
+def test_nodes_that_their_own_graph_loses_are_found_from_other_shards():
+    """Small groups out of reach, beside one dense group that would fill a pooled audit."""
+    rnd = np.random.default_rng(6)
+    dense = rnd.normal(size=16)
+    own = np.array([dense + rnd.normal(size=16) * 0.01 for _ in range(200)] + [rnd.normal(size=16) for _ in range(100)])
+    other = own + rnd.normal(size=own.shape) * 0.005
+    graph = hnsw.Graph.build(hnsw.units_of(own))
+    for links in graph.links:
+        links[np.isin(links, np.arange(220, 300))] = -1
+    graph.lost = graph.unreached()
+    assert len(graph.lost) > 20
+    queries = hnsw.units_of(other)
+    marks, recall = hnsw.audited_links(graph, queries, 0.98, False)
+    assert recall == 1.0 and np.array_equal(marks, queries @ graph.units.T >= 0.98)
+
+
+def test_an_audit_without_links_passes():
+    a, b = (hnsw.units_of(np.random.default_rng(s).normal(size=(300, 32))) for s in (1, 2))
+    marks, recall = hnsw.audited_links(hnsw.Graph.build(a), b, 0.98, False)
+    assert recall == 1.0 and not marks.any()
+
+
 def test_a_stored_graph_is_the_same():
     given = vectors(100, 8)
     graph = hnsw.Graph.build(hnsw.units_of(given))

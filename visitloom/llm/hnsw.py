@@ -31,8 +31,10 @@ class Graph:
     another it keeps, which leaves ways out of dense groups.
     """
 
-    def __init__(self, units: np.ndarray, links: list[np.ndarray]):
+    def __init__(self, units: np.ndarray, links: list[np.ndarray], lost: np.ndarray | None = None):
         self.units, self.links = units, links
+        #: Nodes that a search for their own vector misses; searches for others' vectors may, too.
+        self.lost = np.zeros(0, dtype=np.int64) if lost is None else lost
 
     @classmethod
     def build(cls, units: np.ndarray) -> Graph:
@@ -50,8 +52,17 @@ class Graph:
                 stop = min(sizes[level], max(2 * width, min(2 * done, done + SIDE)))
                 graph._insert(done, stop, links)
                 done = stop
+        graph.lost = graph.unreached()
         return graph
 
+    def unreached(self) -> np.ndarray:
+        found = [np.zeros(0, dtype=bool)]
+        for start in range(0, len(self.units), SIDE):
+            own = np.arange(start, min(start + SIDE, len(self.units)))
+            ids, _ = self.search(self.units[own], min(BEAM, len(self.units)))
+            found.append((ids == own[:, None]).any(1))
+        return np.flatnonzero(~np.concatenate(found))
+
     def _insert(self, start: int, stop: int, links: np.ndarray) -> None:
         new, width = np.arange(start, stop), links.shape[1]
         among = self.units[new] @ self.units[new].T
@@ -186,7 +197,7 @@ class Graph:
 
     def dump(self, vectors: np.ndarray, nodes: np.ndarray, weights: np.ndarray) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=vectors, nodes=nodes, weights=weights, **{f"l{i}": x for i, x in enumerate(self.links)})
+        np.savez(out, vectors=vectors, nodes=nodes, weights=weights, lost=self.lost, **{f"l{i}": x for i, x in enumerate(self.links)})
         return out.getvalue()
 
 
@@ -199,8 +210,8 @@ def units_of(vectors: np.ndarray) -> np.ndarray:
 
 def load(blob: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
     with np.load(io.BytesIO(blob)) as x:
-        links = [x[f"l{i}"] for i in range(len(x.files) - 3)]
-        return Graph(units_of(x["vectors"]), links), x["nodes"], x["weights"]
+        links = [x[f"l{i}"] for i in range(len(x.files) - 4)]
+        return Graph(units_of(x["vectors"]), links, x["lost"]), x["nodes"], x["weights"]
 
 
 def exact(queries: np.ndarray, units: np.ndarray, least: float) -> np.ndarray:
@@ -210,25 +221,37 @@ def exact(queries: np.ndarray, units: np.ndarray, least: float) -> np.ndarray:
 def audited_links(graph: Graph, queries: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, float]:
     """Marks of the links between queries and nodes, and the recall in the last audit.
 
-    The beam doubles until the audits pass: a sample of queries, spread over the
-    block, against brute force, and for a shard's own vectors each must find
-    itself. Single vectors that never do are compared with all.
+    The beam doubles until the audits pass. These compare queries with brute
+    force: some spread over the block and some over the numbers of links found,
+    so that small groups are among them; their recalls count alike, whatever
+    the size of their group. For a shard's own vectors each must find itself;
+    single ones that never do are compared with all. Nodes that their own graph
+    loses are compared with all queries of other shards.
     """
     n = len(graph.units)
-    chosen = np.unique(np.linspace(0, len(queries) - 1, min(len(queries), AUDITED)).astype(int))
-    truth = exact(queries[chosen], graph.units, least)
     beam = min(BEAM, n)
+    found = graph.linked(queries, least, beam)
+    few = min(len(queries), AUDITED)
+    spread = np.linspace(0, len(queries) - 1, few).astype(int)
+    chosen = np.unique(np.concatenate((spread, np.argsort(found.sum(1), kind="stable")[spread])))
+    truth = exact(queries[chosen], graph.units, least)
+    wanted = truth.sum(1)
+    some = wanted > 0
     while True:
-        found = graph.linked(queries, least, beam)
         if same:
             found |= found.T
             lost = np.flatnonzero(~found.diagonal())
         else:
             lost = np.zeros(0, dtype=int)
-        recall = (found[chosen] & truth).sum() / max(1, truth.sum())
+            for start in range(0, len(queries) if len(graph.lost) else 0, SIDE):
+                part = slice(start, start + SIDE)
+                found[part, graph.lost] |= exact(queries[part], graph.units[graph.lost], least)
+        recalls = (found[chosen] & truth).sum(1)[some] / wanted[some]
+        recall = recalls.mean() if len(recalls) else 1.0
         if beam >= n or (recall >= RECALL and len(lost) <= n // 50):
             break
         beam = min(n, 2 * beam)
+        found = graph.linked(queries, least, beam)
     for start in range(0, len(lost), SIDE):
         part = lost[start : start + SIDE]
         found[part] |= exact(queries[part], graph.units, least)
@@ -328,8 +351,10 @@ def near_groups(
         right, (F.col("l.label") == F.col("r.label")) & (F.col("l.size") == F.col("r.size"))
         & (F.col("l.shard") <= F.col("r.shard"))
     ).select(
-        (F.col("l.shard") == F.col("r.shard")).alias("same"), F.col("l.graph").alias("a"), F.col("r.graph").alias("b")
-    ).repartition("a", "b")
+        F.col("l.label").alias("label"), F.col("l.size").alias("size"), F.col("l.shard").alias("i"),
+        F.col("r.shard").alias("j"), F.col("l.graph").alias("a"), F.col("r.graph").alias("b"),
+    ).repartition("label", "size", "i", "j")
+    pairs = pairs.select((F.col("i") == F.col("j")).alias("same"), "a", "b")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -139,7 +139,7 @@ def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = hnsw.near_groups(table(spark, sf_dir, "embeddings"))
-    return groups.select("vec_id", "n_links", "component_id", "kept")
+    return groups.select("vec_id", "n_links", "component_id", "kept", "recall")
 
 
 def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
