@@ -4,7 +4,7 @@ import random
 import re
 
 import numpy as np
-
+import pytest
 from made import documents  # noqa: F401
 
 from visitloom.llm import sentences
@@ -23,6 +23,8 @@ def word_hash(word):
 
 
 def units(text):
+    """Words of the text and the words of each sentence or part, by the rule: in sentences of over 16 words the least
+    word hash of each 8 words in a row, the last of equal ones, ends a part."""
     data = (text or "").lower().encode() if (text or "").isascii() else (text or "").encode().lower()
     own = [(m.start(), m.end()) for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
     whole, now = [], []
@@ -34,36 +36,34 @@ def units(text):
             now = []
     out = []
     for sentence in whole:
+        ends = {sentence[-1]}
+        if len(sentence) > 16:
+            hashes = [word_hash(data[slice(*own[i])]) for i in sentence]
+            for i in range(len(sentence) - 7):
+                least = min(hashes[i : i + 8])
+                ends.add(sentence[max(j for j in range(i, i + 8) if hashes[j] == least)])
         part = []
         for i in sentence:
             part.append(i)
-            if len(sentence) > 16 and word_hash(data[slice(*own[i])]) % 8 == 0:
+            if i in ends:
                 out.append(part)
                 part = []
-        if part:
-            out.append(part)
     return data, own, out
 
 
 def slow(docs):
+    """Every run of 3 or more sentences and 20 or more words of every document, in the order of the keys."""
     seen, out = {}, {}
     for key, text in sorted(docs, key=lambda d: d[0]):
         data, own, parts = units(text)
-        gone, mine, copies = set(), {}, set()
+        gone, mine = set(), {}
         for i in range(len(parts)):
-            stop = i + 3
-            while stop <= len(parts) and sum(map(len, parts[i:stop])) < 20:
-                stop += 1
-            if stop > len(parts):
-                continue
-            run = tuple(data[slice(*own[w])] for part in parts[i:stop] for w in part)
-            if run in seen or run in mine:
-                gone |= set(range(i, stop))
-                if run in seen:
-                    copies.add(seen[run])
-                if run in mine:
-                    copies.add(key)
-            mine.setdefault(run, key)
+            for stop in range(i + 3, len(parts) + 1):
+                run = tuple(data[slice(*own[w])] for part in parts[i:stop] for w in part)
+                if len(run) >= 20:
+                    if run in seen or run in mine:
+                        gone |= set(range(i, stop))
+                    mine.setdefault(run, key)
         seen = {**mine, **seen}
         raw = (text or "").encode()
         starts = [own[p[0]][0] for p in parts] + [len(raw)]
@@ -86,11 +86,14 @@ def cases():
 
     shared = [prose(60) for _ in range(4)]
     docs = [(i, f"{prose(20)} {rnd.choice(shared)} {prose(25)} {rnd.choice(shared)}{prose(9)}") for i in range(40)]
-    docs += [(50, docs[3][1]), (51, "Short. One. Text."), (52, "Short. One. Text."), (53, ""), (54, "  \n "), (55, "word " * 4000)]
+    docs += [(50, docs[3][1]), (51, "Short. One. Text."), (52, "Short. One. Text."), (53, ""), (54, "  \n "), (55, "word " * 120)]
     return docs
 
 
-def test_cut_texts_equal_brute_force(documents):
+@pytest.mark.parametrize("bits", [1 << 25, 64])
+def test_cut_texts_equal_brute_force(documents, monkeypatch, bits):
+    """Whatever the filters let pass."""
+    monkeypatch.setattr(sentences, "FILTER_BITS", bits)
     docs = cases()
     out = sentences.remove_repeats(documents(*docs, removed="old", spans="x"))
     got = {r.doc_id: (r.text, r.n_removed) for r in out.collect()}

@@ -86,6 +86,26 @@ def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)
 
 
+def hash_bits(hashes: DataFrame, name: str, size: int) -> np.ndarray:
+    """Bit filter of a column of 64-bit hashes: at most ``size`` / 64 words reach the driver, whatever the input.
+
+    With more hashes than bits it lets all pass: it can spare work, never decide a result.
+    """
+    place = F.pmod(F.col(name), F.lit(size))
+    words = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{name}`, {size}L) & 63 as int))")).alias("bits")
+    )
+    found, out = words.toArrow(), np.zeros(size // 64, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
+def in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the signed hashes may be in the filter."""
+    place = hashes % (64 * len(bits))
+    return ((bits[place >> 6] >> (place & 63)) & 1).astype(bool)
+
+
 def cut_out(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     """The text with ``mark`` for each span, for spans that overlap or touch once; spans by start."""
     parts, at = [], 0

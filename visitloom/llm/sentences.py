@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import add_columns, blocks, free_name
+from visitloom.llm.common import add_columns, blocks, free_name, hash_bits, in_bits
 from visitloom.llm.words import BASE, STEP, Words, mixed, powers, visible
 from visitloom.sources.staging import stage
 
@@ -17,6 +18,8 @@ from visitloom.sources.staging import stage
 SENTENCES, WORDS = 3, 20
 #: In a sentence of more words, the least word hash of each PART words in a row also ends a part.
 LONG, PART = 16, 8
+#: Bits of the filters, whatever the input: 4 MB each.
+FILTER_BITS = 1 << 25
 
 
 class Sentences(Words):
@@ -82,30 +85,51 @@ class Sentences(Words):
         return text, begin - first, end - first, hashes[0], hashes[1]
 
 
-def _runs(docs: DataFrame, row: str, key: str, text: str) -> DataFrame:
-    """Every run of sentences; ``again`` where the same text has it before."""
-    carried = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
-    schema = carried.select("row", "key").schema
-    for name, kind in (("h1", "long"), ("h2", "integer"), ("first", "integer"), ("last", "integer"), ("again", "boolean")):
-        schema = schema.add(name, kind)
+def _runs(docs: DataFrame, columns: list[str], types: str, pick: Callable[[Sentences], list]) -> DataFrame:
+    """Rows that ``pick`` makes of the runs of each block: the first array holds places of texts in the block,
+    for which it gets the given columns; the others are columns as they are."""
+    *carried, _ = columns
+    schema = docs.select(*(F.col(f"`{c}`") for c in carried)).schema
+    for field in docs.sparkSession.createDataFrame([], types).schema:
+        schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in blocks(batch.column(2)):
+            for start, stop in blocks(batch.column(len(carried))):
                 part = batch.slice(start, stop - start)
-                owner, first, last, h1, h2 = Sentences(part.column(2)).runs()
-                order = np.lexsort((first, h2, h1, owner))
-                again = np.zeros(len(owner), dtype=bool)
-                same = np.ones(max(len(owner) - 1, 0), dtype=bool)
-                for x in (owner, h1, h2):
-                    same &= x[order][1:] == x[order][:-1]
-                again[order[1:]] = same
-                arrays = [part.column(0).take(pa.array(owner)), part.column(1).take(pa.array(owner))]
-                arrays += [pa.array(h1.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))]
-                arrays += [pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(again)]
-                yield pa.RecordBatch.from_arrays(arrays, ["row", "key", "h1", "h2", "first", "last", "again"])
+                owner, *arrays = pick(Sentences(part.column(len(carried))))
+                kept = [part.column(i).take(pa.array(owner)) for i in range(len(carried))]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x) for x in arrays)], names=schema.names)
 
-    return carried.mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(run, schema)
+
+
+def _marked(units: Sentences) -> tuple[np.ndarray, ...]:
+    """The runs with ``again`` where the same text has them before."""
+    owner, first, last, h1, h2 = units.runs()
+    order = np.lexsort((first, h2, h1, owner))
+    again = np.zeros(len(owner), dtype=bool)
+    same = np.ones(max(len(owner) - 1, 0), dtype=bool)
+    for x in (owner, h1, h2):
+        same &= x[order][1:] == x[order][:-1]
+    again[order[1:]] = same
+    return owner, h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32), first, last, again
+
+
+def _hashes(units: Sentences) -> list:
+    owner, h1, _, _, _, again = _marked(units)
+    return [owner[~again], h1[~again]]
+
+
+def _candidates(bits: np.ndarray) -> Callable[[Sentences], list]:
+    """Runs whose hash may repeat, or that repeat in their own text."""
+
+    def pick(units: Sentences) -> list:
+        owner, h1, h2, first, last, again = _marked(units)
+        kept = again | in_bits(bits, h1)
+        return [x[kept] for x in (owner, h1, h2, first.astype(np.int32), last.astype(np.int32), again)]
+
+    return pick
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, list[dict]]:
@@ -129,6 +153,16 @@ def cut(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, list[dict]]:
     return "".join([*kept, data[at:].decode()]), int(gone.sum()), removed
 
 
+def _passes(bits: np.ndarray) -> Callable[[Column], Column]:
+    """Whether a hash may be in the filter; other columns of the rows do not go through Python."""
+
+    @F.pandas_udf("boolean")
+    def check(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bits(bits, h.to_numpy()))
+
+    return check
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text cut, and ``n_removed``, ``removed``, ``copies_of``.
 
@@ -141,6 +175,17 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     places in the old text in code points, ``copies_of`` the keys of the rows
     that keep them, sorted.
 
+    Long sentences are cut into parts by their own words (``Sentences``), and parts
+    count as sentences. Certain to go is what equals whole sentences or parts
+    elsewhere. A passage that starts or ends in mid-sentence may be cut otherwise
+    at its two ends: there up to a part of 8 words can stay, and one that leaves
+    fewer than 3 parts or 20 words in common stays whole.
+
+    Hashes of all runs are grouped first, nothing else. A bit filter of fixed
+    size then tells which runs may repeat; these alone are read again with their
+    places, and equal hashes decide. Texts are moved only where a run of theirs
+    may be covered.
+
     Every row stays, repeated ones too, if need be with an empty text. Null,
     empty and short texts have no runs and stay as they are. Columns named like
     the three new ones are replaced.
@@ -149,7 +194,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kept = [c for c in docs.columns if c not in names]
     row, spans = free_name(docs, "row_number"), free_name(docs, "spans")
     numbered = stage(docs.select(*(F.col(f"`{c}`") for c in kept)).withColumn(row, F.monotonically_increasing_id()))
-    runs = _runs(numbered, row, key, text)
+    hashes = _runs(numbered, [row, text], "h1 long", _hashes)
+    often = hashes.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    bits = hash_bits(often, "h1", FILTER_BITS)
+    named = numbered.select(F.col(f"`{row}`").alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
+    types = "h1 long, h2 int, first int, last int, again boolean"
+    runs = stage(_runs(named, ["row", "key", "t"], types, _candidates(bits)))
     place = F.struct(F.col("key").isNull(), F.col("key")) if dict(numbered.dtypes)[key] not in ("bigint", "int") else (
         F.coalesce("key", F.lit((1 << 63) - 1))
     )
@@ -163,11 +213,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     others = once.select("row", "h1", "h2", "first", "last").join(repeated, ["h1", "h2"])
     others = others.where(F.col("row") != F.col("keeper")).select("row", "first", "last", "keeper_key")
     own = runs.where("again").select("row", "first", "last", F.col("key").alias("keeper_key"))
-    covered = others.unionByName(own).groupBy(F.col("row").alias(row)).agg(
+    covered = others.unionByName(own).groupBy("row").agg(
         F.collect_set(F.struct("first", "last")).alias(spans),
         F.array_sort(F.collect_set("keeper_key")).alias("copies_of"),
     )
-    joined = numbered.join(covered, row, "left")
+    covered = stage(covered.withColumn("h", F.xxhash64("row")))
+    maybe = _passes(hash_bits(covered, "h", FILTER_BITS))(F.xxhash64(row))
+    key_type = numbered.schema[key].dataType.simpleString()
+    no_keys = F.array().cast(f"array<{key_type}>")
+    untouched = numbered.where(~maybe).select(
+        *(F.col(f"`{c}`") for c in kept),
+        F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast("array<struct<start:int,end:int>>").alias("removed"),
+        no_keys.alias("copies_of"),
+    )
+    joined = numbered.where(maybe).join(covered.drop("h").withColumnRenamed("row", row), row, "left")
     given = free_name(joined, "given")
     joined = joined.withColumn(given, F.struct(F.col(f"`{text}`").alias("text"), F.col(spans).alias("spans")))
 
@@ -177,11 +237,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         return [list(x) for x in zip(*made)] if made else [[], [], []]
 
     types = {text: "string", "n_removed": "bigint", "removed": "array<struct<start:int,end:int>>"}
-    key_type = numbered.schema[key].dataType.simpleString()
     out = add_columns(joined.drop(spans), given, types, make)
     return out.select(
-        *(F.col(f"`{c}`") for c in kept),
-        "n_removed",
-        "removed",
-        F.coalesce("copies_of", F.array().cast(f"array<{key_type}>")).alias("copies_of"),
-    )
+        *(F.col(f"`{c}`") for c in kept), "n_removed", "removed", F.coalesce("copies_of", no_keys).alias("copies_of")
+    ).unionByName(untouched)
