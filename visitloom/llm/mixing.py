@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,8 @@ from visitloom.sources.staging import stage
 
 #: Fractional rows that one step of the tree folds into one.
 FAN = 1024
+#: Rows of over a part of so many of their source's words are settled against all others of it: fewer than this.
+LARGE = 256
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -54,41 +56,114 @@ def draw(seed: int, *of: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11) / float(1 << 53)
 
 
-def _fold(seed: int) -> tuple:
-    """Folds fractional rows (id, tie, size, p) by pivotal steps into one, and lists the settled ones.
+ROW = "struct<id:bigint,tie:bigint,size:bigint,p:double>"
+DONE = "array<struct<id:bigint,extra:int>>"
 
-    Of two rows one gets words of the other, so that together they keep their
-    expected words and each its chance, until one of them is settled at 0 or 1.
-    """
 
-    def settled(row: Column, one: int) -> Column:
-        return F.struct(row["id"].alias("id"), F.lit(one).alias("extra"))
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    def merge(state: Column, new: Column) -> Column:
-        old = state["open"]
-        a, p, b, q = old["size"], old["p"], new["size"], new["p"]
-        up = F.least((1 - p) * a, q * b)
-        down = F.least(p * a, (1 - q) * b)
-        rises = draw(seed, old["tie"], new["tie"]) * (up + down) < down
+
+def settled(row: Column, taken: Column) -> Column:
+    return F.array(F.struct(row["id"].alias("id"), taken.cast("int").alias("extra")))
+
+
+def pivot(old: Column, new: Column, seed: int) -> Column:
+    """One pivotal step of two fractional rows: the ``open`` one, and the settled one in ``done``.
+
+    One gets words of the other, so that together they keep their expected
+    words and each its chance, until one is settled at 0 or 1.
+    """
+    a, p, b, q = old["size"], old["p"], new["size"], new["p"]
+    up = F.least((1 - p) * a, q * b)
+    down = F.least(p * a, (1 - q) * b)
+
+    def moved(rises: Column) -> Column:
         ends_old = F.when(rises, (1 - p) * a <= q * b).otherwise(p * a <= (1 - q) * b)
         moved_old = F.when(rises, p + q * b / a).otherwise(p - (1 - q) * b / a)
         moved_new = F.when(rises, q - (1 - p) * a / b).otherwise(q + p * a / b)
-        stays = F.when(ends_old, new).otherwise(old)
-        chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(ends_old, moved_new).otherwise(moved_old)))
-        gone = F.when(ends_old, settled(old, 0)).otherwise(settled(new, 0))
-        extra = F.when(ends_old, rises.cast("int")).otherwise((~rises).cast("int"))
-        left = F.struct(stays["id"].alias("id"), stays["tie"].alias("tie"), stays["size"].alias("size"), chance.alias("p"))
-        done = F.array(F.struct(gone["id"].alias("id"), extra.alias("extra")))
+
+        def result(stays: Column, chance: Column, done: Column) -> Column:
+            chance = F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance))
+            row = F.struct(stays["id"].alias("id"), stays["tie"].alias("tie"), stays["size"].alias("size"), chance.alias("p"))
+            return F.struct(row.alias("open"), done.alias("done"))
+
+        return F.when(ends_old, result(new, moved_new, settled(old, rises))).otherwise(
+            result(old, moved_old, settled(new, ~rises))
+        )
+
+    return let(draw(seed, old["tie"], new["tie"]) * (up + down) < down, moved)
+
+
+def _fold(seed: int) -> tuple:
+    """Folds fractional rows into one by pivotal steps, and lists the settled ones."""
+
+    def merge(state: Column, new: Column) -> Column:
         first = F.struct(new.alias("open"), state["done"].alias("done"))
-        return F.when(old.isNull(), first).otherwise(F.struct(left.alias("open"), F.concat(state["done"], done).alias("done")))
+        step = let(
+            pivot(state["open"], new, seed),
+            lambda x: F.struct(x["open"].alias("open"), F.concat(state["done"], x["done"]).alias("done")),
+        )
+        return F.when(state["open"].isNull(), first).otherwise(step)
 
-    start = F.struct(
-        F.lit(None).cast("struct<id:bigint,tie:bigint,size:bigint,p:double>").alias("open"),
-        F.array().cast("array<struct<id:bigint,extra:int>>").alias("done"),
-    )
+    start = F.struct(F.lit(None).cast(ROW).alias("open"), F.array().cast(DONE).alias("done"))
     return start, merge
 
 
+def _settle_large(rows: DataFrame, seed: int) -> DataFrame:
+    """Per source the settled large rows (``done``), one that may be ``open``, and the chance ``left`` of the others.
+
+    A row with much of its source's words could stay open to the end and leave
+    its words as the error. So large rows come first, largest first. Those of
+    one size class, between two powers of 2, are paired with each other; the
+    open one of a class is then paired with all smaller rows together: it is
+    settled by its own chance, and the words that this moves change the others'
+    chance alike. All keep their expected chance, and the source its expected
+    words. Where the others' chance would leave 0 to 1 the row stays open.
+    """
+    parts = ("left", "rest", "open", "done")
+    made = lambda **columns: F.struct(*(columns[c].alias(c) for c in parts))
+
+    def against_all(state: Column, due: Column) -> Column:
+        p, rest, row = state["left"], state["rest"], state["open"]
+        lower, higher = p - (1 - row["p"]) * row["size"] / rest, p + row["p"] * row["size"] / rest
+        fits = due & row.isNotNull() & (rest > 0) & (lower >= 0) & (higher <= 1)
+
+        def moved(taken: Column) -> Column:
+            return made(
+                left=F.when(taken, lower).otherwise(higher), rest=rest, open=F.lit(None).cast(ROW),
+                done=F.concat(state["done"], settled(row, taken)),
+            )
+
+        return F.when(fits, let(draw(seed, row["tie"], F.lit(1)) < row["p"], moved)).otherwise(state)
+
+    def step(state: Column, row: Column) -> Column:
+        smaller = F.floor(F.log2(state["open"]["size"])) > F.floor(F.log2(row["size"]))
+
+        def entered(now: Column) -> Column:
+            new = F.struct(row["id"].alias("id"), row["tie"].alias("tie"), row["size"].alias("size"), now["left"].alias("p"))
+            rest = now["rest"] - row["size"]
+            paired = let(
+                pivot(now["open"], new, seed),
+                lambda x: made(left=now["left"], rest=rest, open=x["open"], done=F.concat(now["done"], x["done"])),
+            )
+            alone = made(left=now["left"], rest=rest, open=new, done=now["done"])
+            return F.when(now["open"].isNull(), alone).otherwise(paired)
+
+        return let(against_all(state, smaller), entered)
+
+    listed = F.collect_list(F.struct((-F.col("size")).alias("down"), F.col("tie"), F.col("place").alias("id"), F.col("size")))
+    grouped = rows.where(F.col("size") * LARGE > F.col("source_size")).groupBy("source", "source_size", "p").agg(
+        F.array_sort(listed).alias("all")
+    )
+    start = made(
+        left=F.col("p"), rest=F.col("source_size").cast("double"), open=F.lit(None).cast(ROW), done=F.array().cast(DONE)
+    )
+    folded = F.aggregate("all", start, step, lambda state: against_all(state, F.lit(True)))
+    return grouped.select(F.col("source").alias("of"), folded.alias("state")).select("of", "state.left", "state.open", "state.done")
+
+
 def _occurrence(rows: DataFrame, place: str, tie: str) -> DataFrame:
     """``rows`` with ``tie`` different for rows alike, whatever their places.
 
@@ -122,12 +197,14 @@ def mix(
     A source's rows are expected ``target / source_size`` times each; the whole
     part is sure, the fraction is a chance. Pivotal steps settle the chances:
     each pair of rows of a source moves expected words from one to the other
-    until one is settled at 0 or 1. Rows are dealt by hash into blocks of about
+    until one is settled at 0 or 1. Large rows come first, what is open of them
+    against all others of the source (``_settle_large``). The others are dealt by hash into blocks of about
     ``FAN`` of one source, a block is folded into one open row, largest first, and
     the open rows go up a tree whose levels shrink ``FAN``-fold, however many
     rows a source has. The last open row of a source is rounded, so the words of
     a source miss its target by at most half of one row's size (``targets`` are
-    met exactly before that). No row is taken more than ``most`` times.
+    met exactly before that), which has 1 / ``LARGE`` of the source's words or
+    less wherever the smaller rows can make up for the larger. No row is taken more than ``most`` times.
 
     Draws depend on ``key``, source, size and ``seed``, not on files or tasks, so
     reruns agree; among rows equal in these three any may get the extra copy.
@@ -155,12 +232,24 @@ def mix(
     )
     aimed = _occurrence(thin, "place", "tie").join(sources, F.col("source").eqNullSafe(F.col("of")))
     whole = F.floor("ratio").cast("int")
-    aimed = aimed.select("place", "source", "size", "tie", "blocks", whole.alias("whole"), (F.col("ratio") - whole).alias("p"))
-    aimed = stage(aimed)
+    aimed = stage(
+        aimed.select(
+            "place", "source", "source_size", "size", "tie", "blocks", whole.alias("whole"),
+            (F.col("ratio") - whole).alias("p"),
+        )
+    )
 
-    light = aimed.where("size <= 0 or p <= 0")
-    done = [light.select(F.col("place").alias("id"), (draw(seed, F.col("tie")) < F.col("p")).cast("int").alias("extra"))]
-    tree = aimed.where("size > 0 and p > 0").select(
+    large = stage(_settle_large(aimed.where("size > 0 and p > 0"), seed))
+    first = large.select(F.inline("done"))
+    open_ = aimed.join(first, F.col("place") == F.col("id"), "left_anti")
+    open_ = open_.join(large.select("of", "left", "open"), F.col("source").eqNullSafe(F.col("of")), "left")
+    chance = F.when(F.col("open.id") == F.col("place"), F.col("open.p")).otherwise(F.coalesce("left", "p"))
+    open_ = stage(open_.withColumn("p", F.when(F.col("size") > 0, chance).otherwise(F.col("p"))).drop("of", "left", "open"))
+    fraction = "size > 0 and p > 0 and p < 1"
+    light = open_.where(f"not ({fraction})")
+    drawn = (draw(seed, F.col("tie")) < F.col("p")).cast("int").alias("extra")
+    done = [first, light.select(F.col("place").alias("id"), drawn)]
+    tree = open_.where(fraction).select(
         "source", "blocks", F.pmod(F.xxhash64(F.col("tie")), F.col("blocks")).alias("block"),
         F.struct(F.col("place").alias("id"), "tie", "size", "p").alias("row"),
     )
