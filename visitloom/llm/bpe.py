@@ -183,7 +183,9 @@ def round_trip(
 ) -> DataFrame:
     """``docs`` with what ``derive`` makes of the ids of each text and the bytes decoded from them.
 
-    For uses that need only a small part of the ids: they then never leave the task.
+    For uses that need only a small part of the ids: they then never leave the
+    task. Null and empty texts have no ids and no bytes. All rows, repeated ones
+    too, stay with their other columns; columns named like the new ones are replaced.
     """
     encoder = encoders(path, pattern)
 

@@ -64,10 +64,10 @@ def add_columns(
 def blocks(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text; a longer text is a range of its own."""
     limit = limit or BLOCK_BYTES
-    if not (pa.types.is_string(values.type) or pa.types.is_binary(values.type)):
+    ends = offsets(values)
+    if ends is None:
         yield from ((i, min(i + 4096, len(values))) for i in range(0, len(values), 4096))
         return
-    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
     start = 0
     while start < len(values):
         stop = int(np.searchsorted(ends, ends[start] + limit, side="right")) - 1
@@ -76,11 +76,25 @@ def blocks(values: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
         start = stop
 
 
+def offsets(values: pa.Array) -> np.ndarray | None:
+    """Where each text or binary value begins, and the last ends, in the array's bytes; None for other types."""
+    kind = values.type
+    if pa.types.is_large_string(kind) or pa.types.is_large_binary(kind):
+        width = np.int64
+    elif pa.types.is_string(kind) or pa.types.is_binary(kind):
+        width = np.int32
+    else:
+        return None
+    if not len(values):
+        return np.zeros(1, dtype=width)
+    return np.frombuffer(values.buffers()[1], dtype=width)[values.offset : values.offset + len(values) + 1]
+
+
 def text_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a slice of texts, one after the other, and where each begins; null is empty."""
     if values.null_count:
         values = values.fill_null("")
-    ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+    ends = offsets(values)
     data = values.buffers()[2]
     data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     return data[ends[0] : ends[-1]], (ends - ends[0]).astype(np.int64)

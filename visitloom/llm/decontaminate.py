@@ -227,7 +227,11 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with its columns, that are not contaminated by the items."""
+    """The rows of ``docs``, with its columns, that are not contaminated by the items.
+
+    Null, empty and wordless texts stay, repeated rows share their fate, and
+    without items all rows stay. Columns named like those of ``mark`` are kept.
+    """
     renamed = {c: free_name(docs, f"own_{c}") for c in docs.columns if c in ("n_words", "n_hit", "spans", "items")}
     marked = mark(docs.withColumnsRenamed(renamed), items, renamed.get(text, text))
     kept = marked.where(~contaminated(F.col("n_hit"), F.col("n_words")))

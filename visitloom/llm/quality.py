@@ -93,6 +93,8 @@ def _distinct(words: Words) -> np.ndarray:
 
 
 def add_statistics(docs: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """``docs`` with the statistics of a text column, under ``names``. Null and empty texts have those of no text;
+    all rows stay, repeated ones too, and columns of these names are replaced."""
     names = names or {s: s for s in STATISTICS}
     return add_columns(docs, text, {names[s]: "double" for s in STATISTICS}, lambda v: list(statistics(v)))
 
@@ -189,7 +191,12 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with its columns, that the classifier does not reject."""
+    """The rows of ``docs``, with its columns, that the classifier does not reject.
+
+    Null and empty texts have the statistics of an empty text and are scored
+    like any other; rows with equal texts share their fate. Without usable
+    labels nothing is rejected. Columns named like statistics are kept.
+    """
     model = fit(docs, labels.where(~held_out(key)), key, text)
     mark, names = free_name(docs, "score_"), {s: free_name(docs, f"stat_{s}") for s in STATISTICS}
     scored = add_statistics(docs, text, names).withColumn(mark, model.score(names))

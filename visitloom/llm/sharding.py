@@ -73,5 +73,9 @@ def external_shuffle(
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """A folder per shard; the rows of a file are in the order of their slots."""
+    """A folder per shard; the rows of a file are in the order of their slots.
+
+    All rows and columns are written as they are, nulls and repeated rows too;
+    no rows give a folder without shards.
+    """
     shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
