@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each over all that the one before kept."""
+"""From raw documents to token ids: five stages, each over all that the one before kept.
+
+All stages take null, empty and very long texts, null and repeated ids, repeated
+rows, empty tables and extra columns of any name; all but the last return the
+columns that they were given. What a stage does with such rows its function says.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +20,34 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go; empty texts are judged like others, null ids make no difference."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose 4-word SimHashes link at 4 or fewer differing bits the smallest id stays."""
+    """Of each group of documents whose 4-word SimHashes link at 4 or fewer differing bits the smallest id stays.
+
+    Null, empty and wordless texts are one group. A null id is never the
+    smallest unless a group has no other; of equal ids one row stays.
+    """
     return simhash.keep_first(docs, width=4, distance=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a benchmark covers a twentieth or more go."""
+    """Documents of which a benchmark covers a twentieth or more go; texts without words stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the text; all documents stay."""
+    """Secrets are replaced in the text; all documents stay, null texts as they are."""
     return secrets.redact(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with their digest and that of the bytes decoded from them."""
+    """Token ids of each document, with their digest and that of the bytes decoded from them.
+
+    A null text has the ids of an empty one: none. Every row stays.
+    """
 
     def derive(encoder: bpe.Encoder, ids: list[int], decoded: bytes) -> tuple:
         listed = ",".join(map(encoder.names.__getitem__, ids)).encode()
