@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 
 from visitloom.llm.common import add_columns
 
-#: Up to so many bytes are merged directly; longer pieces are halved.
-LEAF = 32
+#: Up to so many bytes are merged directly, and so many ids decoded; longer pieces and lists are halved.
+LEAF, IDS = 8, 64
 #: Pieces whose ids a task remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 64
 NO_RANK = 1 << 40
@@ -134,7 +134,13 @@ class Encoder:
         return ids
 
     def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids)) if ids else b""
+        """Bytes of the ids: those of their halves, one after the other."""
+        if not ids:
+            return b""
+        if len(ids) <= IDS:
+            return b"".join(map(self.tokens.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
 def encoders(path: str, pattern: str) -> Callable[[], Encoder]:
