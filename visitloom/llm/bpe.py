@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from visitloom.llm.common import add_columns
 
 #: Up to so many bytes are merged directly, and so many ids decoded; longer pieces and lists are halved.
-LEAF, IDS = 8, 64
+LEAF, IDS = 16, 64
 #: Pieces whose ids a task remembers, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 64
 NO_RANK = 1 << 40
