@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from made import documents  # noqa: F401
@@ -71,3 +73,19 @@ def test_clean_keeps_rows_and_columns(spark, documents):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 2, 3]
     assert decontaminate.clean(docs, table.limit(0)).count() == 6
     assert decontaminate.clean(documents(), table).collect() == []
+
+
+def test_texts_hit_all_over_keep_bounded_batches(spark, documents, monkeypatch):
+    rnd = random.Random(5)
+    passage = rnd.choices([f"word{i}" for i in range(50)], k=40)
+    items = [(n, " ".join(passage[:n])) for n in range(1, 14)] + [(40, " ".join(passage))]
+    docs = [(1, " ".join(passage * 20)), (2, "free"), (3, " ".join(passage).upper()), (4, None)]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    words_ = decontaminate.Grams(pa.array([text for _, text in docs]))
+    bits = np.full(decontaminate.FILTER_BITS // 64, -1, dtype=np.int64)
+    parts = [columns for _, columns in decontaminate._found(words_, list(range(1, 14)), bits)]
+    assert sum(len(p[0]) for p in parts) > 5000
+    assert max(sum(c.nbytes for c in p) for p in parts) < 3 * 4000
+    table = spark.createDataFrame(items, "item_id long, text string")
+    marked = decontaminate.mark(documents(*docs), table)
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in marked.collect()} == slow(docs, items)

@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from visitloom.llm.common import add_columns, free_name
+from visitloom.llm.common import BLOCK_BYTES, blocks, free_name
 from visitloom.llm.words import STEP, Words, alphanumeric, mixed, powers
 from visitloom.sources.staging import stage
 
@@ -17,13 +18,16 @@ from visitloom.sources.staging import stage
 WINDOW, GRAM = 13, 9
 #: Bits of the filter that the documents' fingerprints pass before they are shuffled: its size is fixed.
 FILTER_BITS = 1 << 23
-PRINT = "array<struct<length:int,hash:bigint,at:int,lead:int,words:string>>"
+PRINT = "length int, hash bigint, at int, lead int, words string"
+#: What a fingerprint takes beside its words, in bytes, when those of a block are dealt out to batches.
+PRINT_BYTES = 64
 
 class Grams(Words):
     """Words of documents and benchmark items, with their n-grams."""
 
     def __init__(self, values: pa.Array):
         super().__init__(values, alphanumeric())
+        self._spaced: tuple[np.ndarray, np.ndarray] | None = None
 
     def fingerprints(self, length: int, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Winnowed n-grams for windows of ``length`` words, in the texts marked: word positions and hashes.
@@ -54,13 +58,31 @@ class Grams(Words):
         at = np.unique(at)
         return at, gram[at]
 
-    def around(self, at: int, text: int, length: int) -> tuple[int, str]:
-        """The words of all windows that hold the n-gram at ``at``: how many precede it, and they, blank between."""
-        size = min(GRAM, length)
-        low = max(at + size - length, self.first[text])
-        high = min(at + length, self.first[text + 1])
-        words = (self.bytes[self.start[i] : self.stop[i]].tobytes() for i in range(low, high))
-        return int(at - low), b" ".join(words).decode()
+    def spaced(self) -> tuple[np.ndarray, np.ndarray]:
+        """All words with a blank after each, and where each word begins, and the last ends, in that."""
+        if self._spaced is None:
+            sizes = self.stop - self.start
+            ends = np.cumsum(sizes)
+            source = np.arange(sizes.sum()) + np.repeat(self.start - ends + sizes, sizes)
+            out = np.full(len(source) + len(sizes), 32, dtype=np.uint8)
+            out[np.arange(len(source)) + np.repeat(np.arange(len(sizes)), sizes)] = self.bytes[source]
+            self._spaced = out, np.concatenate(([0], np.cumsum(sizes + 1)))
+        return self._spaced
+
+    def around(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text of each n-gram, and from which word to which the windows reach that hold it."""
+        text = np.searchsorted(self.first, at, side="right") - 1
+        low = np.maximum(at + min(GRAM, length) - length, self.first[text])
+        return text, low, np.minimum(at + length, self.first[text + 1])
+
+    def joined(self, low: np.ndarray, high: np.ndarray) -> pa.Array:
+        """Words from ``low`` to before ``high``, blank between."""
+        data, place = self.spaced()
+        sizes = place[high] - 1 - place[low]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        source = np.arange(ends[-1]) + np.repeat(place[low] - ends[:-1], sizes)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(data[source])]
+        return pa.Array.from_buffers(pa.large_string(), len(low), buffers)
 
 
 def probes(h: Column) -> list[Column]:
@@ -88,28 +110,76 @@ def _filter(prints: DataFrame) -> np.ndarray:
     return out
 
 
-def _prints(df: DataFrame, text: str, names: tuple[str, str], lengths: list[int] | None, bits: np.ndarray | None):
-    """``df`` with the number of words and the fingerprints; without ``lengths`` each text has windows of its own kind."""
+def _found(words: Grams, lengths: list[int] | None, bits: np.ndarray | None) -> Iterator[tuple[np.ndarray, list]]:
+    """Fingerprints of a block of texts, about BLOCK_BYTES of them at a time: number of the text, and columns of PRINT."""
+    counts = np.diff(words.first)
+    own = np.minimum(counts, WINDOW)
+    for length in lengths if lengths is not None else np.unique(own[own > 0]).tolist():
+        texts = counts >= length if lengths is not None else own == length
+        at, hashes = words.fingerprints(length, texts)
+        if bits is not None:
+            ok = _passes(bits, hashes)
+            at, hashes = at[ok], hashes[ok]
+        if not len(at):
+            continue
+        text, low, high = words.around(at, length)
+        place = words.spaced()[1]
+        ends = np.cumsum(place[high] - place[low] + PRINT_BYTES)
+        start = 0
+        while start < len(at):
+            before = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, before + BLOCK_BYTES, side="right")), start + 1)
+            part = slice(start, stop)
+            yield text[part], [
+                pa.array(np.full(len(at[part]), length, dtype=np.int32)),
+                pa.array(hashes[part].view(np.int64)),
+                pa.array((at[part] - words.first[text[part]]).astype(np.int32)),
+                pa.array((at[part] - low[part]).astype(np.int32)),
+                words.joined(low[part], high[part]),
+            ]
+            start = stop
+
+
+def _prints(
+    df: DataFrame, text: str, key: str, names: tuple[str, str], lengths: list[int] | None, bits: np.ndarray | None
+) -> DataFrame:
+    """``df`` with the number of words, and a row more for each fingerprint; without ``lengths`` each text has windows of its own kind.
+
+    A row of ``df`` has its number of words and no fingerprint; that of a
+    fingerprint has the ``key`` of its text, and null in all other columns. So
+    a text that is hit all over makes many rows, not a large one.
+    """
+    old = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    carried = df.select(*(F.col(f"`{c}`") for c in old), F.col(f"`{text}`").alias(free_name(df, "__in")))
+    fields = [T.StructField(f.name, f.dataType, f.name != key or f.nullable) for f in carried.schema[: len(old)]]
+    fields += [T.StructField(names[0], T.LongType()), T.StructField(names[1], T.StructType.fromDDL(PRINT))]
+    schema = T.StructType(fields)
 
-    def make(values: pa.Array) -> list[list]:
-        words = Grams(values)
-        counts = np.diff(words.first)
-        found: list[list[dict]] = [[] for _ in range(len(values))]
-        own = np.minimum(counts, WINDOW)
-        for length in lengths if lengths is not None else np.unique(own[own > 0]).tolist():
-            texts = counts >= length if lengths is not None else own == length
-            at, hashes = words.fingerprints(length, texts)
-            if bits is not None:
-                ok = _passes(bits, hashes)
-                at, hashes = at[ok], hashes[ok]
-            owner = np.searchsorted(words.first, at, side="right") - 1
-            for p, h, i in zip(at.tolist(), hashes.view(np.int64).tolist(), owner.tolist()):
-                lead, text_ = words.around(p, i, length)
-                entry = {"length": length, "hash": h, "at": p - int(words.first[i]), "lead": lead, "words": text_}
-                found[i].append(entry)
-        return [counts.tolist(), found]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    return add_columns(df, text, {names[0]: "bigint", names[1]: PRINT}, make)
+        out = to_arrow_schema(schema)
+        kinds, print_ = [f.type for f in out], out.field(len(old) + 1).type
+
+        def filled(arrays: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([a if a.type == t else a.cast(t) for a, t in zip(arrays, kinds)], schema=out)
+
+        for batch in batches:
+            values = batch.column(batch.num_columns - 1)
+            for start, stop in blocks(values):
+                words = Grams(values.slice(start, stop - start))
+                rows = [batch.column(i).slice(start, stop - start) for i in range(len(old))]
+                yield filled([*rows, pa.array(np.diff(words.first)), pa.nulls(stop - start, print_)])
+                for owner, columns in _found(words, lengths, bits):
+                    columns = [c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, print_)]
+                    own = [
+                        rows[i].take(pa.array(owner)) if name == key else pa.nulls(len(owner), kinds[i])
+                        for i, name in enumerate(old)
+                    ]
+                    struct = pa.StructArray.from_arrays(columns, fields=list(print_))
+                    yield filled([*own, pa.nulls(len(owner), pa.int64()), struct])
+
+    return carried.mapInArrow(run, schema)
 
 
 def extended(length: int, lead: int, words: str, lead2: int, words2: str) -> tuple[int, int] | None:
@@ -154,21 +224,21 @@ def mark(
     names = ["n_words", "n_hit", "spans", "items"]
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in names]
     row, prints = free_name(docs, "row_number"), free_name(docs, "prints")
+    bodies = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body"))
     used = stage(
-        _prints(items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("body")),
-                "body", ("n", "prints"), None, None)
-        .select("item", F.explode("prints").alias("p"))
+        _prints(bodies, "body", "item", ("n", "p"), None, None)
+        .where("p is not null")
         .select("item", "p.length", "p.hash", F.col("p.lead").alias("lead2"), F.col("p.words").alias("words2"))
         .distinct()
     )
     lengths = sorted(r[0] for r in used.select("length").distinct().collect())
     bits = _filter(used)
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    counted = _prints(numbered, text, ("n_words", prints), lengths, bits)
+    counted = _prints(numbered, text, row, ("n_words", prints), lengths, bits)
     counted = stage(counted.select(*(F.col(f"`{c}`") for c in kept), row, "n_words", prints))
-    common = (
-        counted.where(F.size(prints) > 0)
-        .select(F.col(row).alias("row"), F.explode(prints).alias("p"))
+    matched = (
+        counted.where(F.col(prints).isNotNull())
+        .select(F.col(row).alias("row"), F.col(prints).alias("p"))
         .select("row", "p.length", "p.hash", "p.at", "p.lead", "p.words")
         .join(used, ["length", "hash"])
         .select("row", "item", "at", "length", "lead", "words", "lead2", "words2")
@@ -187,7 +257,7 @@ def mark(
                 [pa.array(v, type=t) for v, t in zip(out, types)], ["row", "item", "start", "end"]
             )
 
-    runs = common.mapInArrow(extend, "row bigint, item string, start int, end int")
+    runs = matched.mapInArrow(extend, "row bigint, item string, start int, end int")
     hits = runs.groupBy(F.col("row").alias(row)).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"),
         F.array_sort(F.collect_set("item")).alias("items"),
@@ -195,7 +265,7 @@ def mark(
     hits = hits.withColumn("spans", _joined(F.col("spans")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     none = F.array().cast("array<string>"), F.array().cast("array<struct<start:int,end:int>>")
-    return counted.join(hits, row, "left").select(
+    return counted.where(F.col("n_words").isNotNull()).join(hits, row, "left").select(
         *(F.col(f"`{c}`") for c in kept),
         "n_words",
         F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
